@@ -6,8 +6,10 @@ list of ``(name, fn(env) -> Column)``, and evaluated in one of two ways:
 * :func:`chain_columns` adds one column per step to a DataFrame.  Catalyst keeps
   the projections apart when a step is used more than once, so every regex runs
   once per row and the steps stay in generated code.  Use it for tables.
-* :func:`chain_expr` substitutes the steps into one Column, for use where no
-  columns can be added (filters, higher-order functions).
+* :func:`chain_array` runs the steps over every element of an array, one
+  ``transform`` per step, so a row's items are worked on without leaving it.
+* :func:`chain_expr` is the same for a single value, giving one Column for use
+  where no columns can be added.
 """
 
 from __future__ import annotations
@@ -21,13 +23,42 @@ Env = dict[str, Column]
 Step = tuple[str, Callable[[Env], Column]]
 
 
+def prefixed(steps: Sequence[Step], prefix: str) -> list[Step]:
+    """The same steps under other names, reading and writing ``<prefix><name>``."""
+
+    def view(env: Env) -> Env:
+        return {name[len(prefix) :]: c for name, c in env.items() if name.startswith(prefix)}
+
+    return [(prefix + name, lambda env, fn=fn: fn(view(env))) for name, fn in steps]
+
+
+def _extend(known: list[str], name: str, fn: Callable[[Env], Column]) -> Callable[[Column], Column]:
+    def extended(s: Column) -> Column:
+        return F.struct(*[s[k].alias(k) for k in known], fn({k: s[k] for k in known}).alias(name))
+
+    return extended
+
+
+def chain_array(
+    items: Column, fields: Sequence[str], steps: Sequence[Step], result: Callable[[Env], Column]
+) -> Column:
+    """``result`` of the steps for every struct in ``items`` (which has ``fields``).
+
+    The transforms follow one another rather than nest: a step sees the values
+    of the steps before it as struct fields, and each is computed once.
+    """
+    names = list(fields)
+    for name, fn in steps:
+        items = F.transform(items, _extend(list(names), name, fn))
+        names.append(name)
+    return F.transform(items, lambda s: result({k: s[k] for k in names}))
+
+
 def chain_expr(
     steps: Sequence[Step], env: Mapping[str, Column], result: Callable[[Env], Column]
 ) -> Column:
-    bound = dict(env)
-    for name, fn in steps:
-        bound[name] = fn(bound)
-    return result(bound)
+    one = F.array(F.struct(*[c.alias(name) for name, c in env.items()]))
+    return F.get(chain_array(one, list(env), steps, result), F.lit(0))
 
 
 def chain_columns(

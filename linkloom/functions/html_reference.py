@@ -26,7 +26,7 @@ def _page_links(html: str) -> list[tuple[str, int]]:
         def handle_starttag(self, tag, attrs):
             if self.skipping:
                 return
-            if tag in ("noscript", "iframe", "xmp", "noembed", "noframes"):
+            if tag in ("noscript", "iframe", "xmp", "noembed", "noframes", "title", "textarea"):
                 self.skipping = tag
             attribute, kind = rules.get(tag, (None, None))
             for name, value in attrs:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions._let import Env, Step, chain_columns, chain_expr
+from linkloom.functions._let import Env, Step, chain_array, chain_columns, chain_expr, prefixed
 
 # Character classes (RFC 3986).  Fixed values.
 _UNRESERVED = r"A-Za-z0-9\-._~"
@@ -403,25 +403,64 @@ def _join_resolved(base: Env, e: Env) -> Column:
     )
 
 
-def resolve_with(base: Env, ref: Column) -> Column:
-    """Resolve ``ref`` against an already parsed base (see :data:`BASE`)."""
-    general = chain_expr(_resolve_steps(base), {"raw": ref}, lambda e: _join_resolved(base, e))
-    # most links are clean: rooted, absolute or next to the page; no parsing needed
+def _quick_rules(base: Env, ref: Column) -> list[tuple[Column, Column]]:
+    """Clean references, told by their look and resolved without parsing."""
     usable = base["valid"] & ~base["is_opaque"]
-    return (
-        F.when(usable & ref.rlike(_ROOT_RELATIVE), F.concat(base["origin"], ref))
-        .when(usable & ref.rlike(_CLEAN_ABSOLUTE), ref)
-        .when(
+    return [
+        (usable & ref.rlike(_ROOT_RELATIVE), F.concat(base["origin"], ref)),
+        (usable & ref.rlike(_CLEAN_ABSOLUTE), ref),
+        (
             usable & base["dir"].rlike(_ROOT_RELATIVE) & ref.rlike(_CLEAN_SIBLING),
             F.concat(base["origin"], base["dir"], ref),
-        )
-        .otherwise(general)
+        ),
+    ]
+
+
+def _quick(base: Env, ref: Column) -> Column:
+    (c1, v1), *more = _quick_rules(base, ref)
+    out = F.when(c1, v1)
+    for condition, value in more:
+        out = out.when(condition, value)
+    return out
+
+
+def resolve_links(base: Env, raws: Column) -> Column:
+    """``array<struct<url,tag>>`` of ``raws`` (``array<struct<raw,tag>>``).
+
+    ``base`` holds :data:`BASE` columns of the page.  Links that do not parse
+    are left out.
+    """
+    tried = F.transform(
+        raws, lambda r: F.struct(_quick(base, r["raw"]).alias("url"), r["tag"].alias("tag"), r["raw"].alias("raw"))
+    )
+    quick = F.transform(
+        F.filter(tried, lambda t: t["url"].isNotNull()),
+        lambda t: F.struct(t["url"].alias("url"), t["tag"].alias("tag")),
+    )
+    rest = F.filter(tried, lambda t: t["url"].isNull())
+    full = chain_array(
+        rest,
+        ["raw", "tag"],
+        _resolve_steps(base),
+        lambda e: F.struct(_join_resolved(base, e).alias("url"), e["tag"].alias("tag")),
     )
+    return F.concat(quick, F.filter(full, lambda r: r["url"].isNotNull()))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """RFC 3986 reference resolution; NULL when either side does not parse."""
-    return chain_expr(BASE, {"raw": base}, lambda b: resolve_with(b, ref))
+    names = ["b_" + f for f in BASE_FIELDS]
+
+    def with_base(fn):
+        return lambda e: fn({n[2:]: e[n] for n in names}, e)
+
+    steps = prefixed(BASE, "b_")
+    order = [name for name, _ in _resolve_steps({f: F.lit(None) for f in BASE_FIELDS})]
+    for i, name in enumerate(order):
+        steps.append((name, with_base(lambda b, e, i=i: _resolve_steps(b)[i][1](e))))
+    return chain_expr(
+        steps, {"b_raw": base, "raw": ref}, with_base(lambda b, e: _join_resolved(b, e))
+    )
 
 
 # --------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions._let import chain_columns
 from linkloom.functions.markup import TAG_PRIMARY, TAG_RELATED, link_tokens, token_links
-from linkloom.functions.urls import BASE, BASE_FIELDS, is_data_url, resolve_with
+from linkloom.functions.urls import BASE, BASE_FIELDS, is_data_url, resolve_links
 
 
 def _unique_links(resolved: Column) -> tuple[Column, Column]:
@@ -49,13 +49,7 @@ def page_links(
     df = df.select(*keep, "src_url", raws.alias("__raws"))
     df, base = chain_columns(df, BASE, {"raw": F.col("src_url")}, "__b_")
     base = {k: base[k] for k in BASE_FIELDS}
-    resolved = F.filter(
-        F.transform(
-            F.col("__raws"), lambda r: F.struct(resolve_with(base, r["raw"]).alias("url"), r["tag"].alias("tag"))
-        ),
-        lambda r: r["url"].isNotNull(),
-    )
-    df = df.select(*keep, "src_url", resolved.alias("__links"))
+    df = df.select(*keep, "src_url", resolve_links(base, F.col("__raws")).alias("__links"))
     related, primary = _unique_links(F.col("__links"))
     df = df.select(*keep, "src_url", related.alias("__rel"), primary.alias("__pri"))
     tagged = F.concat(
