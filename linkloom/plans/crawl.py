@@ -1,0 +1,306 @@
+"""Frontier expansion to a fixpoint over a captured corpus.
+
+All text work happens once, before the first round: links are extracted,
+resolved, normalised, tested against every part of the scope that does not
+depend on depth, and written as an edge table bucketed by source URL.  A round
+then joins narrow rows only:
+
+    frontier ⋈ edges  →  depth test  →  first seen  ▷  visited  →  next round
+
+Edges and visited URLs are bucketed tables with as many buckets as there are
+shuffle partitions, so neither is shuffled again: only the new candidates move.
+A page with very many links gets several slots in the edge table, and its
+frontier row is repeated once per slot, so no bucket holds one page's links
+whole.  Every round is a committed table partition; lineage never grows, and a
+restart goes on after the last committed round.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.functions.markup import TAG_PRIMARY, TAG_RELATED
+from linkloom.functions.urls import with_normalized_url
+from linkloom.operators.frontier import (
+    anti_join_seen,
+    candidates_in_scope,
+    first_seen,
+    lookup_responses,
+    unique_corpus,
+)
+from linkloom.operators.links import page_links
+from linkloom.operators.responses import is_redirect, is_retry, redirect_edges
+from linkloom.operators.scope import Scope, all_of, conjuncts
+from linkloom.plans import storage
+
+#: links of one page beyond which its edges are spread over several buckets
+HOT_LINKS = 1_000_000
+
+Handler = Callable[[DataFrame], DataFrame]
+
+
+@dataclass
+class CrawlResult:
+    """Visited URLs with their responses' outcome, and where they are kept."""
+
+    visited: DataFrame
+    responses: DataFrame
+    rounds: int
+    state_dir: str
+
+    @property
+    def saved(self) -> DataFrame:
+        """Visited URLs whose response was saved."""
+        return self.responses.filter(F.col("status") < 400)
+
+    @property
+    def missing(self) -> DataFrame:
+        """Visited URLs the corpus has no usable response for."""
+        return self.responses.filter(is_retry(F.col("status")))
+
+
+def _effective(corpus: DataFrame, max_attempts: int) -> DataFrame:
+    """One response per URL: the first attempt that needs no retry, else the last."""
+    if "attempt" not in corpus.columns:
+        return corpus
+    tried = corpus.filter(F.col("attempt") < max_attempts)
+    order = F.struct(is_retry(F.col("status")).alias("retry"), F.when(is_retry(F.col("status")), -F.col("attempt")).otherwise(F.col("attempt")).alias("n"))
+    chosen = tried.groupBy("url").agg(F.min(order).alias("o")).select("url", F.abs("o.n").alias("attempt"))
+    return tried.join(chosen, ["url", "attempt"], "left_semi")
+
+
+def outgoing_links(corpus: DataFrame, handler: Handler | None) -> DataFrame:
+    """``(src_url, url, tag, src_tag)`` of all responses, redirects included.
+
+    A redirect passes on the tag its source was reached with, so it gives one
+    row per tag, valid for that source tag only; ``src_tag`` is NULL otherwise.
+    """
+    saved = corpus.filter(F.col("status") < 400)
+    links = handler(saved).select("src_url", "url", "tag") if handler else page_links(saved)
+    moved = saved.filter(is_redirect(F.col("status"), F.col("location"))).select(
+        "url", "status", "location", F.explode(F.array(F.lit(TAG_PRIMARY), F.lit(TAG_RELATED))).alias("tag"),
+        F.lit(0).alias("depth"),
+    )
+    redirects = redirect_edges(moved).select("src_url", "url", "tag", F.col("tag").alias("src_tag"))
+    return links.withColumn("src_tag", F.lit(None).cast("int")).unionByName(redirects)
+
+
+def _split_scope(scope: Scope) -> tuple[Scope, list[Scope]]:
+    """The part that can be tested on an edge alone, and the parts needing depth."""
+    parts = conjuncts(scope)
+    return all_of(*[p for p in parts if not p.uses_depth]), [p for p in parts if p.uses_depth]
+
+
+def _freeze(scope: Scope, df: DataFrame, frozen: list[str]) -> tuple[DataFrame, Scope]:
+    """Evaluate the depth-free subtrees of ``scope`` once, as columns of ``df``."""
+    if not scope.uses_depth:
+        name = f"ok{len(frozen)}"
+        df, verdict = scope.bind(df)
+        df = df.withColumn(name, F.coalesce(verdict, F.lit(False)))
+        frozen.append(name)
+        return df, Scope(check=lambda url, tag, depth: F.col(name))
+    if scope.operator == "leaf":
+        return df, scope
+    parts = []
+    for part in scope.parts:
+        df, kept = _freeze(part, df, frozen)
+        parts.append(kept)
+    return df, Scope(
+        check=lambda url, tag, depth: _joined(scope.operator, [p.check(url, tag, depth) for p in parts]),
+        uses_depth=True,
+    )
+
+
+def _joined(operator: str, verdicts):
+    out = verdicts[0]
+    for v in verdicts[1:]:
+        out = (out & v) if operator == "and" else (out | v)
+    return out
+
+
+class _State:
+    """Tables of one crawl, below one folder."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int):
+        self.spark, self.folder = spark, folder
+        layout = f"{folder}/layout"
+        if not storage.is_complete(spark, layout):
+            spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(layout)
+        # a resumed crawl keeps the bucket count it began with
+        self.buckets = spark.read.parquet(layout).first()["buckets"]
+        self.tables: list[str] = []
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """Write a table unless an earlier run has, and read it back."""
+        if not storage.is_complete(self.spark, self.path(name)):
+            make().write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.parquet(self.path(name))
+
+    def _name(self, label: str) -> str:
+        name = f"linkloom_{label}_{uuid.uuid4().hex[:12]}"
+        self.tables.append(name)
+        return name
+
+    def bucketed_once(self, label: str, keys: list[str], make: Callable[[], DataFrame]) -> str:
+        """A bucketed table of that content; returns its catalog name."""
+        path, name = self.path(label), self._name(label)
+        if not storage.is_complete(self.spark, path):
+            df = make().repartition(self.buckets, *keys)
+            df.write.mode("overwrite").option("path", path).bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+            return name
+        schema = self.spark.read.parquet(path).schema
+        self._create(name, path, schema, keys, None)
+        return name
+
+    def _create(self, name: str, path: str, schema, keys: list[str], partition: str | None) -> None:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by = ", ".join(f"`{k}`" for k in keys)
+        split = f"PARTITIONED BY (`{partition}`)" if partition else ""
+        self.spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet {split} "
+            f"CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        )
+
+    def visited_table(self, schema) -> str:
+        name = self._name("visited")
+        self._create(name, self.path("visited"), schema, ["url"], "round")
+        self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return name
+
+    def round_done(self, k: int) -> int | None:
+        """Rows of a committed round, None if it is not committed."""
+        marker = self.path(f"rounds/round={k}")
+        if not storage.is_complete(self.spark, marker):
+            return None
+        return self.spark.read.parquet(marker).first()["n"]
+
+    def commit_round(self, table: str, k: int, rows: DataFrame) -> int:
+        """Write round ``k`` as one partition; a repeated write replaces it."""
+        out = rows.select("url", "tag", "depth", "parent", F.lit(k).alias("round"))
+        out.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+        n = self.spark.table(table).filter(F.col("round") == k).count()
+        self.spark.range(1).select(F.lit(n).alias("n")).write.mode("overwrite").parquet(self.path(f"rounds/round={k}"))
+        return n
+
+    def drop_tables(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _edge_table(links: DataFrame, scope: Scope) -> tuple[DataFrame, list[Scope]]:
+    """Normalised edges in scope, with the depth-dependent part of it left open."""
+    static, dynamic = _split_scope(scope)
+    edges = candidates_in_scope(links, static)
+    frozen: list[str] = []
+    rest = []
+    for part in dynamic:
+        edges, kept = _freeze(part, edges, frozen)
+        rest.append(kept)
+    return edges.select("src_url", "url", "tag", "src_tag", *frozen), rest
+
+
+def _with_slots(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    spread = F.pmod(F.xxhash64("url"), F.coalesce(F.col("slots"), F.lit(1))).cast("int")
+    return edges.join(hot, "src_url", "left").withColumn("slot", spread).drop("slots")
+
+
+def _expand(frontier: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """Join the frontier to its edges, slot by slot."""
+    last = F.coalesce(F.col("slots"), F.lit(1)) - 1
+    sources = (
+        frontier.select(F.col("url").alias("src_url"), F.col("tag").alias("from_tag"), F.col("depth").alias("from_depth"))
+        .join(hot, "src_url", "left")
+        .withColumn("slot", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+        .drop("slots")
+    )
+    joined = edges.join(sources, ["src_url", "slot"])
+    valid = F.col("src_tag").isNull() | (F.col("src_tag") == F.col("from_tag"))
+    return joined.filter(valid).withColumn("depth", F.col("from_depth") + 1).withColumn("parent", F.col("src_url"))
+
+
+def crawl(
+    seeds: DataFrame,
+    corpus: DataFrame,
+    scope: Scope,
+    *,
+    links: DataFrame | None = None,
+    handler: Handler | None = None,
+    order_by: str | None = None,
+    max_rounds: int | None = None,
+    max_attempts: int = 1,
+    state_dir: str | None = None,
+    keep: bool = False,
+    hot_links: int = HOT_LINKS,
+) -> CrawlResult:
+    """Follow links from ``seeds`` through ``corpus`` until nothing new is in scope.
+
+    ``corpus`` is a fetch log or page table with ``url, status, location,
+    content_type, body``; with an ``attempt`` column (from 0) later attempts
+    answer retries, up to ``max_attempts``.  ``order_by`` names a unique column
+    deciding between rows with the same URL (needed only if there are any).
+    ``links`` (``src_url, url, tag``) replaces extraction from bodies;
+    ``handler`` makes such links from the saved responses.
+
+    ``state_dir`` makes a crawl restartable: called again with the same folder,
+    it goes on after the last finished round.  Intermediate tables are removed
+    at the end unless ``keep``; the visited table stays, as it is the result.
+    """
+    spark = corpus.sparkSession
+    folder = state_dir or storage.fresh_dir(spark, "crawl")
+    state = _State(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    answered = _effective(corpus, max_attempts)
+    answered = unique_corpus(answered, order_by) if order_by else with_normalized_url(answered)
+
+    def raw_edges() -> DataFrame:
+        if links is None:
+            return outgoing_links(answered, handler)
+        sources = with_normalized_url(links, "src_url", "src_url")
+        open_pages = answered.filter(F.col("status") < 400).select(F.col("url").alias("src_url"))
+        return sources.join(open_pages, "src_url", "left_semi").withColumn("src_tag", F.lit(None).cast("int"))
+
+    # the open part of the scope refers to columns of the edge table, so it is
+    # rebuilt (without running anything) when a crawl resumes
+    plan, rest = _edge_table(raw_edges(), scope)
+    staged = state.once("staged", lambda: plan)
+    hot = state.once(
+        "hot",
+        lambda: staged.groupBy("src_url")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > hot_links)
+        .select("src_url", F.ceil(F.col("n") / hot_links).cast("int").alias("slots")),
+    )
+    edges = spark.table(state.bucketed_once("edges", ["src_url", "slot"], lambda: _with_slots(staged, hot)))
+    visited = state.visited_table(
+        spark.createDataFrame([], "url string, tag int, depth int, parent string, round int").schema
+    )
+
+    rounds = 0
+    if state.round_done(0) is None:
+        start = candidates_in_scope(seeds.select("url", "tag", "depth", F.lit("").alias("parent")), scope)
+        state.commit_round(visited, 0, first_seen(start, "parent"))
+    while state.round_done(rounds) and (max_rounds is None or rounds < max_rounds):
+        if state.round_done(rounds + 1) is None:
+            seen = spark.table(visited).filter(F.col("round") <= rounds)
+            frontier = seen.filter(F.col("round") == rounds).select("url", "tag", "depth")
+            found = _expand(frontier, edges, hot)
+            for part in rest:
+                found = found.filter(part.check(F.col("url"), F.col("tag"), F.col("depth")))
+            fresh = anti_join_seen(first_seen(found.select("url", "tag", "depth", "parent"), "parent"), seen)
+            state.commit_round(visited, rounds + 1, fresh)
+        rounds += 1
+
+    state.drop_tables()
+    if not keep:
+        for name in ("staged", "hot", "edges"):
+            storage.remove_tree(spark, state.path(name))
+    found = spark.read.parquet(state.path("visited")).select("url", "tag", "depth", "parent")
+    answers = answered.select("url", *[c for c in answered.columns if c not in ("url", "tag", "depth", "parent")])
+    return CrawlResult(found, lookup_responses(found, answers), rounds, folder)
