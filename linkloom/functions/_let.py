@@ -61,12 +61,44 @@ def chain_expr(
     return F.get(chain_array(one, list(env), steps, result), F.lit(0))
 
 
+class _Watched(dict):
+    """An env that remembers which names were read."""
+
+    def __init__(self, env: Mapping[str, Column]):
+        super().__init__(env)
+        self.read: set[str] = set()
+
+    def __getitem__(self, name: str) -> Column:
+        self.read.add(name)
+        return super().__getitem__(name)
+
+
 def chain_columns(
     df: DataFrame, steps: Sequence[Step], env: Mapping[str, Column], prefix: str
 ) -> tuple[DataFrame, Env]:
-    """Add ``<prefix><name>`` for every step; return the frame and its env."""
+    """Add ``<prefix><name>`` for every step; return the frame and its env.
+
+    Steps that do not read one another share a projection.
+    """
     bound = dict(env)
+    waiting: dict[str, Column] = {}
     for name, fn in steps:
-        df = df.withColumn(prefix + name, fn(bound))
+        watched = _Watched(bound)
+        value = fn(watched)
+        if watched.read & waiting.keys():
+            df = df.withColumns({prefix + k: c for k, c in waiting.items()})
+            waiting = {}
+        waiting[name] = value
         bound[name] = F.col(prefix + name)
-    return df, bound
+    return df.withColumns({prefix + k: c for k, c in waiting.items()}), bound
+
+
+def settled(value: Column) -> Column:
+    """``value``, computed below every filter put on it.
+
+    Catalyst moves a filter below a projection by copying the projected
+    expression into it, which for a chain of steps means computing the whole
+    chain twice.  A generator of exactly one row is where that stops.  (One per
+    ``select``.)
+    """
+    return F.explode_outer(F.array(value))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions._let import Env, Step, chain_array, chain_columns, chain_expr, prefixed
+from linkloom.functions._let import Env, Step, chain_array, chain_columns, chain_expr, prefixed, settled
 
 # Character classes (RFC 3986).  Fixed values.
 _UNRESERVED = r"A-Za-z0-9\-._~"
@@ -295,18 +295,19 @@ def normalize_url(c: Column) -> Column:
 def with_normalized_url(df: DataFrame, column: str = "url", output: str = "url") -> DataFrame:
     """Set ``output`` to the normal form of ``column`` (generated-code form)."""
     keep = df.columns
-    df, env = chain_columns(df, NORMALIZE, {"raw": F.col(column)}, "__n_")
-    result = _join_normal(env).alias(output)
-    if output in keep:
-        return df.select(*[result if k == output else F.col(k) for k in keep])
-    return df.select(*keep, result)
+    # settled, so the steps are not planned once per branch of a union below
+    df = df.select(*keep, settled(F.col(column)).alias("__n_raw"))
+    df, env = chain_columns(df, NORMALIZE, {"raw": F.col("__n_raw")}, "__n_")
+    others = [k for k in keep if k != output]
+    df = df.select(*others, settled(_join_normal(env)).alias(output))
+    return df.select(*keep, *([] if output in keep else [output]))
 
 
 def with_url_parts(df: DataFrame, column: str = "url", output: str = "parts") -> DataFrame:
     """Add :func:`url_parts` of ``column`` as ``output`` (generated-code form)."""
     keep = df.columns
     df, env = chain_columns(df, PARSE, {"raw": F.col(column)}, "__p_")
-    return df.select(*keep, _parts_struct(env).alias(output))
+    return df.select(*keep, settled(_parts_struct(env)).alias(output))
 
 
 # --------------------------------------------------------------------------
@@ -505,7 +506,7 @@ def with_prefix_candidates(df: DataFrame, column: str = "url", output: str = "ca
     """Add :func:`prefix_candidates` of ``column`` (generated-code form)."""
     keep = df.columns
     df, env = chain_columns(df, PARSE, {"raw": F.col(column)}, "__c_")
-    return df.select(*keep, F.when(env["valid"], _candidates(env)).alias(output))
+    return df.select(*keep, settled(F.when(env["valid"], _candidates(env))).alias(output))
 
 
 def url_scheme(c: Column) -> Column:

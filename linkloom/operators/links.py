@@ -58,4 +58,5 @@ def page_links(
             F.array_except("__pri", "__rel"), lambda u: F.struct(u.alias("url"), F.lit(TAG_PRIMARY).alias("tag"))
         ),
     )
-    return df.select(*keep, "src_url", F.inline(tagged))
+    # the outer form keeps Catalyst from deriving a filter that would extract twice
+    return df.select(*keep, "src_url", F.inline_outer(tagged)).filter(F.col("url").isNotNull())

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions._let import settled
 from linkloom.functions.urls import resolve_url
 
 Handler = Callable[[DataFrame], DataFrame]
@@ -42,7 +43,7 @@ def redirect_edges(log: DataFrame) -> DataFrame:
     moved = log.filter(is_redirect(F.col("status"), F.col("location")))
     edges = moved.select(
         F.col("url").alias("src_url"),
-        resolve_url(F.col("url"), F.col("location")).alias("url"),
+        settled(resolve_url(F.col("url"), F.col("location"))).alias("url"),
         "tag",
         (F.col("depth") + 1).alias("depth"),
     )

@@ -218,8 +218,9 @@ def prefix_matches(urls: DataFrame, prefixes: DataFrame, salts: int = 16) -> Dat
     """
     keys = prefixes.select(F.col(prefixes.columns[0]).alias("candidate")).distinct()
     distinct = urls.select("url").distinct()
-    exploded = with_prefix_candidates(distinct, "url", "candidate").withColumn(
-        "candidate", F.explode("candidate")
+    listed = with_prefix_candidates(distinct, "url", "candidates")
+    exploded = listed.select("url", F.explode_outer("candidates").alias("candidate")).filter(
+        F.col("candidate").isNotNull()
     )
     hits = salted_join(exploded, keys, ["candidate"], "left_semi", ["url"], salts)
     return hits.select("url").distinct()

@@ -34,7 +34,7 @@ from linkloom.operators.frontier import (
     unique_corpus,
 )
 from linkloom.operators.links import page_links
-from linkloom.operators.responses import is_redirect, is_retry, redirect_edges
+from linkloom.operators.responses import handle, is_redirect, is_retry, redirect_edges
 from linkloom.operators.scope import Scope, all_of, conjuncts
 from linkloom.plans import storage
 
@@ -74,14 +74,22 @@ def _effective(corpus: DataFrame, max_attempts: int) -> DataFrame:
     return tried.join(chosen, ["url", "attempt"], "left_semi")
 
 
-def outgoing_links(corpus: DataFrame, handler: Handler | None) -> DataFrame:
+def outgoing_links(corpus: DataFrame, handler: Handler | None, given: DataFrame | None) -> DataFrame:
     """``(src_url, url, tag, src_tag)`` of all responses, redirects included.
 
+    Links are the ``given`` ones of saved pages, or the handler's, or extracted.
+
     A redirect passes on the tag its source was reached with, so it gives one
     row per tag, valid for that source tag only; ``src_tag`` is NULL otherwise.
     """
     saved = corpus.filter(F.col("status") < 400)
-    links = handler(saved).select("src_url", "url", "tag") if handler else page_links(saved)
+    if given is not None:
+        sources = with_normalized_url(given.select("src_url", "url", "tag"), "src_url", "src_url")
+        links = sources.join(saved.select(F.col("url").alias("src_url")), "src_url", "left_semi")
+    elif handler is not None:
+        links = handle(corpus, handler)
+    else:
+        links = page_links(saved)
     moved = saved.filter(is_redirect(F.col("status"), F.col("location"))).select(
         "url", "status", "location", F.explode(F.array(F.lit(TAG_PRIMARY), F.lit(TAG_RELATED))).alias("tag"),
         F.lit(0).alias("depth"),
@@ -170,25 +178,34 @@ class _State:
         )
 
     def visited_table(self, schema) -> str:
+        """The visited rounds as one table, a partition per committed round."""
         name = self._name("visited")
         self._create(name, self.path("visited"), schema, ["url"], "round")
-        self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        k = 0
+        while self.round_done(k) is not None:
+            self._attach(name, k)
+            k += 1
         return name
 
+    def _round_path(self, k: int) -> str:
+        return self.path(f"visited/round={k}")
+
+    def _attach(self, table: str, k: int) -> None:
+        self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (round={k})")
+
     def round_done(self, k: int) -> int | None:
-        """Rows of a committed round, None if it is not committed."""
-        marker = self.path(f"rounds/round={k}")
-        if not storage.is_complete(self.spark, marker):
+        """Rows of a committed round (from file footers), None if not committed."""
+        if not storage.is_complete(self.spark, self._round_path(k)):
             return None
-        return self.spark.read.parquet(marker).first()["n"]
+        # a schema is given because an empty round has no files
+        return self.spark.read.schema("url string").parquet(self._round_path(k)).count()
 
-    def commit_round(self, table: str, k: int, rows: DataFrame) -> int:
-        """Write round ``k`` as one partition; a repeated write replaces it."""
-        out = rows.select("url", "tag", "depth", "parent", F.lit(k).alias("round"))
-        out.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
-        n = self.spark.table(table).filter(F.col("round") == k).count()
-        self.spark.range(1).select(F.lit(n).alias("n")).write.mode("overwrite").parquet(self.path(f"rounds/round={k}"))
-        return n
+    def commit_round(self, table: str, k: int, rows: DataFrame) -> None:
+        """Write round ``k`` and make it a partition; a repeated write replaces it."""
+        name = self._name("round")
+        writer = rows.select("url", "tag", "depth", "parent").write.mode("overwrite")
+        writer.option("path", self._round_path(k)).bucketBy(self.buckets, "url").saveAsTable(name)
+        self._attach(table, k)
 
     def drop_tables(self) -> None:
         for name in self.tables:
@@ -259,16 +276,9 @@ def crawl(
     answered = _effective(corpus, max_attempts)
     answered = unique_corpus(answered, order_by) if order_by else with_normalized_url(answered)
 
-    def raw_edges() -> DataFrame:
-        if links is None:
-            return outgoing_links(answered, handler)
-        sources = with_normalized_url(links, "src_url", "src_url")
-        open_pages = answered.filter(F.col("status") < 400).select(F.col("url").alias("src_url"))
-        return sources.join(open_pages, "src_url", "left_semi").withColumn("src_tag", F.lit(None).cast("int"))
-
     # the open part of the scope refers to columns of the edge table, so it is
     # rebuilt (without running anything) when a crawl resumes
-    plan, rest = _edge_table(raw_edges(), scope)
+    plan, rest = _edge_table(outgoing_links(answered, handler, links), scope)
     staged = state.once("staged", lambda: plan)
     hot = state.once(
         "hot",
