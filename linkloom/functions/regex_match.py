@@ -24,6 +24,15 @@ def re2_error(pattern: str) -> str | None:
     return None
 
 
+def re2_errors(c: Column) -> Column:
+    """:func:`re2_error` of every pattern in a column."""
+
+    def check(values: pa.Array) -> pa.Array:
+        return pa.array([re2_error(v) for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(check, "string")(c)
+
+
 def matches_any(c: Column, patterns: list[str]) -> Column:
     """True where any pattern matches anywhere in ``c``."""
     if not patterns:

@@ -35,6 +35,11 @@ _CLEAN_ABSOLUTE = (
     rf"(?:/{_SIMPLE_SEGMENT}[{_SIMPLE_SEGMENT[1:-1]}.]*+)*+/?{_CLEAN_QUERY}$"
 )
 _CLEAN_SIBLING = rf"^[A-Za-z0-9\-_~][A-Za-z0-9\-_.~]*+(?:/{_SIMPLE_SEGMENT}[{_SIMPLE_SEGMENT[1:-1]}.]*+)*+/?{_CLEAN_QUERY}$"
+# a URL that already is in normal form, for the common case
+_NORMAL = (
+    rf"^https?://[a-z0-9][a-z0-9\-]*+(?:\.[a-z0-9\-]++)*+"
+    rf"(?:/{_SIMPLE_SEGMENT}[{_SIMPLE_SEGMENT[1:-1]}.]*+)*+/?(?:\?[{_UNRESERVED}]++=[{_UNRESERVED}]*+)?$"
+)
 _REPLACEMENT = "�"
 
 
@@ -289,17 +294,21 @@ def normalize_url(c: Column) -> Column:
     slashes removed, no fragment, query sorted by key then value, minimal
     percent-escaping.  A trailing slash, ``www.`` and the scheme are kept.
     """
-    return chain_expr(NORMALIZE, {"raw": c}, _join_normal)
+    return F.when(c.rlike(_NORMAL), c).otherwise(chain_expr(NORMALIZE, {"raw": c}, _join_normal))
 
 
 def with_normalized_url(df: DataFrame, column: str = "url", output: str = "url") -> DataFrame:
     """Set ``output`` to the normal form of ``column`` (generated-code form)."""
     keep = df.columns
     # settled, so the steps are not planned once per branch of a union below
-    df = df.select(*keep, settled(F.col(column)).alias("__n_raw"))
+    df = df.select(*keep, settled(F.col(column)).alias("__n_given"))
+    # a NULL goes through the steps at no cost, so URLs in normal form skip them
+    given = F.col("__n_given")
+    df = df.withColumn("__n_raw", F.when(~given.rlike(_NORMAL), given))
     df, env = chain_columns(df, NORMALIZE, {"raw": F.col("__n_raw")}, "__n_")
     others = [k for k in keep if k != output]
-    df = df.select(*others, settled(_join_normal(env)).alias(output))
+    result = F.when(F.col("__n_raw").isNull(), given).otherwise(_join_normal(env))
+    df = df.select(*others, settled(result).alias(output))
     return df.select(*keep, *([] if output in keep else [output]))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.ignore_list import bundled
 from linkloom.functions.markup import TAG_PRIMARY
-from linkloom.functions.regex_match import re2_error
+from linkloom.functions.regex_match import re2_error, re2_errors
 from linkloom.functions.urls import url_valid
 
 #: session setting naming a folder of pattern files used instead of the bundled list
@@ -78,26 +78,7 @@ def read_ignore_json(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("family"),
         F.explode("patterns").alias("pattern"),
     )
-    return listed.withColumn("error", _re2_errors(F.col("pattern")))
-
-
-def _re2_errors(pattern):
-    import pyarrow as pa
-
-    def check(values: pa.Array) -> pa.Array:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        out = []
-        for value in values.to_pylist():
-            try:
-                pc.match_substring_regex(pa.array([""]), value)
-                out.append(None)
-            except pa.ArrowInvalid as err:
-                out.append(str(err))
-        return pa.array(out, pa.string())
-
-    return F.arrow_udf(check, "string")(pattern)
+    return listed.withColumn("error", re2_errors(F.col("pattern")))
 
 
 def default_ignores(spark: SparkSession, path: str | None = None) -> DataFrame:
