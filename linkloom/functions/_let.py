@@ -8,7 +8,9 @@ list of ``(name, fn(env) -> Column)``, and evaluated in one of two ways:
   once per row and the steps stay in generated code.  Use it for tables.
 * :func:`chain_array` runs the steps over every element of an array, one
   ``transform`` per step, so a row's items are worked on without leaving it.
-* :func:`chain_expr` is the same for a single value, giving one Column for use
+* :func:`inline_expr` substitutes the steps into one expression.  Right for short
+  chains, whose steps Spark evaluates once per row by itself.
+* :func:`chain_expr` is the array form for a single value, giving one Column for use
   where no columns can be added.
 """
 
@@ -54,6 +56,15 @@ def chain_array(
     return F.transform(items, lambda s: result({k: s[k] for k in names}))
 
 
+def inline_expr(
+    steps: Sequence[Step], env: Mapping[str, Column], result: Callable[[Env], Column]
+) -> Column:
+    bound = dict(env)
+    for name, fn in steps:
+        bound[name] = fn(bound)
+    return result(bound)
+
+
 def chain_expr(
     steps: Sequence[Step], env: Mapping[str, Column], result: Callable[[Env], Column]
 ) -> Column:

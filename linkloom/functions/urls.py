@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions._let import Env, Step, chain_array, chain_columns, chain_expr, prefixed, settled
+from linkloom.functions._let import Env, Step, chain_array, chain_columns, chain_expr, inline_expr, prefixed, settled
 
 # Character classes (RFC 3986).  Fixed values.
 _UNRESERVED = r"A-Za-z0-9\-._~"
@@ -167,12 +167,12 @@ def url_parts(c: Column) -> Column:
     ``host`` keeps the port; the opaque part of a URL such as ``mailto:a@b`` is
     given as its path.
     """
-    return chain_expr(PARSE, {"raw": c}, _parts_struct)
+    return inline_expr(PARSE, {"raw": c}, _parts_struct)
 
 
 def url_valid(c: Column) -> Column:
     """True where the text parses as a URL reference."""
-    return chain_expr(PARSE, {"raw": c}, lambda e: e["valid"])
+    return inline_expr(PARSE, {"raw": c}, lambda e: e["valid"])
 
 
 # --------------------------------------------------------------------------
@@ -473,6 +473,15 @@ def resolve_url(base: Column, ref: Column) -> Column:
     )
 
 
+def with_resolved_url(df: DataFrame, base: str, ref: str, output: str = "url") -> DataFrame:
+    """Set ``output`` to ``ref`` resolved against ``base`` (generated-code form)."""
+    keep = [c for c in df.columns if c != output]
+    df = df.withColumn("__r_base", F.col(base)).withColumn("__r_ref", F.col(ref))
+    df, b = chain_columns(df, BASE, {"raw": F.col("__r_base")}, "__rb_")
+    df, e = chain_columns(df, _resolve_steps(b), {"raw": F.col("__r_ref")}, "__rr_")
+    return df.select(*keep, settled(_join_resolved(b, e)).alias(output))
+
+
 # --------------------------------------------------------------------------
 # Prefixes and small predicates
 # --------------------------------------------------------------------------
@@ -488,7 +497,7 @@ def _plain_path(e: Env) -> Column:
 
 def prefix_key(c: Column) -> Column:
     """Host without a leading ``www.`` and path without one trailing slash."""
-    return chain_expr(
+    return inline_expr(
         PARSE,
         {"raw": c},
         lambda e: F.when(e["valid"], F.concat(_bare_host(e), F.regexp_replace(_plain_path(e), "/$", ""))),
@@ -508,7 +517,7 @@ def _candidates(e: Env) -> Column:
 
 def prefix_candidates(c: Column) -> Column:
     """Every prefix a URL falls under: its host, then one more segment each."""
-    return chain_expr(PARSE, {"raw": c}, lambda e: F.when(e["valid"], _candidates(e)))
+    return inline_expr(PARSE, {"raw": c}, lambda e: F.when(e["valid"], _candidates(e)))
 
 
 def with_prefix_candidates(df: DataFrame, column: str = "url", output: str = "candidates") -> DataFrame:

@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions._let import settled
-from linkloom.functions.urls import resolve_url
+from linkloom.functions.urls import with_resolved_url
 
 Handler = Callable[[DataFrame], DataFrame]
 
@@ -41,13 +40,9 @@ def redirect_edges(log: DataFrame) -> DataFrame:
     The target is one step deeper and keeps the tag of its source.
     """
     moved = log.filter(is_redirect(F.col("status"), F.col("location")))
-    edges = moved.select(
-        F.col("url").alias("src_url"),
-        settled(resolve_url(F.col("url"), F.col("location"))).alias("url"),
-        "tag",
-        (F.col("depth") + 1).alias("depth"),
-    )
-    return edges.filter(F.col("url").isNotNull())
+    sources = moved.select("tag", (F.col("depth") + 1).alias("depth"), F.col("url").alias("src_url"), "location")
+    edges = with_resolved_url(sources, "src_url", "location", "url")
+    return edges.filter(F.col("url").isNotNull()).select("src_url", "url", "tag", "depth")
 
 
 def outcome(status: Column, location: Column) -> Column:

@@ -53,8 +53,8 @@ def normalize_url(spark, sf):
 def resolve_url(spark, sf):
     """Every link attribute of every page, resolved one by one."""
     links = D.html_cases(spark, sf).select("id", "url", F.explode_outer(markup.html_links(F.col("html"))).alias("l"))
-    resolved = links.select("id", F.col("l.raw").alias("raw"), urls.resolve_url(F.col("url"), F.col("l.raw")).alias("target"))
-    return resolved.filter(F.col("raw").isNotNull())
+    raws = links.select("id", "url", F.col("l.raw").alias("raw"))
+    return urls.with_resolved_url(raws, "url", "raw", "target").select("id", "raw", "target").filter(F.col("raw").isNotNull())
 
 
 @query
@@ -259,7 +259,7 @@ def read_ignore_json(spark, sf):
         F.sort_array(F.collect_list(F.concat(F.lit(r"/cat/\d*"), F.col("n_nationkey").cast("string"), F.lit("/")))).alias("patterns")
     )
     broken = F.array(F.lit(r"/(.*)/\1/"), F.lit("a(?!b)"))
-    nations.select(F.concat("patterns", broken).alias("patterns")).write.json(folder)
+    nations.select(F.concat("patterns", broken).alias("patterns")).write.option("maxRecordsPerFile", 1).json(folder)
     found = lists.read_ignore_json(spark, f"{folder}/*.json").filter(F.col("error").isNull()).select("pattern").distinct()
     hits = sc.ignore_scope([r["pattern"] for r in found.collect()], defaults=[])
     kept = hits.filter(D.many_urls(spark, sf))
@@ -487,11 +487,14 @@ def _records_read_back(spark, path) -> DataFrame:
 # -- streams ----------------------------------------------------------------
 
 
-def _as_stream(spark, df: DataFrame, order: str) -> DataFrame:
-    """``df`` written as four files in ``order``, read one file per micro-batch."""
+def _as_stream(spark, df: DataFrame, files_per_trigger: int | None = 1) -> DataFrame:
+    """``df`` written as files and read as a stream, by default one file per micro-batch."""
     folder = storage.fresh_dir(spark, "stream")
-    df.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    df.repartition(4).write.parquet(folder)
+    reader = spark.readStream.schema(df.schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
 def _run(spark, stream: DataFrame) -> DataFrame:
@@ -505,13 +508,13 @@ def _run(spark, stream: DataFrame) -> DataFrame:
 @query
 def stream_frontier(spark, sf):
     scope = sc.all_of(sc.scheme_scope(["http", "https"]), sc.ignore_scope())
-    stream = _as_stream(spark, D.raw_urls(spark, sf), "id")
+    stream = _as_stream(spark, D.raw_urls(spark, sf))
     return _run(spark, streams.stream_frontier(stream, scope)).select("url")
 
 
 @query
 def stream_stats(spark, sf):
-    stream = _as_stream(spark, D.fetch_log(spark, sf), "ts")
+    stream = _as_stream(spark, D.fetch_log(spark, sf))
     name, checkpoint = "linkloom_stream_stats", storage.fresh_dir(spark, "checkpoint")
     started = streams.stream_stats(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     started.awaitTermination()
@@ -520,13 +523,14 @@ def stream_stats(spark, sf):
 
 @query
 def stream_retries(spark, sf):
-    stream = _as_stream(spark, D.fetch_log(spark, sf), "ts")
+    # the files are in no time order, so they make one micro-batch
+    stream = _as_stream(spark, D.fetch_log(spark, sf), None)
     return _run(spark, streams.stream_retries(stream)).select("url", "tag", "depth", _stamp("not_before"), "state", "attempt")
 
 
 @query
 def stream_to_warc(spark, sf):
-    stream = _as_stream(spark, D.fetch_log(spark, sf), "ts")
+    stream = _as_stream(spark, D.fetch_log(spark, sf))
     out, checkpoint = storage.fresh_dir(spark, "warc"), storage.fresh_dir(spark, "checkpoint")
     streams.stream_to_warc(stream, out, checkpoint).awaitTermination()
     return _records_read_back(spark, f"{out}/*/*.warc.gz")
