@@ -32,8 +32,9 @@ def stream_frontier(
 ) -> DataFrame:
     """New frontier rows of a stream of candidates, each URL once.
 
-    Without ``ttl`` every URL is remembered for ever.  With it, a URL seen again
-    after ``ttl`` counts as new; ``time_column`` is the event time.
+    Without ``ttl`` every URL is remembered for ever.  With it, a URL is
+    remembered for at least ``ttl`` of event time (``time_column``), and counts
+    as new once its state has gone.
     """
     if ttl is None:
         return candidates_in_scope(urls, scope).dropDuplicates(["url"])

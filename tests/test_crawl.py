@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.operators import scope as sc
+from linkloom.plans import storage
+from linkloom.plans.crawl import crawl
+
+CORPUS = "url string, status int, location string, content_type string, body string"
+
+
+def page(url, body="", status=200, location=""):
+    return (url, status, location, "text/html", body)
+
+
+def seeds(spark, *urls):
+    return spark.createDataFrame([(u, 0, 0) for u in urls], "url string, tag int, depth int")
+
+
+def test_endless_chain_stops_at_the_depth_limit(spark):
+    pages = [page("http://h", '<a href="/page/1">')] + [page(f"http://h/page/{k}", f'<a href="/page/{k + 1}">') for k in range(1, 9)]
+    scope = sc.all_of(sc.scheme_scope(["http"]), sc.seed_scope(["http://h"]), sc.depth_scope(2))
+    result = crawl(seeds(spark, "http://h"), spark.createDataFrame(pages, CORPUS), scope)
+    assert result.saved.count() == 2
+
+
+def test_redirect_loop_saves_three_pages(spark):
+    pages = [page("http://h/", '<a href="/redir">'), page("http://h/redir", "", 302, "/b"), page("http://h/b", '<a href="/">')]
+    scope = sc.all_of(sc.scheme_scope(["http"]), sc.depth_scope(10), sc.seed_scope(["http://h/"]))
+    result = crawl(seeds(spark, "http://h/"), spark.createDataFrame(pages, CORPUS), scope)
+    assert {(r.url, r.depth) for r in result.saved.collect()} == {("http://h/", 0), ("http://h/redir", 1), ("http://h/b", 2)}
+    assert not storage.exists(spark, f"{result.state_dir}/edges")
+
+
+def graph(spark):
+    """A hub with many links, a ring, and a page reached two ways."""
+    edges = [("hub", f"n{k}") for k in range(40)] + [(f"n{k}", f"n{(k * 7 + 1) % 40}") for k in range(40)]
+    edges += [("n3", "deep"), ("deep", "hub"), ("deep", "end")]
+    links = spark.createDataFrame([(f"http://g/{a}", f"http://g/{b}", 0) for a, b in edges], "src_url string, url string, tag int")
+    nodes = ["hub", "deep", *[f"n{k}" for k in range(40)]]
+    return links, spark.createDataFrame([page(f"http://g/{n}") for n in nodes], CORPUS)
+
+
+def rows(result):
+    return {tuple(r) for r in result.responses.select("url", "tag", "depth", "parent", "outcome").collect()}
+
+
+def test_stopped_crawl_goes_on_to_the_same_result(spark):
+    links, corpus = graph(spark)
+    scope = sc.all_of(sc.scheme_scope(["http"]), sc.depth_scope(20))
+    start = seeds(spark, "http://g/hub")
+    whole = crawl(start, corpus, scope, links=links)
+    folder = storage.fresh_dir(spark, "crawl")
+    stopped = crawl(start, corpus, scope, links=links, state_dir=folder, max_rounds=1, keep=True)
+    assert stopped.visited.count() == 41
+    resumed = crawl(start, corpus, scope, links=links, state_dir=folder)
+    assert rows(resumed) == rows(whole) and len(rows(whole)) == 43
+    assert ("http://g/end", 0, 3, "http://g/deep", "retry") in rows(whole)
+
+
+def test_spreading_a_hub_changes_nothing(spark):
+    links, corpus = graph(spark)
+    scope = sc.all_of(sc.scheme_scope(["http"]), sc.depth_scope(20))
+    start = seeds(spark, "http://g/hub")
+    spread = crawl(start, corpus, scope, links=links, hot_links=10, keep=True)
+    edges = spark.read.parquet(f"{spread.state_dir}/edges")
+    assert edges.filter("src_url = 'http://g/hub'").select("slot").distinct().count() == 4
+    assert rows(spread) == rows(crawl(start, corpus, scope, links=links))
+
+
+def test_later_attempts_answer_retries(spark):
+    schema = CORPUS + ", attempt int"
+    corpus = spark.createDataFrame([(*page("http://h/", "", 503), 0), (*page("http://h/", '<a href="/x">'), 1)], schema)
+    scope = sc.scheme_scope(["http"])
+    once = crawl(seeds(spark, "http://h/"), corpus, scope)
+    twice = crawl(seeds(spark, "http://h/"), corpus, scope, max_attempts=2)
+    assert (once.visited.count(), twice.visited.count()) == (1, 2)
+
+
+def test_handler_makes_the_links(spark):
+    corpus = spark.createDataFrame([page("http://h/"), page("http://h/z")], CORPUS)
+
+    def to_z(saved):
+        return saved.select(F.col("url").alias("src_url"), F.lit("http://h/z").alias("url"), F.lit(1).alias("tag"))
+
+    result = crawl(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), handler=to_z)
+    assert {(r.url, r.tag) for r in result.visited.collect()} == {("http://h/", 0), ("http://h/z", 1)}
+    with pytest.raises(ValueError):
+        crawl(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), handler=lambda saved: saved)
