@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.markup import TAG_PRIMARY, TAG_RELATED
@@ -31,15 +31,17 @@ from linkloom.operators.frontier import (
     candidates_in_scope,
     first_seen,
     lookup_responses,
-    unique_corpus,
 )
 from linkloom.operators.links import page_links
 from linkloom.operators.responses import handle, is_redirect, is_retry, redirect_edges
 from linkloom.operators.scope import Scope, all_of, conjuncts
+from linkloom.operators.skew import salted_join
 from linkloom.plans import storage
 
 #: links of one page beyond which its edges are spread over several buckets
 HOT_LINKS = 1_000_000
+#: tasks over which one page's given links are spread while they are checked
+LINK_SALTS = 8
 
 Handler = Callable[[DataFrame], DataFrame]
 
@@ -64,17 +66,55 @@ class CrawlResult:
         return self.responses.filter(is_retry(F.col("status")))
 
 
-def _effective(corpus: DataFrame, max_attempts: int) -> DataFrame:
-    """One response per URL: the first attempt that needs no retry, else the last."""
-    if "attempt" not in corpus.columns:
-        return corpus
-    tried = corpus.filter(F.col("attempt") < max_attempts)
-    order = F.struct(is_retry(F.col("status")).alias("retry"), F.when(is_retry(F.col("status")), -F.col("attempt")).otherwise(F.col("attempt")).alias("n"))
-    chosen = tried.groupBy("url").agg(F.min(order).alias("o")).select("url", F.abs("o.n").alias("attempt"))
-    return tried.join(chosen, ["url", "attempt"], "left_semi")
+@dataclass
+class _Corpus:
+    """Responses keyed by normal URL, each URL answered once.
+
+    ``heads`` are the answers without their bodies; ``full`` still has every
+    row, with its body, and ``keys`` tell which of them are ``chosen``.  Choosing
+    is done on narrow rows: bodies are read where links are extracted and are
+    never shuffled for it.
+    """
+
+    full: DataFrame
+    heads: DataFrame
+    keys: list[str]
+    chosen: DataFrame | None
+
+    def answered(self) -> DataFrame:
+        """The answers with their bodies."""
+        return self.full if self.chosen is None else self.full.join(self.chosen, self.keys, "left_semi")
+
+    def only_chosen(self, links: DataFrame) -> DataFrame:
+        """Of links made from ``full`` (with ``keys``), those of the answers."""
+        return links if self.chosen is None else links.join(self.chosen, self.keys, "left_semi")
+
+
+def _keyed(corpus: DataFrame, order_by: str | None, max_attempts: int) -> _Corpus:
+    """One answer per URL: the first attempt needing no retry (else the last), then the least ``order_by``."""
+    full = with_normalized_url(corpus).filter(F.col("url").isNotNull())
+    heads = full.drop("body")
+    retry = is_retry(F.col("status"))
+    order: dict[str, Column] = {}
+    if "attempt" in corpus.columns:
+        limit = F.col("attempt") < max_attempts
+        full, heads = full.filter(limit), heads.filter(limit)
+        order["retry"] = retry
+        order["rank"] = F.when(retry, -F.col("attempt")).otherwise(F.col("attempt"))
+    keys = [k for k in ("attempt", order_by) if k and k in corpus.columns]
+    if not keys:
+        return _Corpus(full, heads, [], None)
+    picked = F.min(F.struct(*[c.alias(n) for n, c in order.items()], *keys))
+    if keys == [order_by]:
+        chosen = heads.groupBy("url").agg(F.min(order_by).alias(order_by))
+    else:
+        chosen = heads.groupBy("url").agg(picked.alias("o")).select("url", *[f"o.{k}" for k in keys])
+    chosen = chosen if order_by is None else chosen.drop("url")
+    keys = keys if order_by is not None else ["url", *keys]
+    return _Corpus(full, heads.join(chosen, keys, "left_semi"), keys, chosen)
 
 
-def outgoing_links(corpus: DataFrame, handler: Handler | None, given: DataFrame | None) -> DataFrame:
+def outgoing_links(corpus: _Corpus, handler: Handler | None, given: DataFrame | None) -> DataFrame:
     """``(src_url, url, tag, src_tag)`` of all responses, redirects included.
 
     Links are the ``given`` ones of saved pages, or the handler's, or extracted.
@@ -82,14 +122,22 @@ def outgoing_links(corpus: DataFrame, handler: Handler | None, given: DataFrame
     A redirect passes on the tag its source was reached with, so it gives one
     row per tag, valid for that source tag only; ``src_tag`` is NULL otherwise.
     """
-    saved = corpus.filter(F.col("status") < 400)
+    saved = corpus.heads.filter(F.col("status") < 400)
     if given is not None:
         sources = with_normalized_url(given.select("src_url", "url", "tag"), "src_url", "src_url")
-        links = sources.join(saved.select(F.col("url").alias("src_url")), "src_url", "left_semi")
+        pages = saved.select(F.col("url").alias("src_url"))
+        links = salted_join(sources, pages, ["src_url"], "left_semi", ["url"], LINK_SALTS)
     elif handler is not None:
-        links = handle(corpus, handler)
+        links = handle(corpus.answered(), handler)
     else:
-        links = page_links(saved)
+        extra = [k for k in corpus.keys if k != "url"]
+        links = page_links(corpus.full.filter(F.col("status") < 400), keep=extra)
+        if "url" in corpus.keys:
+            links = links.withColumnsRenamed({"url": "__dst", "src_url": "url"})
+            links = corpus.only_chosen(links).withColumnsRenamed({"url": "src_url", "__dst": "url"})
+        else:
+            links = corpus.only_chosen(links)
+        links = links.select("src_url", "url", "tag")
     moved = saved.filter(is_redirect(F.col("status"), F.col("location"))).select(
         "url", "status", "location", F.explode(F.array(F.lit(TAG_PRIMARY), F.lit(TAG_RELATED))).alias("tag"),
         F.lit(0).alias("depth"),
@@ -273,12 +321,11 @@ def crawl(
     spark = corpus.sparkSession
     folder = state_dir or storage.fresh_dir(spark, "crawl")
     state = _State(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answered = _effective(corpus, max_attempts)
-    answered = unique_corpus(answered, order_by) if order_by else with_normalized_url(answered)
+    keyed = _keyed(corpus, order_by, max_attempts)
 
     # the open part of the scope refers to columns of the edge table, so it is
     # rebuilt (without running anything) when a crawl resumes
-    plan, rest = _edge_table(outgoing_links(answered, handler, links), scope)
+    plan, rest = _edge_table(outgoing_links(keyed, handler, links), scope)
     staged = state.once("staged", lambda: plan)
     hot = state.once(
         "hot",
@@ -312,5 +359,6 @@ def crawl(
         for name in ("staged", "hot", "edges"):
             storage.remove_tree(spark, state.path(name))
     found = spark.read.parquet(state.path("visited")).select("url", "tag", "depth", "parent")
+    answered = keyed.answered()
     answers = answered.select("url", *[c for c in answered.columns if c not in ("url", "tag", "depth", "parent")])
     return CrawlResult(found, lookup_responses(found, answers), rounds, folder)

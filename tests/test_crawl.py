@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import scope as sc
 from linkloom.plans import storage
-from linkloom.plans.crawl import crawl
+from linkloom.plans.crawl import _State, crawl
 
 CORPUS = "url string, status int, location string, content_type string, body string"
 
@@ -86,3 +86,33 @@ def test_handler_makes_the_links(spark):
     assert {(r.url, r.tag) for r in result.visited.collect()} == {("http://h/", 0), ("http://h/z", 1)}
     with pytest.raises(ValueError):
         crawl(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), handler=lambda saved: saved)
+
+
+def test_equal_urls_are_answered_once(spark):
+    rows = [(*page("http://h/", '<a href="/two">'), 2), (*page("HTTP://H/", '<a href="/one">'), 1)]
+    corpus = spark.createDataFrame(rows, CORPUS + ", id long")
+    result = crawl(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), order_by="id")
+    assert {r.url for r in result.visited.collect()} == {"http://h/", "http://h/one"}
+    assert result.saved.count() == 1
+
+
+def test_rounds_shuffle_neither_edges_nor_visited(spark, monkeypatch):
+    plans = []
+    commit = _State.commit_round
+
+    def watched(self, table, k, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        commit(self, table, k, rows)
+
+    monkeypatch.setattr(_State, "commit_round", watched)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links, corpus = graph(spark)
+        crawl(seeds(spark, "http://g/hub"), corpus, sc.scheme_scope(["http"]), links=links)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    scans = [line for line in plans[1].splitlines() if "FileScan" in line and "linkloom_" in line]
+    assert len(scans) == 3 and all("Bucketed: true" in line for line in scans)
+    # the frontier moves to its edges' buckets, and new candidates to theirs
+    assert sum("Exchange hashpartitioning" in line for line in plans[1].splitlines()) <= 3

@@ -15,7 +15,13 @@ ASSETS = "http://img.example.net"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; one of fewer files than there are cores is spread over them.
+
+    (A small table is one file with one row group, which is one task.)
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def raw_urls(spark: SparkSession, sf: str) -> DataFrame:
