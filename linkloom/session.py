@@ -10,6 +10,10 @@ from pyspark.sql import SparkSession
 
 from linkloom.streaming.frontier import RECOMMENDED as STREAMING
 
+#: settings that only a session's builder can make: capturing the call site of
+#: every Column operation costs more than planning the queries
+STARTUP = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

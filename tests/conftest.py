@@ -13,8 +13,10 @@ def spark():
     from linkloom import session
 
     builder = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[8]")
+        .config(map=session.STARTUP)
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-"))
