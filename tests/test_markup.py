@@ -66,6 +66,6 @@ def test_page_links_are_unique_and_related_wins(spark):
 
 
 def test_extraction_does_not_shuffle(spark):
-    pages = derived.html_cases(spark, "/root/testdata/sf0.001")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("content_type", F.lit("text/html"))
     plan = page_links(pages, body="html")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
