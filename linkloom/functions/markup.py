@@ -169,9 +169,20 @@ def _related(urls: Column) -> Column:
     return F.transform(urls, lambda u: F.struct(u.alias("raw"), F.lit(TAG_RELATED).alias("tag")))
 
 
+def _up_to_last_url(css: Column) -> Column:
+    """The text up to the end of its last ``url()``.
+
+    Nothing after that can match, and the greedy pattern would look through it
+    once per colon.
+    """
+    last = F.substring_index(css, "url(", -1)
+    head = F.substring(css, F.lit(1), F.length(css) - F.length(last))
+    return F.concat(head, F.substring_index(last, ")", 1), F.when(last.contains(")"), ")").otherwise(""))
+
+
 def _css_urls(css: Column) -> Column:
     return F.when(
-        css.contains("url("), F.regexp_extract_all(css, F.lit(CSS_LINK), F.lit(1))
+        css.contains("url("), F.regexp_extract_all(_up_to_last_url(css), F.lit(CSS_LINK), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
 
 

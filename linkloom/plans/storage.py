@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+#: temporary folders of local applications that name none
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
@@ -17,9 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="linkloom-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = tempfile.mkdtemp(prefix="linkloom-")
+    return _local[application]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

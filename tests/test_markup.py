@@ -43,6 +43,8 @@ def test_css(spark):
 
     assert links("a{b:url(1.png)}") == ["1.png"]
     assert links("a{b:url('1.png') url(\"2.png\")}") == ["2.png"]  # greedy: the last of a line
+    assert links("a{b:url(1) x:y}" + "c:d;" * 50_000) == ["1"]  # a long tail costs nothing
+    assert links("a{b:url(1)} c{d:url(") == ["1"]
     assert links("a{b:url(1)}\nc{d:url(2)}\r\n@import url(x);\n@import \"y\";") == ["1", "2", "x"]
 
 
