@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.ignore_list import bundled
@@ -21,6 +21,7 @@ from linkloom.functions.markup import TAG_RELATED
 from linkloom.functions.regex_match import matches_any
 from linkloom.functions.urls import prefix_candidates, prefix_key, url_scheme, with_prefix_candidates
 from linkloom.operators.skew import salted_join
+from linkloom.sources.lists import IGNORE_PATH_SETTING, default_ignores
 
 #: prefix sets up to this size are compared in place; larger ones are joined
 MAX_INLINE_PREFIXES = 1000
@@ -116,11 +117,22 @@ def related_scope() -> Scope:
     return Scope(check=lambda url, tag, depth: tag == F.lit(TAG_RELATED))
 
 
+def _default_patterns() -> list[str]:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.conf.get(IGNORE_PATH_SETTING, None) is None:
+        return [pattern for _, pattern in bundled()]
+    return sorted(r["pattern"] for r in default_ignores(spark).collect())
+
+
 def ignore_scope(
     extra: Iterable[str] = (), defaults: Iterable[str] | None = None
 ) -> Scope:
-    """URLs matched by none of the default and extra patterns."""
-    base = [p for _, p in bundled()] if defaults is None else list(defaults)
+    """URLs matched by none of the default and extra patterns.
+
+    The default ones are the bundled list, or the collection the session names
+    (:data:`linkloom.sources.lists.IGNORE_PATH_SETTING`).
+    """
+    base = _default_patterns() if defaults is None else list(defaults)
     patterns = base + list(extra)
     return Scope(check=lambda url, tag, depth: ~matches_any(url, patterns))
 
@@ -165,8 +177,6 @@ def prefix_scope(prefixes: Iterable[str] | DataFrame) -> Scope:
     urls = [F.lit(u) for u in prefixes]
     if not urls:
         return _inline_prefix_scope([])
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.active()
     frame = spark.range(1).select(F.explode(F.array(*urls)).alias("url"))
     return prefix_scope(frame)
@@ -181,8 +191,6 @@ def _lower_host(url: Column) -> Column:
 def seed_scope(seeds: Iterable[str] | DataFrame) -> Scope:
     """URLs below one of the seeds (whose hosts compare in lower case)."""
     if not isinstance(seeds, DataFrame):
-        from pyspark.sql import SparkSession
-
         seeds = SparkSession.active().createDataFrame([(u,) for u in seeds], "url string")
     return prefix_scope(seeds.select(_lower_host(F.col("url")).alias("url")))
 

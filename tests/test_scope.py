@@ -64,6 +64,15 @@ def test_ignore(spark):
     check(spark, sc.ignore_scope(defaults=[]), [(u, t, d, True) for u, t, d, _ in rows])
 
 
+def test_ignore_collection_of_the_session(spark, tmp_path):
+    (tmp_path / "own.json").write_text('{"patterns": ["/mine/"]}')
+    spark.conf.set(sc.IGNORE_PATH_SETTING, f"{tmp_path}/*.json")
+    try:
+        check(spark, sc.ignore_scope(), [("http://a/mine/", 0, 0, False), ("http://a/wp-admin/", 0, 0, True)])
+    finally:
+        spark.conf.unset(sc.IGNORE_PATH_SETTING)
+
+
 def test_crawl_preset(spark):
     scope = sc.crawl_scope(["http://EXAMPLE.com/a/"], depth=3, excludes=["/skip"])
     rows = [
