@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontamination, exact_dedup, language, line_templates, packing, pii, token_files, toxicity, url_rules
+from linkloom.llm import decontamination, exact_dedup, language, line_templates, near_dups, packing, pii, token_files, toxicity, url_rules
 from linkloom.llm.common import prepare, table
 from linkloom.llm.tokens import default_tokenizer
 
@@ -13,6 +13,10 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(prepare(spark), sf_dir, "pages"))
 
 
+def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(prepare(spark), sf_dir, "documents"), percent=75)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(prepare(spark), sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_rules": op1_url_rules,
+    "op2_minhash_near_dups": op2_minhash_near_dups,
     "op3_pii": op3_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_line_dedup": op5_line_dedup,
