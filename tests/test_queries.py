@@ -9,8 +9,8 @@ import pytest
 import __spark_entry__ as entry_point
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = {name: fn for name, fn in entry_point.queries().items() if name in entry_point.QUERIES}
+SQL = entry_point.ORACLE
 
 
 @pytest.fixture(scope="module")
