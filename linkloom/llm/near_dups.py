@@ -2,8 +2,8 @@
 
 Documents with the same shingle set are one node.  Nodes that agree in a band of
 their signatures are candidates; a bucket's candidates are compared with a pivot,
-not with each other, and only members that stay in different components are
-compared with further pivots, block by block, until no pair is left out.
+not with each other; members that stay in other components meet further pivots,
+and what is apart after that is compared with its whole buckets, block by block.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ from linkloom.llm.components import components
 
 #: words a shingle
 WIDTH = 5
-#: signature length and rows a band: at similarity 0.75 all bands miss with probability 5e-6
+#: signature length and rows a band: at similarity 0.75 all 32 bands miss with probability
+#: 5e-6, and all but one with 8e-5
 PLACES, ROWS = 128, 4
 #: a link is compared in full if this share of the signature agrees; at 0.75 the estimate
 #: falls below it with probability 4e-6 (it is 5 deviations off)
 LIKELY = 0.55
-#: pivots a bucket takes in each further round
-PIVOTS = 32
+#: rounds in which a bucket gives its members one more pivot
+PIVOT_ROUNDS = 3
+#: documents still apart after that, which are compared with all others at a time
+BLOCK = 20_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _R40 = np.uint64((1 << 40) - 1)
 
@@ -187,42 +190,57 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
 
 
-def _compare_rest(members: DataFrame, links: DataFrame, checked: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """All links, after every pair that shares a bucket was compared or is in one component.
+def _split_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``bucket, id, n, root, largest`` of buckets whose members are in several components."""
+    roots = components(links)
+    placed = members.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    placed = written(placed, "placed")
+    sizes = placed.groupBy("bucket", "root").count().groupBy("bucket")
+    largest = sizes.agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
+    largest = written(largest.where("roots > 1").select("bucket", F.col("m.root").alias("largest")), "largest")
+    return written(placed.join(largest, "bucket"), "split-buckets")
+
 
-    In each bucket the members outside its largest component become pivots,
-    ``PIVOTS`` at a time, and are compared with all members of other components.
+def _compare_rest(members: DataFrame, links: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """All links, after the first pivots' comparisons left some members in components of their own.
+
+    First every bucket gives its other members some more pivots of its largest
+    component, one a round.  What is still apart then, mostly members that only
+    share a passage, is compared with everything in its buckets, a block of
+    documents at a time: pairs of like size that agree in two bands or more.
     """
-    used = members.where("id = pivot").select("bucket", "id")
-    while True:
-        roots = components(links)
-        placed = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        placed = written(placed, "placed")
-        split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        placed = written(placed.join(written(split.select("bucket"), "split-buckets"), "bucket", "left_semi"), "placed")
-        largest = (
-            placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"))
-        )
-        largest = written(largest.select("bucket", F.col("m.root").alias("largest")), "largest")
+    alike = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
+    for number in range(PIVOT_ROUNDS):
+        split = _split_buckets(members, links)
+        if split.isEmpty():
+            return links
         pivots = (
-            placed.join(largest, "bucket")
-            .where("root <> largest")
-            .join(used, ["bucket", "id"], "left_anti")
-            .groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)))
-            .agg(F.min(F.struct("id", "root")).alias("p"))
+            split.where("root = largest")
+            .groupBy("bucket")
+            .agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(number)).alias("h"), "id", "n")).alias("p"))
         )
-        pivots = written(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-        if pivots.isEmpty():
-            return links
-        pairs = placed.join(pivots, "bucket").where("root <> pivot_root")
+        pivots = written(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+        pairs = split.where("root <> largest").join(pivots, "bucket").where(alike)
+        pairs = written(_ordered(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct(), "pairs")
+        links = written(links.unionByName(verified(pairs, nodes, docs, percent)), "links")
+    split = _split_buckets(members, links)
+    apart = written(split.where("root <> largest").select("id").distinct(), "apart")
+    blocks = -(-apart.count() // BLOCK)
+    for number in range(blocks):
+        mine = apart.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
+        pivots = split.join(mine, "id", "left_semi")
+        pivots = pivots.select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root"))
+        pairs = split.join(written(pivots, "pivots"), "bucket").where("root <> pivot_root").where(alike)
+        # a pair of two pivots of this block is met from both sides
+        both = F.col("__both").isNotNull() & (F.col("pivot") > F.col("id"))
+        pairs = pairs.join(mine.withColumn("__both", F.lit(True)), "id", "left").where(~both)
         pairs = _ordered(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(pairs.groupBy("a", "b").count().where("count > 1").select("a", "b"), "pairs")
         links = written(links.unionByName(verified(pairs, nodes, docs, percent)), "links")
-        checked = checked.unionByName(pairs)
-        used = used.unionByName(pivots.select("bucket", F.col("pivot").alias("id")))
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -252,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         F.sequence(F.lit(0), F.lit(PLACES // ROWS - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("codes"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
-    banded = nodes.select(F.explode(band).alias("bucket"), "id")
+    banded = nodes.select(F.explode(band).alias("bucket"), "id", "n")
     buckets = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other"), F.count(F.lit(1)).alias("n"))
     buckets = written(buckets.where("n > 1 and pivot <> other"), "buckets")
     members = written(banded.join(buckets.where("n > 2").select("bucket", "pivot"), "bucket"), "members")
@@ -261,9 +279,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .select(F.col("pivot").alias("a"), F.col("other").alias("b"))
         .unionByName(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     )
-    pairs = written(_ordered(pairs), "pairs")
+    pairs = written(_ordered(pairs).distinct(), "pairs")
     links = written(verified(pairs, nodes, docs, percent), "links")
-    links = _compare_rest(members, links, pairs, nodes, docs, percent)
+    links = _compare_rest(members, links, nodes, docs, percent)
     roots = components(links)
     labels = (
         nodes.join(roots, "id", "left")
