@@ -11,7 +11,7 @@ from linkloom import session
 from linkloom.plans.storage import fresh_dir
 
 #: Arrow batches are cut by bytes, so that long texts cannot fill a Python worker
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 

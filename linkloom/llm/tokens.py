@@ -2,21 +2,24 @@
 
 The tokenizer drops white space and never joins what stands on both sides of it,
 so the ids of a text are those of its ASCII-white-space words one after another.
-A batch's distinct words are encoded by the library once; words met lately are
-remembered in two bounded generations per worker.
+A batch's distinct words are encoded by the library once; each worker remembers a
+bounded number of them.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: words a generation of the memory holds
-GENERATION = 150_000
+#: words a worker remembers before it begins anew
+REMEMBERED = 400_000
+#: longer words seldom come again
+LONGEST = 16
 
 
 class WordEncoder:
@@ -27,22 +30,34 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."}
+        self.marks = {m: np.array(ids, "<u4").tobytes() for m, ids in marks.items()}
+        self.memory: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each of some distinct words."""
-        young, old = self.young, self.old
-        if len(young) > GENERATION:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        found = [young.get(w) or old.get(w) for w in words]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        encoded = self.tokenizer.encode_batch_fast([words[i] for i in missing], add_special_tokens=False)
-        for i, e in zip(missing, encoded):
-            found[i] = np.array(e.ids, "<u4").tobytes()
-        if len(words) < GENERATION:
-            young.update(zip(words, found))
+        memory = self.memory
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        found = list(map(memory.get, words))
+        # the tokenizer splits a mark off the letter before it, and lower-cases
+        cores: list[tuple[int, str, bytes]] = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                w, tail = words[i], b""
+                if w[-1:] in self.marks and w[-2:-1].isalpha():
+                    w, tail = w[:-1], self.marks[w[-1]]
+                if w.isascii() and "<" not in w:
+                    w = w.lower()
+                cores.append((i, w, tail))
+        known = {w: memory.get(w) for _, w, _ in cores}
+        missing = [w for w, ids in known.items() if ids is None]
+        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            known[w] = ids = array("I", e.ids).tobytes()
+            if len(w) <= LONGEST:
+                memory[w] = ids
+        for i, w, tail in cores:
+            found[i] = known[w] + tail
         return found
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +72,13 @@ class WordEncoder:
         # one more "word" holds the end id and closes each text
         ids = np.append(ids, np.uint32(end_id or 0))
         sizes = np.append(sizes, 0 if end_id is None else 1)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds[1:], len(parts))
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int32)  # a batch is some MB
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), bounds[1:], len(parts))
         bounds = bounds + np.arange(len(bounds))
         took = sizes[order]
         ends = np.concatenate(([0], np.cumsum(took)))
-        at = np.repeat(starts[order] - ends[:-1], took) + np.arange(ends[-1])
+        at = np.repeat(starts[order] - ends[:-1].astype(np.int32), took)
+        at += np.arange(len(at), dtype=np.int32)
         return ids[at], ends[bounds]
 
 
