@@ -166,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     )
     gaps = F.split("text", CASED_WORD, -1)
     rebuilt = F.concat(
-        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), kept, F.concat), ""), F.element_at(gaps, -1)
+        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), kept, lambda g, w: F.concat(g, w)), ""), F.element_at(gaps, -1)
     )
     text = F.when(F.col("__intervals").isNotNull(), rebuilt).otherwise(F.col("text"))
     return keyed.join(judged, ["__id", "__key"], "left").select(

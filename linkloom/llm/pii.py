@@ -108,13 +108,17 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _form_spans(text: Column, kind: str) -> Column:
-    """Valid spans of one form as ``kind`` (its number), ``start``, ``end``."""
+    """Valid spans of one form as ``kind`` (its number), ``start``, ``end``, and a hash of the ``value``."""
     hint = text.contains(HINTS[kind]) if kind in HINTS else text.rlike("[0-9]")
     valid = F.filter(_matches(text, FORMS[kind]), lambda m: _valid(kind, m["value"]))
     spans = F.transform(
-        valid, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
+        valid,
+        lambda m: F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
+            F.xxhash64(_digits(m["value"]) if kind != "email" else m["value"]).alias("value"),
+        ),
     )
-    empty = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
+    empty = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:bigint>>")
     return F.coalesce(F.when(hint, spans), empty)
 
 
@@ -160,7 +164,11 @@ def occurrences(base: DataFrame) -> DataFrame:
     return (
         rows.select("key_id", "key_text", "t.start", "t.end", "t.value", "t.left", begins.alias("b"), touched.alias("touched"))
         .where("size(b) > 0 or not touched")
-        .select("key_id", "key_text", "start", "end", "value", "left", F.get("b", F.lit(0))["kind"].alias("kind"))
+        .select(
+            "key_id", "key_text", "start", "end", "left",
+            F.coalesce(F.get("b", F.lit(0))["value"].cast("string"), "value").alias("value"),
+            F.get("b", F.lit(0))["kind"].alias("kind"),
+        )
     )
 
 
@@ -222,7 +230,8 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, least: flo
     )
     added = written(added, "pii-added")
     none = F.array().cast(added.schema["added"].dataType)
-    rows = base.drop("tokens").join(added, ["key_id", "key_text"], "left").withColumn("added", F.coalesce("added", none))
+    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    rows = base.drop("tokens").withColumn("base", plain).join(added, ["key_id", "key_text"], "left").withColumn("added", F.coalesce("added", none))
     names = F.array(*map(F.lit, KINDS))
 
     def listed(spans: Column) -> Column:
