@@ -64,7 +64,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     first = np.cumsum(sizes) - sizes
     rolled = np.full(len(h), width, np.uint64)
     for k in range(width):
-        rolled = rolled * _M1 + np.concatenate((_mix(h[k:]), np.zeros(k, np.uint64)))
+        rolled = rolled * _M1 + np.concatenate((_mix(h[k:]), np.zeros(min(k, len(h)), np.uint64)))
     whole = np.flatnonzero((sizes > 0) & (sizes < width))
     valid = np.arange(len(h)) - first[of] <= (sizes - width)[of]
     rolled, owner = _mix(rolled[valid]), of[valid]

@@ -262,7 +262,7 @@ def test_line_templates(spark, odd, none):
     def line(i):
         return f"Page {i} of {i + 5} in the printed book"
 
-    own = [f"some words that only document number{chr(97 + i)} has here {'abcdefghij'[i]}" for i in range(8)]
+    own = [" ".join(chr(97 + i) + w for w in ("some", "words", "of", "its", "own", "alone")) for i in range(8)]
     texts = [f"{own[i]}\nAll rights reserved by us\n{line(i)}\nhi" for i in range(4)]
     texts += [f"{own[4]}\nAll rights reserved by us", "user anna logged in from the office", "user bert logged in from the office", "user carl logged in from the office\nx y"]
     docs = prepare(spark).createDataFrame([*enumerate(texts), (1, texts[1]), (99, None)], "doc_id long, text string")
