@@ -108,7 +108,8 @@ def _reference(p: Column) -> Column:
     blocked = p.rlike("^[A-Za-z0-9]+=")
 
     def number(digits: Column, base: int) -> Column:
-        return F.when(F.length(digits) < 10, F.conv(digits, base, 10).cast("long"))
+        value = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(F.length(value) < 10, F.conv(value, base, 10).cast("long"))
 
     return (
         F.when(decimal != "", F.concat(_code_point(number(decimal, 10)), rest))

@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: patterns compiled together; RE2 refuses programs beyond a size
+GROUP = 500
+
 
 def alternation(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
@@ -37,9 +40,12 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
     """True where any pattern matches anywhere in ``c``."""
     if not patterns:
         return F.lit(False)
-    combined = alternation(patterns)
+    groups = [alternation(patterns[i : i + GROUP]) for i in range(0, len(patterns), GROUP)]
 
     def search(values: pa.Array) -> pa.Array:
-        return pc.match_substring_regex(values, combined)
+        found = pc.match_substring_regex(values, groups[0])
+        for group in groups[1:]:
+            found = pc.or_(found, pc.match_substring_regex(values, group))
+        return found
 
     return F.arrow_udf(search, "boolean")(c)

@@ -1,6 +1,6 @@
 """URL functions built from Spark's own string, array and regex expressions.
 
-Parsing follows RFC 3986 with the leniency crawlers need (non-ASCII hosts,
+Parsing follows RFC 3986 with the leniency walkers need (non-ASCII hosts,
 blanks in paths), which rules out ``parse_url``.  A reference that cannot be
 parsed gives NULL, so callers drop it with an ordinary null filter.
 """

@@ -107,7 +107,7 @@ def requeue_active(frontier: DataFrame) -> DataFrame:
 
 
 def backlog(frontier: DataFrame) -> DataFrame:
-    """Rows per state; a crawl is busy while any row is active."""
+    """Rows per state; a walk is busy while any row is active."""
     return frontier.groupBy("state").agg(F.count("*").alias("n"))
 
 
@@ -127,11 +127,11 @@ def unique_corpus(corpus: DataFrame, order_by: str) -> DataFrame:
     """The corpus keyed by normal URL, the least ``order_by`` where several share one.
 
     The choice is made on two narrow columns; bodies never pass through an
-    aggregation.  ``order_by`` must differ between rows.
+    aggregation.  ``order_by`` must differ between rows of the same URL.
     """
     keyed = with_normalized_url(corpus).filter(F.col("url").isNotNull())
-    chosen = keyed.groupBy("url").agg(F.min(order_by).alias(order_by)).select(order_by)
-    return keyed.join(chosen, order_by, "left_semi")
+    chosen = keyed.groupBy("url").agg(F.min(order_by).alias(order_by))
+    return keyed.join(chosen, ["url", order_by], "left_semi")
 
 
 def lookup_responses(frontier: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ def seed_scope(seeds: Iterable[str] | DataFrame) -> Scope:
     return prefix_scope(seeds.select(_lower_host(F.col("url")).alias("url")))
 
 
-def crawl_scope(
+def site_scope(
     seeds: Iterable[str] | DataFrame,
     schemes: Iterable[str] = ("http", "https"),
     depth: int = 100,
@@ -204,7 +204,7 @@ def crawl_scope(
     exclude_related: bool = False,
     ignores: Iterable[str] | None = None,
 ) -> Scope:
-    """Scope of a full crawl: near pages under the seeds, with their resources."""
+    """Scope of a full walk: near pages under the seeds, with their resources."""
     under = seed_scope(seeds) if only_prefixes is None else prefix_scope(only_prefixes)
     base = all_of(scheme_scope(schemes), depth_scope(depth), under)
     reachable = base if exclude_related else any_of(base, related_scope())

@@ -1,4 +1,4 @@
-"""Crawl statistics over a fetch log."""
+"""Walk statistics over a fetch log."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def status_map(log: DataFrame) -> DataFrame:
     return status_histogram(log).agg(F.map_from_entries(entries).alias("states"))
 
 
-def crawl_stats(log: DataFrame, elapsed: Column | None = None) -> DataFrame:
+def fetch_stats(log: DataFrame, elapsed: Column | None = None) -> DataFrame:
     """``urls, bytes, kb_per_s``; elapsed seconds default to the span of the log."""
     span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
     seconds = span / F.lit(1e6) if elapsed is None else F.any_value(elapsed)

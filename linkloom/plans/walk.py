@@ -47,13 +47,15 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
-class CrawlResult:
+class WalkResult:
     """Visited URLs with their responses' outcome, and where they are kept."""
 
     visited: DataFrame
     responses: DataFrame
     rounds: int
     state_dir: str
+    #: False if ``max_rounds`` ended it while there was still something new
+    complete: bool
 
     @property
     def saved(self) -> DataFrame:
@@ -90,15 +92,16 @@ class _Corpus:
         return links if self.chosen is None else links.join(self.chosen, self.keys, "left_semi")
 
 
-def _keyed(corpus: DataFrame, order_by: str | None, max_attempts: int) -> _Corpus:
+def _keyed(corpus: DataFrame, order_by: str | None, max_attempts: int | None) -> _Corpus:
     """One answer per URL: the first attempt needing no retry (else the last), then the least ``order_by``."""
     full = with_normalized_url(corpus).filter(F.col("url").isNotNull())
     heads = full.drop("body")
     retry = is_retry(F.col("status"))
     order: dict[str, Column] = {}
     if "attempt" in corpus.columns:
-        limit = F.col("attempt") < max_attempts
-        full, heads = full.filter(limit), heads.filter(limit)
+        if max_attempts is not None:
+            limit = F.col("attempt") < max_attempts
+            full, heads = full.filter(limit), heads.filter(limit)
         order["retry"] = retry
         order["rank"] = F.when(retry, -F.col("attempt")).otherwise(F.col("attempt"))
     keys = [k for k in ("attempt", order_by) if k and k in corpus.columns]
@@ -109,8 +112,7 @@ def _keyed(corpus: DataFrame, order_by: str | None, max_attempts: int) -> _Corpu
         chosen = heads.groupBy("url").agg(F.min(order_by).alias(order_by))
     else:
         chosen = heads.groupBy("url").agg(picked.alias("o")).select("url", *[f"o.{k}" for k in keys])
-    chosen = chosen if order_by is None else chosen.drop("url")
-    keys = keys if order_by is not None else ["url", *keys]
+    keys = ["url", *keys]
     return _Corpus(full, heads.join(chosen, keys, "left_semi"), keys, chosen)
 
 
@@ -180,14 +182,14 @@ def _joined(operator: str, verdicts):
 
 
 class _State:
-    """Tables of one crawl, below one folder."""
+    """Tables of one walk, below one folder."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int):
         self.spark, self.folder = spark, folder
         layout = f"{folder}/layout"
         if not storage.is_complete(spark, layout):
             spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(layout)
-        # a resumed crawl keeps the bucket count it began with
+        # a resumed walk keeps the bucket count it began with
         self.buckets = spark.read.parquet(layout).first()["buckets"]
         self.tables: list[str] = []
 
@@ -291,7 +293,7 @@ def _expand(frontier: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
     return joined.filter(valid).withColumn("depth", F.col("from_depth") + 1).withColumn("parent", F.col("src_url"))
 
 
-def crawl(
+def walk(
     seeds: DataFrame,
     corpus: DataFrame,
     scope: Scope,
@@ -300,31 +302,32 @@ def crawl(
     handler: Handler | None = None,
     order_by: str | None = None,
     max_rounds: int | None = None,
-    max_attempts: int = 1,
+    max_attempts: int | None = None,
     state_dir: str | None = None,
     keep: bool = False,
     hot_links: int = HOT_LINKS,
-) -> CrawlResult:
+) -> WalkResult:
     """Follow links from ``seeds`` through ``corpus`` until nothing new is in scope.
 
     ``corpus`` is a fetch log or page table with ``url, status, location,
     content_type, body``; with an ``attempt`` column (from 0) later attempts
-    answer retries, up to ``max_attempts``.  ``order_by`` names a unique column
-    deciding between rows with the same URL (needed only if there are any).
+    answer retries, all of them or up to ``max_attempts``.  ``order_by`` names a
+    column deciding between rows with the same URL (needed only if there are any).
     ``links`` (``src_url, url, tag``) replaces extraction from bodies;
     ``handler`` makes such links from the saved responses.
 
-    ``state_dir`` makes a crawl restartable: called again with the same folder,
+    ``state_dir`` makes a walk restartable: called again with the same folder,
     it goes on after the last finished round.  Intermediate tables are removed
     at the end unless ``keep``; the visited table stays, as it is the result.
     """
     spark = corpus.sparkSession
-    folder = state_dir or storage.fresh_dir(spark, "crawl")
+    # a folder of our own: what else lies in the caller's is neither read nor removed
+    folder = f"{state_dir.rstrip('/')}/linkloom-state" if state_dir else storage.fresh_dir(spark, "walk")
     state = _State(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = _keyed(corpus, order_by, max_attempts)
 
     # the open part of the scope refers to columns of the edge table, so it is
-    # rebuilt (without running anything) when a crawl resumes
+    # rebuilt (without running anything) when a walk resumes
     plan, rest = _edge_table(outgoing_links(keyed, handler, links), scope)
     staged = state.once("staged", lambda: plan)
     hot = state.once(
@@ -354,6 +357,7 @@ def crawl(
             state.commit_round(visited, rounds + 1, fresh)
         rounds += 1
 
+    complete = not state.round_done(rounds)
     state.drop_tables()
     if not keep:
         for name in ("staged", "hot", "edges"):
@@ -361,4 +365,4 @@ def crawl(
     found = spark.read.parquet(state.path("visited")).select("url", "tag", "depth", "parent")
     answered = keyed.answered()
     answers = answered.select("url", *[c for c in answered.columns if c not in ("url", "tag", "depth", "parent")])
-    return CrawlResult(found, lookup_responses(found, answers), rounds, folder)
+    return WalkResult(found, lookup_responses(found, answers), rounds, folder, complete)

@@ -57,7 +57,7 @@ def read_exclude_patterns(spark: SparkSession, *paths: str) -> list[str]:
     for path in paths:
         # one file of patterns is one row, so line numbers survive
         for row in spark.read.text(path, wholetext=True).select("value", "_metadata.file_name").collect():
-            for number, line in enumerate(row["value"].splitlines(), start=1):
+            for number, line in enumerate(row["value"].split("\n"), start=1):
                 if not line.strip():
                     continue
                 error = re2_error(line)

@@ -31,12 +31,12 @@ def test_outcomes(spark):
 
 
 def test_statistics(spark):
-    r = stats.crawl_stats(sample(spark)).first()
+    r = stats.fetch_stats(sample(spark)).first()
     assert (r.urls, r.bytes) == (6, 4) and abs(r.kb_per_s - 4 / 30 / 1000) < 1e-12
     assert stats.status_map(sample(spark)).first().states == {200: 1, 301: 1, 302: 1, 404: 1, 429: 1, 500: 1}
     running = [(r.urls, r.bytes) for r in stats.stats_every(sample(spark)).orderBy("period_end").collect()]
     assert running == [(5, 3), (6, 4)]
-    one = stats.crawl_stats(log(spark, (0, "http://a/", 200, "", "x"))).first()
+    one = stats.fetch_stats(log(spark, (0, "http://a/", 200, "", "x"))).first()
     assert one.kb_per_s is None
 
 

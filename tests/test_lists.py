@@ -59,3 +59,11 @@ def test_edges_on_disk(spark, tmp_path):
     with pytest.raises(ValueError):
         write_edges(df, f"{tmp_path}/f", "xls")
     assert F.col("x") is not None
+
+
+def test_very_many_patterns(spark):
+    from linkloom.functions.regex_match import matches_any
+
+    df = spark.createDataFrame([("/item/19999/",), ("/item/x/",)], "url string")
+    hit = matches_any(F.col("url"), [rf"/item/{k}/" for k in range(20000)])
+    assert [r.url for r in df.filter(hit).collect()] == ["/item/19999/"]

@@ -71,3 +71,9 @@ def test_extraction_does_not_shuffle(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("content_type", F.lit("text/html"))
     plan = page_links(pages, body="html")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_long_numeric_references(spark):
+    page = '<a href="/x&#0000000065;&#x00000000000042;&#99999999999;">'
+    row = spark.createDataFrame([(page,)], "html string").select(markup.html_links(F.col("html")).alias("l")).first()
+    assert row.l[0][0] == "/xAB�"

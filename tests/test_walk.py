@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import scope as sc
 from linkloom.plans import storage
-from linkloom.plans.crawl import _State, crawl
+from linkloom.plans.walk import _State, walk
 
 CORPUS = "url string, status int, location string, content_type string, body string"
 
@@ -19,15 +19,15 @@ def seeds(spark, *urls):
 def test_endless_chain_stops_at_the_depth_limit(spark):
     pages = [page("http://h", '<a href="/page/1">')] + [page(f"http://h/page/{k}", f'<a href="/page/{k + 1}">') for k in range(1, 9)]
     scope = sc.all_of(sc.scheme_scope(["http"]), sc.seed_scope(["http://h"]), sc.depth_scope(2))
-    result = crawl(seeds(spark, "http://h"), spark.createDataFrame(pages, CORPUS), scope)
+    result = walk(seeds(spark, "http://h"), spark.createDataFrame(pages, CORPUS), scope)
     assert result.saved.count() == 2
 
 
 def test_redirect_loop_saves_three_pages(spark):
-    pages = [page("http://h/", '<a href="/redir">'), page("http://h/redir", "", 302, "/b"), page("http://h/b", '<a href="/">')]
+    pages = [page("http://h/", '<a href="/moved">'), page("http://h/moved", "", 302, "/b"), page("http://h/b", '<a href="/">')]
     scope = sc.all_of(sc.scheme_scope(["http"]), sc.depth_scope(10), sc.seed_scope(["http://h/"]))
-    result = crawl(seeds(spark, "http://h/"), spark.createDataFrame(pages, CORPUS), scope)
-    assert {(r.url, r.depth) for r in result.saved.collect()} == {("http://h/", 0), ("http://h/redir", 1), ("http://h/b", 2)}
+    result = walk(seeds(spark, "http://h/"), spark.createDataFrame(pages, CORPUS), scope)
+    assert {(r.url, r.depth) for r in result.saved.collect()} == {("http://h/", 0), ("http://h/moved", 1), ("http://h/b", 2)}
     assert not storage.exists(spark, f"{result.state_dir}/edges")
 
 
@@ -44,15 +44,15 @@ def rows(result):
     return {tuple(r) for r in result.responses.select("url", "tag", "depth", "parent", "outcome").collect()}
 
 
-def test_stopped_crawl_goes_on_to_the_same_result(spark):
+def test_stopped_walk_goes_on_to_the_same_result(spark):
     links, corpus = graph(spark)
     scope = sc.all_of(sc.scheme_scope(["http"]), sc.depth_scope(20))
     start = seeds(spark, "http://g/hub")
-    whole = crawl(start, corpus, scope, links=links)
-    folder = storage.fresh_dir(spark, "crawl")
-    stopped = crawl(start, corpus, scope, links=links, state_dir=folder, max_rounds=1, keep=True)
+    whole = walk(start, corpus, scope, links=links)
+    folder = storage.fresh_dir(spark, "walk")
+    stopped = walk(start, corpus, scope, links=links, state_dir=folder, max_rounds=1, keep=True)
     assert stopped.visited.count() == 41
-    resumed = crawl(start, corpus, scope, links=links, state_dir=folder)
+    resumed = walk(start, corpus, scope, links=links, state_dir=folder)
     assert rows(resumed) == rows(whole) and len(rows(whole)) == 43
     assert ("http://g/end", 0, 3, "http://g/deep", "retry") in rows(whole)
 
@@ -61,19 +61,19 @@ def test_spreading_a_hub_changes_nothing(spark):
     links, corpus = graph(spark)
     scope = sc.all_of(sc.scheme_scope(["http"]), sc.depth_scope(20))
     start = seeds(spark, "http://g/hub")
-    spread = crawl(start, corpus, scope, links=links, hot_links=10, keep=True)
+    spread = walk(start, corpus, scope, links=links, hot_links=10, keep=True)
     edges = spark.read.parquet(f"{spread.state_dir}/edges")
     assert edges.filter("src_url = 'http://g/hub'").select("slot").distinct().count() == 4
-    assert rows(spread) == rows(crawl(start, corpus, scope, links=links))
+    assert rows(spread) == rows(walk(start, corpus, scope, links=links))
 
 
 def test_later_attempts_answer_retries(spark):
     schema = CORPUS + ", attempt int"
     corpus = spark.createDataFrame([(*page("http://h/", "", 503), 0), (*page("http://h/", '<a href="/x">'), 1)], schema)
     scope = sc.scheme_scope(["http"])
-    once = crawl(seeds(spark, "http://h/"), corpus, scope)
-    twice = crawl(seeds(spark, "http://h/"), corpus, scope, max_attempts=2)
-    assert (once.visited.count(), twice.visited.count()) == (1, 2)
+    once = walk(seeds(spark, "http://h/"), corpus, scope, max_attempts=1)
+    every = walk(seeds(spark, "http://h/"), corpus, scope)
+    assert (once.visited.count(), every.visited.count()) == (1, 2) and every.complete
 
 
 def test_handler_makes_the_links(spark):
@@ -82,16 +82,16 @@ def test_handler_makes_the_links(spark):
     def to_z(saved):
         return saved.select(F.col("url").alias("src_url"), F.lit("http://h/z").alias("url"), F.lit(1).alias("tag"))
 
-    result = crawl(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), handler=to_z)
+    result = walk(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), handler=to_z)
     assert {(r.url, r.tag) for r in result.visited.collect()} == {("http://h/", 0), ("http://h/z", 1)}
     with pytest.raises(ValueError):
-        crawl(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), handler=lambda saved: saved)
+        walk(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), handler=lambda saved: saved)
 
 
 def test_equal_urls_are_answered_once(spark):
     rows = [(*page("http://h/", '<a href="/two">'), 2), (*page("HTTP://H/", '<a href="/one">'), 1)]
     corpus = spark.createDataFrame(rows, CORPUS + ", id long")
-    result = crawl(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), order_by="id")
+    result = walk(seeds(spark, "http://h/"), corpus, sc.scheme_scope(["http"]), order_by="id")
     assert {r.url for r in result.visited.collect()} == {"http://h/", "http://h/one"}
     assert result.saved.count() == 1
 
@@ -109,7 +109,7 @@ def test_rounds_shuffle_neither_edges_nor_visited(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         links, corpus = graph(spark)
-        crawl(seeds(spark, "http://g/hub"), corpus, sc.scheme_scope(["http"]), links=links)
+        walk(seeds(spark, "http://g/hub"), corpus, sc.scheme_scope(["http"]), links=links)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     scans = [line for line in plans[1].splitlines() if "FileScan" in line and "linkloom_" in line]

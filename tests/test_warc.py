@@ -11,7 +11,7 @@ from linkloom.operators.warc_records import to_warc_records
 from linkloom.sources import warc
 from linkloom.sources.warc import SCHEMA
 
-PAYLOAD = b"this is some very interesting test data of non-zero size"
+PAYLOAD = bytes(range(32, 96)) + b"\r\n\r\nWARC/1.0\r\n"
 
 
 def records(spark, n, partitions):

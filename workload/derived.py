@@ -1,4 +1,4 @@
-"""Tables derived from the driver's: crawl-shaped data of the same size.
+"""Tables derived from the driver's: capture-shaped data of the same size.
 
 Every table is a projection (or, for the site, a union of projections) of whole
 driver tables, so it grows with them.  ``workload/oracle.py`` states the same
@@ -140,7 +140,7 @@ def css_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frontier_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A frontier as a stopped crawl would leave it."""
+    """A frontier as a stopped walk would leave it."""
     return fetch_log(spark, sf).select(
         "url",
         "tag",

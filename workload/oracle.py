@@ -411,7 +411,7 @@ _in_scope(
     "norm under_seeds",
 )
 _in_scope(
-    "crawl_scope",
+    "site_scope",
     f"""((id IN (SELECT id FROM under_seeds) AND depth < 12 AND split_part(url, ':', 1) IN ('http', 'https')) OR tag = 1)
   AND NOT regexp_matches(url, {_IGNORE}) AND NOT regexp_matches(url, 'utm_source=')""",
     "norm under_seeds",
@@ -556,7 +556,7 @@ cte(
 _OUTCOME = """CASE WHEN status IS NULL OR status >= 500 THEN 'retry' WHEN status >= 400 THEN 'dropped'
   WHEN status >= 300 THEN 'saved+redirect' ELSE 'saved' END AS outcome"""
 oracle(
-    "crawl_bfs",
+    "walk_bfs",
     "reached shop_edges site_responses",
     f"""SELECT r.url, r.tag, r.depth, coalesce(min(p.url), '') AS parent, {_OUTCOME.replace("status", "any_value(s.status)")}
 FROM reached r LEFT JOIN site_responses s USING (url) LEFT JOIN shop_edges e ON e.url = r.url AND e.tag = r.tag
@@ -564,7 +564,7 @@ LEFT JOIN reached p ON p.url = e.src_url AND p.depth = r.depth - 1 AND (e.src_ta
 GROUP BY r.url, r.tag, r.depth""",
 )
 oracle(
-    "crawl_resume",
+    "walk_resume",
     "reached site_responses",
     f"SELECT url, tag, depth, {_OUTCOME} FROM reached LEFT JOIN site_responses USING (url)",
 )
@@ -581,7 +581,7 @@ resolved(
 )
 normalized("plain_norm", "(SELECT target, tag AS link_tag FROM plain_resolved WHERE target IS NOT NULL AND NOT starts_with(raw, 'data:'))", "plain_resolved", "target")
 oracle(
-    "crawl_pages",
+    "walk_pages",
     "plain_norm captured",
     """SELECT url, tag, depth, CASE WHEN page_id IS NULL THEN 'retry' ELSE 'saved' END AS outcome
 FROM (SELECT url, 0 AS tag, 0 AS depth FROM captured
@@ -593,7 +593,7 @@ LEFT JOIN captured USING (url)""",
 
 _BYTES = "CASE WHEN status < 400 THEN size ELSE 0 END"
 oracle(
-    "crawl_stats",
+    "fetch_stats",
     "fetch_log",
     f"""SELECT urls, bytes, bytes / (micros / 1e6) / 1000 AS kb_per_s
 FROM (SELECT count(status) AS urls, CAST(sum({_BYTES}) AS BIGINT) AS bytes, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM fetch_log)""",

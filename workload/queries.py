@@ -16,7 +16,7 @@ from linkloom.operators import scope as sc
 from linkloom.operators.links import page_links
 from linkloom.operators.warc_records import to_warc_records
 from linkloom.plans import storage
-from linkloom.plans.crawl import crawl
+from linkloom.plans.walk import walk
 from linkloom.sources import lists, warc
 from linkloom.sources.edges import write_edges
 from linkloom.streaming import frontier as streams
@@ -215,8 +215,8 @@ def ignore_families(spark, sf):
 
 
 @query
-def crawl_scope(spark, sf):
-    scope = sc.crawl_scope(D.table(spark, sf, "pages").select("url"), depth=12, excludes=[r"utm_source="])
+def site_scope(spark, sf):
+    scope = sc.site_scope(D.table(spark, sf, "pages").select("url"), depth=12, excludes=[r"utm_source="])
     return _in_scope(spark, sf, scope)
 
 
@@ -269,7 +269,8 @@ def read_ignore_json(spark, sf):
 @query
 def seeds(spark, sf):
     """Seeds of the shop with everything they link to directly."""
-    given = lists.seeds_df(spark, [f"{D.SHOP}/region/{k}" for k in range(5)])
+    keys = D.table(spark, sf, "region").select("r_regionkey").collect()
+    given = lists.seeds_df(spark, [f"{D.SHOP}/region/{r.r_regionkey}" for r in keys])
     return frontier.expand_frontier(given, D.site_links(spark, sf)).select("url", "tag", "depth", "parent")
 
 
@@ -382,33 +383,33 @@ def lookup_responses(spark, sf):
     return frontier.lookup_responses(rows, corpus).select("url", "page_id", "outcome")
 
 
-def _shop_crawl(spark, sf, **options):
-    scope = sc.crawl_scope(D.site_seeds(spark, sf), only_prefixes=[D.SHOP])
-    return crawl(D.site_seeds(spark, sf), D.site_responses(spark, sf), scope, links=D.site_links(spark, sf), **options)
+def _shop_walk(spark, sf, **options):
+    scope = sc.site_scope(D.site_seeds(spark, sf), only_prefixes=[D.SHOP])
+    return walk(D.site_seeds(spark, sf), D.site_responses(spark, sf), scope, links=D.site_links(spark, sf), **options)
 
 
 @query
-def crawl_bfs(spark, sf):
-    """The shop crawled to a fixpoint, with each URL's depth, parent and outcome."""
-    return _shop_crawl(spark, sf).responses.select("url", "tag", "depth", "parent", "outcome")
+def walk_bfs(spark, sf):
+    """The shop walked to a fixpoint, with each URL's depth, parent and outcome."""
+    return _shop_walk(spark, sf).responses.select("url", "tag", "depth", "parent", "outcome")
 
 
 @query
-def crawl_resume(spark, sf):
-    """The same crawl stopped after two rounds and started again."""
-    folder = storage.fresh_dir(spark, "crawl")
-    _shop_crawl(spark, sf, state_dir=folder, max_rounds=2, keep=True)
-    result = _shop_crawl(spark, sf, state_dir=folder)
+def walk_resume(spark, sf):
+    """The same walk stopped after two rounds and started again."""
+    folder = storage.fresh_dir(spark, "walk")
+    _shop_walk(spark, sf, state_dir=folder, max_rounds=2, keep=True)
+    result = _shop_walk(spark, sf, state_dir=folder)
     return result.responses.select("url", "tag", "depth", "outcome")
 
 
 @query
-def crawl_pages(spark, sf):
+def walk_pages(spark, sf):
     """Captured pages as seeds: links of their bodies, two steps deep."""
     pages = D.table(spark, sf, "pages")
     scope = sc.all_of(sc.scheme_scope(["http", "https"]), sc.depth_scope(2))
     start = pages.select("url", F.lit(0).alias("tag"), F.lit(0).alias("depth"))
-    result = crawl(start, frontier.page_corpus(pages), scope, order_by="page_id")
+    result = walk(start, frontier.page_corpus(pages), scope, order_by="page_id")
     return result.responses.select("url", "tag", "depth", "outcome")
 
 
@@ -416,8 +417,8 @@ def crawl_pages(spark, sf):
 
 
 @query
-def crawl_stats(spark, sf):
-    return stats.crawl_stats(D.fetch_log(spark, sf))
+def fetch_stats(spark, sf):
+    return stats.fetch_stats(D.fetch_log(spark, sf))
 
 
 @query
@@ -515,7 +516,8 @@ def stream_frontier(spark, sf):
 @query
 def stream_stats(spark, sf):
     stream = _as_stream(spark, D.fetch_log(spark, sf))
-    name, checkpoint = "linkloom_stream_stats", storage.fresh_dir(spark, "checkpoint")
+    checkpoint = storage.fresh_dir(spark, "checkpoint")
+    name = "stats_" + checkpoint.rpartition("-")[2]
     started = streams.stream_stats(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.table(name)
