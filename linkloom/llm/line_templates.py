@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WHITESPACE, text_key, written
+from linkloom.llm.common import text_key, written
 
 VARIABLE = "<*>"
 #: a white-space word with a digit; linear, as it starts only where words start
@@ -23,7 +23,9 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def _tokens(line: Column) -> Column:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, NUMBERED, VARIABLE)).otherwise(line)
-    return F.split(F.trim(masked, F.lit(SPACES)), WHITESPACE)
+    # splitting at one character needs no regular expression
+    spaced = F.when(masked.rlike(r"[\x09-\x0D]"), F.translate(masked, SPACES, " " * len(SPACES))).otherwise(masked)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _digest(c: Column) -> Column:
