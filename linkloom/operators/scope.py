@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +23,7 @@ from linkloom.functions.urls import prefix_candidates, prefix_key, url_scheme, w
 from linkloom.operators.skew import salted_join
 from linkloom.sources.lists import IGNORE_PATH_SETTING, default_ignores
 
-#: prefix sets up to this size are compared in place; larger ones are joined
+#: filters compare prefix sets up to this size in place and join larger ones, with the same rows
 MAX_INLINE_PREFIXES = 1000
 
 Check = Callable[[Column, Column, Column], Column]
@@ -137,49 +137,47 @@ def ignore_scope(
     return Scope(check=lambda url, tag, depth: ~matches_any(url, patterns))
 
 
-def _inline_prefix_scope(keys: list[str]) -> Scope:
-    def hit(candidates: Column) -> Column:
-        return F.coalesce(F.exists(candidates, lambda c: c.isin(keys)), F.lit(False))
+def _mark_inline(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    kept = df.columns
+    df = with_prefix_candidates(df, "url", "__cand")
+    hit = F.exists("__cand", lambda c: c.isin(keys))
+    return df.select(*kept, F.coalesce(hit, F.lit(False)).alias(name))
 
-    def mark(df: DataFrame, name: str) -> DataFrame:
-        kept = df.columns
-        df = with_prefix_candidates(df, "url", "__cand")
-        return df.select(*kept, hit(F.col("__cand")).alias(name))
-
-    return Scope(check=lambda url, tag, depth: hit(prefix_candidates(url)), mark=mark)
-
-
-def _joined_prefix_scope(prefixes: DataFrame) -> Scope:
-    def mark(df: DataFrame, name: str) -> DataFrame:
-        inside = prefix_matches(df.select("url"), prefixes).withColumn(name, F.lit(True))
-        joined = salted_join(df, inside, ["url"], "left", df.columns, 1)
-        return joined.select(*df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
-
-    def check(url: Column, tag: Column, depth: Column) -> Column:
-        raise ValueError("this prefix set is joined, not inlined: use Scope.filter(df)")
 
-    return Scope(check=check, mark=mark)
+def _mark_joined(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    inside = prefix_matches(df.select("url"), keys).withColumn(name, F.lit(True))
+    joined = df.join(inside, "url", "left")
+    return joined.select(*df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
 
 
 def prefix_scope(prefixes: Iterable[str] | DataFrame) -> Scope:
     """URLs having one of the given URLs as a prefix, by whole path segments.
 
     The scheme and a leading ``www.`` do not count.  A DataFrame (first column:
-    URL) may be of any size: a small one is inlined, a large one joined.
+    URL) may be of any size, and building the scope starts no job.  Applied with
+    :meth:`Scope.filter`, few prefixes are compared in place and more are joined;
+    :meth:`Scope.column` compares with all of them, read by a scalar subquery when
+    the query runs, so prefer the filter for a set too large for one row.
     """
-    if isinstance(prefixes, DataFrame):
-        keys = prefixes.select(prefix_key(F.col(prefixes.columns[0])).alias("prefix"))
-        keys = keys.filter(F.col("prefix").isNotNull()).distinct()
-        few = keys.limit(MAX_INLINE_PREFIXES + 1).collect()
-        if len(few) > MAX_INLINE_PREFIXES:
-            return _joined_prefix_scope(keys)
-        return _inline_prefix_scope(sorted(r["prefix"] for r in few))
-    urls = [F.lit(u) for u in prefixes]
-    if not urls:
-        return _inline_prefix_scope([])
-    spark = SparkSession.active()
-    frame = spark.range(1).select(F.explode(F.array(*urls)).alias("url"))
-    return prefix_scope(frame)
+    if not isinstance(prefixes, DataFrame):
+        prefixes = SparkSession.active().createDataFrame([(u,) for u in prefixes], "url string")
+    keys = prefixes.select(prefix_key(F.col(prefixes.columns[0])).alias("prefix"))
+    keys = keys.filter(F.col("prefix").isNotNull()).distinct()
+
+    @cache
+    def few() -> list[str]:
+        return sorted(r["prefix"] for r in keys.limit(MAX_INLINE_PREFIXES + 1).collect())
+
+    def mark(df: DataFrame, name: str) -> DataFrame:
+        if len(few()) > MAX_INLINE_PREFIXES:
+            return _mark_joined(df, name, keys)
+        return _mark_inline(df, name, few())
+
+    def check(url: Column, tag: Column, depth: Column) -> Column:
+        known = keys.agg(F.collect_set("prefix")).scalar()
+        return F.coalesce(F.arrays_overlap(prefix_candidates(url), known), F.lit(False))
+
+    return Scope(check=check, mark=mark)
 
 
 def _lower_host(url: Column) -> Column:

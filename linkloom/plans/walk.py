@@ -327,7 +327,7 @@ def walk(
     keyed = _keyed(corpus, order_by, max_attempts)
 
     # the open part of the scope refers to columns of the edge table, so it is
-    # rebuilt (without running anything) when a walk resumes
+    # rebuilt when a walk resumes; that reads no more than a bounded part of its prefixes
     plan, rest = _edge_table(outgoing_links(keyed, handler, links), scope)
     staged = state.once("staged", lambda: plan)
     hot = state.once(

@@ -90,8 +90,17 @@ def test_links_preset(spark):
     check(spark, sc.links_scope(["http://s/"]), rows)
 
 
-def test_large_prefix_scope_has_no_column_form(spark, monkeypatch):
-    monkeypatch.setattr(sc, "MAX_INLINE_PREFIXES", 0)
-    with pytest.raises(ValueError):
-        sc.prefix_scope(P).column()
-    assert F.col("x") is not None
+@pytest.mark.parametrize("size", [10, 5000])
+def test_prefix_scopes_of_any_size_agree(spark, size):
+    scope = sc.prefix_scope([f"http://many.test/{i}/" for i in range(size)])
+    rows = [("http://many.test/7/x", 0, 9, True), (f"http://many.test/{size}/x", 0, 9, False), ("http://many.test/", 0, 9, False)]
+    check(spark, scope, rows)
+    check(spark, sc.any_of(scope, sc.depth_scope(3)), [*rows, ("http://other.test/", 0, 2, True)])
+    df = spark.createDataFrame([r[:3] for r in rows], "url string, tag int, depth int")
+    for whole in (scope, sc.any_of(scope, sc.depth_scope(3))):
+        assert [r.url for r in df.filter(whole.column()).collect()] == ["http://many.test/7/x"]
+
+
+def test_building_a_prefix_scope_runs_nothing(spark):
+    broken = spark.range(1).select(F.raise_error(F.lit("read too early")).cast("string").alias("url"))
+    assert sc.prefix_scope(broken).column() is not None
