@@ -193,9 +193,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
 
 
-def _split_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+def _stars(roots: DataFrame) -> DataFrame:
+    """Components as links: every node's to its root, which stand for all links found so far."""
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
+def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``bucket, id, n, root, largest`` of buckets whose members are in several components."""
-    roots = components(links)
     placed = members.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     placed = written(placed, "placed")
     sizes = placed.groupBy("bucket", "root").count().groupBy("bucket")
@@ -204,8 +208,8 @@ def _split_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(placed.join(largest, "bucket"), "split-buckets")
 
 
-def _compare_rest(members: DataFrame, links: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """All links, after the first pivots' comparisons left some members in components of their own.
+def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``id, root`` over all links, after the first pivots' comparisons left some members in components of their own.
 
     First every bucket gives its other members some more pivots of its largest
     component, one a round.  What is still apart then, mostly members that only
@@ -214,9 +218,9 @@ def _compare_rest(members: DataFrame, links: DataFrame, nodes: DataFrame, docs:
     """
     alike = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
     for number in range(PIVOT_ROUNDS):
-        split = _split_buckets(members, links)
+        split = _split_buckets(members, roots)
         if split.isEmpty():
-            return links
+            return roots
         pivots = (
             split.where("root = largest")
             .groupBy("bucket")
@@ -225,10 +229,11 @@ def _compare_rest(members: DataFrame, links: DataFrame, nodes: DataFrame, docs:
         pivots = written(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
         pairs = split.where("root <> largest").join(pivots, "bucket").where(alike)
         pairs = written(_ordered(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct(), "pairs")
-        links = written(links.unionByName(verified(pairs, nodes, docs, percent)), "links")
-    split = _split_buckets(members, links)
+        roots = components(_stars(roots).unionByName(verified(pairs, nodes, docs, percent)))
+    split = _split_buckets(members, roots)
     apart = written(split.where("root <> largest").select("id").distinct(), "apart")
     blocks = -(-apart.count() // BLOCK)
+    links = _stars(roots)
     for number in range(blocks):
         mine = apart.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
         pivots = split.join(mine, "id", "left_semi")
@@ -240,7 +245,7 @@ def _compare_rest(members: DataFrame, links: DataFrame, nodes: DataFrame, docs:
         pairs = _ordered(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         pairs = written(pairs.groupBy("a", "b").count().where("count > 1").select("a", "b"), "pairs")
         links = written(links.unionByName(verified(pairs, nodes, docs, percent)), "links")
-    return links
+    return components(links) if blocks else roots
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -280,9 +285,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .unionByName(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     )
     pairs = written(_ordered(pairs).distinct(), "pairs")
-    links = written(verified(pairs, nodes, docs, percent), "links")
-    links = _compare_rest(members, links, nodes, docs, percent)
-    roots = components(links)
+    roots = components(verified(pairs, nodes, docs, percent))
+    roots = _compare_rest(members, roots, nodes, docs, percent)
     labels = (
         nodes.join(roots, "id", "left")
         .where("size > 1 or root is not null")
