@@ -10,9 +10,10 @@ from linkloom.llm.common import written
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """True if every left end has one right end, which is no left end itself."""
-    repeated = edges.groupBy("u").count().where("count > 1")
-    chained = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
-    return repeated.isEmpty() and chained.isEmpty()
+    ends = F.array(*(F.struct(F.col(c).alias("node"), F.lit(n).alias("left")) for c, n in (("u", 1), ("v", 0))))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("left").alias("lefts"), F.min("left").alias("least"))
+    # a left end that is met twice, or also as a right end
+    return not nodes.agg(F.max(F.col("lefts") > F.col("least"))).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,10 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     while not _is_forest_of_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "large-star")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        others = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(others.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # the least neighbour stays the node's own, which moves the others there
+        moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        e = written(large.join(least, "u").select(moved.alias("u"), F.col("m").alias("v")).distinct(), "edges")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))

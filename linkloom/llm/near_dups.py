@@ -29,8 +29,8 @@ PLACES, ROWS = 128, 4
 #: a link is compared in full if this share of the signature agrees; at 0.75 the estimate
 #: falls below it with probability 4e-6 (it is 5 deviations off)
 LIKELY = 0.55
-#: rounds in which a bucket gives its members one more pivot
-PIVOT_ROUNDS = 3
+#: pivots more that a bucket gives to the members the first one left apart
+MORE_PIVOTS = 3
 #: documents still apart after that, which are compared with all others at a time
 BLOCK = 20_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -83,6 +83,9 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
 def super_minhash(hashes: np.ndarray, bounds: np.ndarray, places: int = PLACES) -> np.ndarray:
     """SuperMinHash signatures as 16-bit codes, a row per set (rows of empty sets mean nothing).
 
+    A row holds the codes' high bytes, then their low ones: the high bytes alone
+    estimate a similarity, and are half of what a comparison has to carry.
+
     In step j every element throws a value of rank j at one place of its own random
     permutation, so ranks are correlated over the places; a place keeps its least
     value.  A set stops once its worst place holds a rank that later steps cannot
@@ -117,7 +120,8 @@ def super_minhash(hashes: np.ndarray, bounds: np.ndarray, places: int = PLACES)
             permutation[rows, k] = 0
         else:
             live, permutation = live[still], permutation[still]
-    return (_mix(best) >> np.uint64(48)).astype("<u2")
+    codes = _mix(best)
+    return np.hstack([(codes >> np.uint64(shift)).astype(np.uint8) for shift in (56, 48)])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +150,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(len(c), -1) for c in (a, b))
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (a, b))
     return pa.array((x == y).mean(axis=1) if len(a) else np.zeros(0))
 
 
@@ -171,26 +175,27 @@ def _linked(percent: int):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The ``a, b`` rows of ``pairs`` that are links: by sizes, by signatures, and then by the full sets."""
+    """The ``a, b`` rows of ``pairs`` that are links: by signatures, and then by the full sets."""
     agreement = F.arrow_udf(_agreement, "double")
-    side = {c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("codes").alias(f"codes_{c}")) for c in "ab"}
-    likely = (
-        pairs.join(side["b"], "b")
-        .join(side["a"], "a")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where(agreement("codes_a", "codes_b") >= LIKELY)
-        .select("a", "b")
-    )
-    likely = written(likely.distinct(), "likely")
-    wanted = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    high = F.substring("codes", 1, PLACES)
+    side = {c: nodes.select(F.col("id").alias(c), high.alias(f"codes_{c}")) for c in "ab"}
+    likely = pairs.join(side["b"], "b").join(side["a"], "a").where(agreement("codes_a", "codes_b") >= LIKELY)
+    likely = written(likely.select("a", "b"), "likely")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     texts = written(texts, "candidate-texts")
     side = {c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
     return likely.join(side["b"], "b").join(side["a"], "a").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+def _alike(percent: int) -> str:
+    return f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``a < b`` of ``id, n, pivot, pivot_n`` rows whose sizes allow a link."""
+    pairs = rows.where("id <> pivot").where(_alike(percent)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    return written(pairs.distinct(), "pairs")
 
 
 def _stars(roots: DataFrame) -> DataFrame:
@@ -204,7 +209,7 @@ def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     placed = written(placed, "placed")
     sizes = placed.groupBy("bucket", "root").count().groupBy("bucket")
     largest = sizes.agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-    largest = written(largest.where("roots > 1").select("bucket", F.col("m.root").alias("largest")), "largest")
+    largest = largest.where("roots > 1").select("bucket", F.col("m.root").alias("largest"))
     return written(placed.join(largest, "bucket"), "split-buckets")
 
 
@@ -212,28 +217,26 @@ def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
     """``id, root`` over all links, after the first pivots' comparisons left some members in components of their own.
 
     First every bucket gives its other members some more pivots of its largest
-    component, one a round.  What is still apart then, mostly members that only
-    share a passage, is compared with everything in its buckets, a block of
-    documents at a time: pairs of like size that agree in two bands or more.
+    component.  What is still apart then, mostly members that only share a passage,
+    is compared with everything in its buckets, a block of documents at a time:
+    pairs of like size that agree in two bands or more.
     """
-    alike = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-    for number in range(PIVOT_ROUNDS):
-        split = _split_buckets(members, roots)
-        if split.isEmpty():
-            return roots
-        pivots = (
-            split.where("root = largest")
-            .groupBy("bucket")
-            .agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(number)).alias("h"), "id", "n")).alias("p"))
-        )
-        pivots = written(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
-        pairs = split.where("root <> largest").join(pivots, "bucket").where(alike)
-        pairs = written(_ordered(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct(), "pairs")
-        roots = components(_stars(roots).unionByName(verified(pairs, nodes, docs, percent)))
     split = _split_buckets(members, roots)
+    if split.isEmpty():
+        return roots
+    drawn = [
+        F.min(F.struct(F.xxhash64("id", "bucket", F.lit(k)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n")))
+        for k in range(MORE_PIVOTS)
+    ]
+    pivots = split.where("root = largest").groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("p"))
+    rows = split.where("root <> largest").join(pivots, "bucket").select("id", "n", F.inline("p"))
+    pairs = _pairs(rows, percent)
+    roots = components(_stars(roots).unionByName(verified(pairs, nodes, docs, percent)))
+    split = _split_buckets(split.select("bucket", "id", "n"), roots)
     apart = written(split.where("root <> largest").select("id").distinct(), "apart")
     blocks = -(-apart.count() // BLOCK)
     links = _stars(roots)
+    alike = _alike(percent)
     for number in range(blocks):
         mine = apart.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
         pivots = split.join(mine, "id", "left_semi")
@@ -242,7 +245,7 @@ def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
         # a pair of two pivots of this block is met from both sides
         both = F.col("__both").isNotNull() & (F.col("pivot") > F.col("id"))
         pairs = pairs.join(mine.withColumn("__both", F.lit(True)), "id", "left").where(~both)
-        pairs = _ordered(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         pairs = written(pairs.groupBy("a", "b").count().where("count > 1").select("a", "b"), "pairs")
         links = written(links.unionByName(verified(pairs, nodes, docs, percent)), "links")
     return components(links) if blocks else roots
@@ -271,22 +274,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         )
     )
     nodes = written(classes, "nodes")
+    planes = [F.lit(0), F.lit(PLACES)]
     band = F.transform(
         F.sequence(F.lit(0), F.lit(PLACES // ROWS - 1)),
-        lambda b: F.xxhash64(b, F.substring(F.col("codes"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))),
+        lambda b: F.xxhash64(b, *(F.substring(F.col("codes"), plane + b * ROWS + 1, F.lit(ROWS)) for plane in planes)),
     )
     banded = nodes.select(F.explode(band).alias("bucket"), "id", "n")
-    buckets = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other"), F.count(F.lit(1)).alias("n"))
-    buckets = written(buckets.where("n > 1 and pivot <> other"), "buckets")
-    members = written(banded.join(buckets.where("n > 2").select("bucket", "pivot"), "bucket"), "members")
-    pairs = (
-        buckets.where("n = 2")
-        .select(F.col("pivot").alias("a"), F.col("other").alias("b"))
-        .unionByName(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    )
-    pairs = written(_ordered(pairs).distinct(), "pairs")
+    one = F.struct("id", "n")
+    buckets = banded.groupBy("bucket").agg(F.min(one).alias("pivot"), F.max(one).alias("other"), F.count(F.lit(1)).alias("size"))
+    buckets = written(buckets.where("size > 1"), "buckets")
+    pivot = [F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")]
+    members = written(banded.join(buckets.where("size > 2").select("bucket", *pivot), "bucket"), "members")
+    pairs = buckets.where("size = 2").select("other.*", *pivot)
+    pairs = _pairs(pairs.unionByName(members.drop("bucket")), percent)
     roots = components(verified(pairs, nodes, docs, percent))
-    roots = _compare_rest(members, roots, nodes, docs, percent)
+    roots = _compare_rest(members.select("bucket", "id", "n"), roots, nodes, docs, percent)
     labels = (
         nodes.join(roots, "id", "left")
         .where("size > 1 or root is not null")
