@@ -2,8 +2,9 @@
 
 Documents with the same shingle set are one node.  Nodes that agree in a band of
 their signatures are candidates; a bucket's candidates are compared with a pivot,
-not with each other; members that stay in other components meet further pivots,
-and what is apart after that is compared with its whole buckets, block by block.
+not with each other; members that stay in other components meet further pivots.
+Where buckets still hold several components after that, all their members are
+joined exactly, on the shingles that are rare among them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pandas.util import hash_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import written
@@ -23,16 +24,15 @@ from linkloom.llm.components import components
 
 #: words a shingle
 WIDTH = 5
-#: signature length and rows a band: at similarity 0.75 all 32 bands miss with probability
-#: 5e-6, and all but one with 8e-5
+#: signature length and rows a band: at similarity 0.75 all 32 bands miss with probability 5e-6
 PLACES, ROWS = 128, 4
 #: a link is compared in full if this share of the signature agrees; at 0.75 the estimate
 #: falls below it with probability 4e-6 (it is 5 deviations off)
 LIKELY = 0.55
 #: pivots more that a bucket gives to the members the first one left apart
 MORE_PIVOTS = 3
-#: documents still apart after that, which are compared with all others at a time
-BLOCK = 20_000
+#: from this many documents on, a shingle's count decides how late it comes in the exact join's order
+OFTEN = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _R40 = np.uint64((1 << 40) - 1)
 
@@ -188,13 +188,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     return likely.join(side["b"], "b").join(side["a"], "a").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _alike(percent: int) -> str:
-    return f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-
-
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct ``a < b`` of ``id, n, pivot, pivot_n`` rows whose sizes allow a link."""
-    pairs = rows.where("id <> pivot").where(_alike(percent)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    alike = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
+    pairs = rows.where("id <> pivot").where(alike).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     return written(pairs.distinct(), "pairs")
 
 
@@ -204,8 +201,8 @@ def _stars(roots: DataFrame) -> DataFrame:
 
 
 def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``bucket, id, n, root, largest`` of buckets whose members are in several components."""
-    placed = members.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    """``members`` of buckets with several components, with ``root, largest``."""
+    placed = members.join(roots, "id", "left").select(*members.columns, F.coalesce("root", "id").alias("root"))
     placed = written(placed, "placed")
     sizes = placed.groupBy("bucket", "root").count().groupBy("bucket")
     largest = sizes.agg(F.max(F.struct("count", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
@@ -213,13 +210,44 @@ def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return written(placed.join(largest, "bucket"), "split-buckets")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, bounds = shingle_sets(batch.column("text"))
+        n = np.diff(bounds)
+        keys = [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+        columns = [batch.column("doc_id").to_numpy(), np.array(keys, np.uint64).view(np.int64), n]
+        columns = [np.repeat(c, n) for c in columns] + [hashes.view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "key", "n", "bucket"])
+
+
+def _rare_shingles(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``bucket, id, n, short``: the rarest shingles of every text, of which links must share one.
+
+    Sets in one common order, the rarest shingles first, that have the similarity
+    asked for share one of the first ``n - ceil(t n) + 1`` of the longer set and
+    ``n - ceil(2 t n / (1 + t)) + 1`` of the shorter (``short`` marks these).  A
+    passage that many documents share comes last, so it brings no pairs together.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    rows = written(texts.mapInArrow(_shingle_rows, "id long, key long, n long, bucket long"), "shingles")
+    often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= OFTEN)
+    order = Window.partitionBy("id", "key").orderBy(F.coalesce("often", F.lit(0)), "bucket")
+    ranked = rows.join(often, "bucket", "left").withColumn("rank", F.row_number().over(order))
+    return (
+        ranked.where(f"rank <= n - ({percent} * n + 99) div 100 + 1")
+        .withColumn("short", F.expr(f"rank <= n - (2 * {percent} * n + 99 + {percent}) div (100 + {percent}) + 1"))
+        .select("bucket", "id", "n", "short")
+    )
+
+
 def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """``id, root`` over all links, after the first pivots' comparisons left some members in components of their own.
 
     First every bucket gives its other members some more pivots of its largest
-    component.  What is still apart then, mostly members that only share a passage,
-    is compared with everything in its buckets, a block of documents at a time:
-    pairs of like size that agree in two bands or more.
+    component.  The members of buckets that are still split, mostly texts that only
+    share a passage, are joined on their rare shingles; members of a shingle's
+    largest component meet only those outside it.
     """
     split = _split_buckets(members, roots)
     if split.isEmpty():
@@ -233,22 +261,18 @@ def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
     pairs = _pairs(rows, percent)
     roots = components(_stars(roots).unionByName(verified(pairs, nodes, docs, percent)))
     split = _split_buckets(split.select("bucket", "id", "n"), roots)
-    apart = written(split.where("root <> largest").select("id").distinct(), "apart")
-    blocks = -(-apart.count() // BLOCK)
-    links = _stars(roots)
-    alike = _alike(percent)
-    for number in range(blocks):
-        mine = apart.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
-        pivots = split.join(mine, "id", "left_semi")
-        pivots = pivots.select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root"))
-        pairs = split.join(written(pivots, "pivots"), "bucket").where("root <> pivot_root").where(alike)
-        # a pair of two pivots of this block is met from both sides
-        both = F.col("__both").isNotNull() & (F.col("pivot") > F.col("id"))
-        pairs = pairs.join(mine.withColumn("__both", F.lit(True)), "id", "left").where(~both)
-        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = written(pairs.groupBy("a", "b").count().where("count > 1").select("a", "b"), "pairs")
-        links = written(links.unionByName(verified(pairs, nodes, docs, percent)), "links")
-    return components(links) if blocks else roots
+    if split.isEmpty():
+        return roots
+    rare = _split_buckets(_rare_shingles(split.select("id").distinct(), docs, percent), roots)
+    outside = rare.where("root <> largest").select(
+        "bucket", F.col("root").alias("pivot_root"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("short").alias("pivot_short")
+    )
+    met = (
+        rare.join(outside, "bucket")
+        .where("root <> pivot_root and (root = largest or id < pivot)")
+        .where("if(n < pivot_n or n = pivot_n and id < pivot, short, pivot_short)")
+    )
+    return components(_stars(roots).unionByName(verified(_pairs(met, percent), nodes, docs, percent)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

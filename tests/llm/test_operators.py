@@ -224,7 +224,7 @@ def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
             base = [*base]
             base[rng.randrange(120)] = f"x{i}"
         rows.append((i, " ".join(w if rng.random() > 0.01 else f"y{i}" for w in base)))
-    monkeypatch.setattr(near_dups, "BLOCK", 10)
+    monkeypatch.setattr(near_dups, "OFTEN", 2)
     docs = prepare(spark).createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs).collect()}
     assert got == near_components(rows)
