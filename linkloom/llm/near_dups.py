@@ -221,12 +221,11 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _rare_shingles(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """``bucket, id, n, short``: the rarest shingles of every text, of which links must share one.
+    """``bucket, id, n, rank``: the rarest shingles of every text, of which links must share one.
 
-    Sets in one common order, the rarest shingles first, that have the similarity
-    asked for share one of the first ``n - ceil(t n) + 1`` of the longer set and
-    ``n - ceil(2 t n / (1 + t)) + 1`` of the shorter (``short`` marks these).  A
-    passage that many documents share comes last, so it brings no pairs together.
+    Ranks count from 1 in one common order of all shingles, the rarest first.  Sets
+    that have the similarity asked for share one of the first ``n - ceil(t n) + 1``
+    of either; a passage that many documents share comes last.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
@@ -234,11 +233,7 @@ def _rare_shingles(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= OFTEN)
     order = Window.partitionBy("id", "key").orderBy(F.coalesce("often", F.lit(0)), "bucket")
     ranked = rows.join(often, "bucket", "left").withColumn("rank", F.row_number().over(order))
-    return (
-        ranked.where(f"rank <= n - ({percent} * n + 99) div 100 + 1")
-        .withColumn("short", F.expr(f"rank <= n - (2 * {percent} * n + 99 + {percent}) div (100 + {percent}) + 1"))
-        .select("bucket", "id", "n", "short")
-    )
+    return ranked.where(f"rank <= n - ({percent} * n + 99) div 100 + 1").select("bucket", "id", "n", "rank")
 
 
 def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -265,12 +260,13 @@ def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
         return roots
     rare = _split_buckets(_rare_shingles(split.select("id").distinct(), docs, percent), roots)
     outside = rare.where("root <> largest").select(
-        "bucket", F.col("root").alias("pivot_root"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("short").alias("pivot_short")
+        "bucket", F.col("root").alias("pivot_root"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rank").alias("pivot_rank")
     )
+    # what two sets can share from their first common shingle on, and what a link must share
     met = (
         rare.join(outside, "bucket")
         .where("root <> pivot_root and (root = largest or id < pivot)")
-        .where("if(n < pivot_n or n = pivot_n and id < pivot, short, pivot_short)")
+        .where(f"(least(n - rank, pivot_n - pivot_rank) + 1) * (100 + {percent}) >= {percent} * (n + pivot_n)")
     )
     return components(_stars(roots).unionByName(verified(_pairs(met, percent), nodes, docs, percent)))
 
