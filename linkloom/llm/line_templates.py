@@ -3,15 +3,21 @@
 A line's leaf is its number of tokens and its first tokens, tokens with digits
 counting as variable.  Lines of a leaf that agree in most positions share one
 template, whose other positions are variable; any other line is a template of its
-own.  Templates that occur in several documents are dropped from all but the first.
+own.  The sentences of a line are messages like lines, so that a passage inside a line
+is found as well.  Templates that occur in several documents are dropped from all but the first.
 The tree is never built in one place: leaves, positions and templates are keys of
 aggregations that reduce in each task before they shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import defaultdict
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from linkloom.llm.common import text_key, written
 
@@ -19,6 +25,10 @@ VARIABLE = "<*>"
 #: a white-space word with a digit; linear, as it starts only where words start
 NUMBERED = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 SPACES = " \t\n\x0b\x0c\r"
+#: the place between two sentences of a line, for Java and Python alike
+SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])(?=[^\n])"
+#: the part of a message that is a whole line
+WHOLE = -1
 
 
 def _tokens(line: Column) -> Column:
@@ -38,17 +48,42 @@ def _keys() -> list[Column]:
 
 
 def _lines(docs: DataFrame, least_tokens: int, leading: int) -> DataFrame:
-    """``key_id, key_text, pos, tokens, line, leaf`` of every line of enough tokens."""
-    rows = docs.where("text is not null").select(*_keys(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "row"))
-    rows = rows.select("key_id", "key_text", "pos", _tokens(F.col("row")).alias("tokens"))
-    rows = rows.where(F.size("tokens") >= least_tokens)
-    leaf = F.struct(F.size("tokens").alias("n"), F.slice("tokens", 1, leading).alias("head"))
-    return rows.select("key_id", "key_text", "pos", "tokens", _digest(F.col("tokens")).alias("line"), F.xxhash64(leaf).alias("leaf"))
+    """``key_id, key_text, pos, part, at, n, tokens, line, leaf`` of the messages of every line.
+
+    A line is a message, and so is each of its sentences if it has several.  ``part``
+    is the sentence's place in its line (WHOLE for lines), ``at`` the place among all
+    sentences of the document (null for a line of several), blank ones left out.
+    """
+    single = lambda row: ~row.rlike(SENTENCE_END)
+    parts = F.filter(
+        F.flatten(
+            F.transform(
+                F.split("text", "\n", -1),
+                lambda row, i: F.transform(
+                    F.split(row, SENTENCE_END, -1),
+                    lambda x, j: F.struct(
+                        i.alias("pos"), F.when(single(row), WHOLE).otherwise(j).alias("part"), x.alias("row")
+                    ),
+                ),
+            )
+        ),
+        lambda x: x["row"].rlike(r"[^\x20\x09-\x0D]"),
+    )
+    docs = docs.where("text is not null")
+    sentences = docs.select(*_keys(), F.posexplode(parts).alias("at", "x")).select("key_id", "key_text", "at", "x.*")
+    lines = docs.select(*_keys(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "row"))
+    lines = lines.where(~single(F.col("row"))).withColumns({"part": F.lit(WHOLE), "at": F.lit(None).cast("int")})
+    rows = sentences.unionByName(lines)
+    rows = rows.select("key_id", "key_text", "pos", "part", "at", _tokens(F.col("row")).alias("tokens"))
+    n = F.size("tokens")
+    rows = rows.withColumn("n", n).where(F.col("at").isNotNull() | (n >= least_tokens))
+    leaf = F.struct(n.alias("n"), F.slice("tokens", 1, leading).alias("head"))
+    return rows.select("*", _digest(F.col("tokens")).alias("line"), F.xxhash64(leaf).alias("leaf"))
 
 
 def _general(lines: DataFrame, narrow: DataFrame, same: float, constant: float, least_general: int) -> DataFrame:
     """``line, template`` of the lines that share a generalised template with others of their leaf."""
-    mixed = narrow.groupBy("leaf").agg(F.min("line.a").alias("lo"), F.max("line.a").alias("hi"))
+    mixed = narrow.where(F.col("n") >= least_general).groupBy("leaf").agg(F.min("line.a").alias("lo"), F.max("line.a").alias("hi"))
     mixed = written(mixed.where("lo <> hi").select("leaf"), "leaves")
     members = (
         lines.where(F.size("tokens") >= least_general)
@@ -81,19 +116,24 @@ def recurring_lines(
     constant: float = 0.7,
     least_general: int = 6,
 ) -> DataFrame:
-    """``key_id, key_text, pos, first``: lines whose template occurs in ``least_docs`` documents or more.
+    """``key_id, key_text, pos, part, at, n, first``: messages whose template occurs in ``least_docs`` documents or more.
 
-    ``first`` marks the lines of the template's first document (the smallest key).
-    Positions count from 0.  Lines of fewer than ``least_tokens`` tokens are never
-    templates; lines of fewer than ``least_general`` are not generalised.
+    Messages are lines (``part`` is WHOLE) and the sentences of lines; ``n`` is the
+    number of tokens and ``at`` the sentence's place in the document.  ``first`` marks
+    those of the template's first document (the smallest key).  Positions count from
+    0.  Lines of fewer than ``least_tokens`` tokens are never templates; messages of
+    fewer than ``least_general`` are not generalised.
     """
     lines = _lines(docs, least_tokens, leading)
     narrow = written(lines.drop("tokens"), "lines")
     general = written(_general(lines, narrow, same, constant, least_general), "line-templates")
     rows = narrow.join(general, "line", "left").select(
-        "key_id", "key_text", "pos", F.coalesce("template", "line").alias("template")
+        "key_id", "key_text", "pos", "part", "at", "n", F.coalesce("template", "line").alias("template")
     )
-    rows = written(rows, "templated")
+    key = F.struct("key_id", "key_text")
+    shared = rows.groupBy("template").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi")
+    # most templates end here, so only the others' documents are told apart
+    rows = written(rows.join(written(shared.select("template"), "shared"), "template"), "templated")
     spread = (
         rows.select("template", "key_id", "key_text")
         .distinct()
@@ -103,35 +143,75 @@ def recurring_lines(
     )
     spread = written(spread, "recurring")
     return rows.join(spread, "template").select(
-        "key_id", "key_text", "pos", (F.col("key_id") == F.col("first_id")).alias("first")
+        "key_id", "key_text", "pos", "part", "at", "n", (F.col("key_id") == F.col("first_id")).alias("first")
     )
 
 
-def drop_recurring_lines(docs: DataFrame, copy_share: float | None = None, **options) -> DataFrame:
-    """``docs`` with ``text`` freed of recurring lines, and ``n_lines, n_dropped``.
+def _cuts(messages: DataFrame, least_tokens: int, least_run: int) -> DataFrame:
+    """``key_id, key_text, pos, part`` of recurring lines, and of sentences in recurring runs of ``least_run`` tokens."""
+    key = ["key_id", "key_text"]
+    order = Window.partitionBy(*key).orderBy("at")
+    sentences = messages.where("at is not null").select(*key, "pos", "part", "at", "n").distinct()
+    runs = sentences.withColumn("run", F.col("at") - F.row_number().over(order))
+    runs = runs.withColumn("words", F.sum("n").over(Window.partitionBy(*key, "run")))
+    runs = runs.where(F.col("words") >= least_run).select(*key, "pos", "part")
+    return messages.where((F.col("part") == WHOLE) & (F.col("n") >= least_tokens)).select(*key, "pos", "part").unionByName(runs)
+
+
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("n", LongType())]))
+def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+    """The texts without the lines and sentences of ``cuts``, and how many lines went as a whole."""
+    out = []
+    for text, cut in zip(texts.to_pylist(), cuts.to_pylist()):
+        if text is None or cut is None:
+            out.append(None)
+            continue
+        gone = defaultdict(set)
+        for c in cut:
+            gone[c["pos"]].add(c["part"])
+        left, dropped = [], 0
+        for pos, row in enumerate(text.split("\n")):
+            if pos in gone:
+                parts = re.split(SENTENCE_END, row)
+                kept = [] if WHOLE in gone[pos] else [x for j, x in enumerate(parts) if j not in gone[pos]]
+                row = "".join(kept) if 0 not in gone[pos] else "".join(kept).lstrip(SPACES)
+                if not row.strip(SPACES):
+                    dropped += 1
+                    continue
+            left.append(row)
+        out.append({"text": "\n".join(left), "n": dropped})
+    return pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64())]))
+
+
+def drop_recurring_lines(
+    docs: DataFrame, copy_share: float | None = None, least_tokens: int = 3, least_run: int = 20, **options
+) -> DataFrame:
+    """``docs`` with ``text`` freed of recurring lines and passages, and ``n_lines, n_dropped``.
 
-    Of a recurring template only the first document's lines stay.  A document of
+    Of a recurring template only the first document's lines stay.  Within a line,
+    recurring sentences go where they and their recurring neighbours, also of the
+    lines beside, make up ``least_run`` tokens; a passage's unfinished sentence at
+    either end stays.  ``n_dropped`` counts lines of which nothing is left.  A document of
     which more than ``copy_share`` of the lines would go is a copy as a whole: it
     is left as it is for document-level dedup (None: there is no such limit).
     Null texts stay null and have 0 lines; rows that repeat an id count as one
     document if their texts agree; a null id is the first document; other columns,
     also with the names used here, are kept.
     """
-    drops = recurring_lines(docs, **options).where("not first")
-    # every copy of a row finds the same lines, so a set of them is enough
-    drops = written(drops.groupBy("key_id", "key_text").agg(F.collect_set("pos").alias("__drops")), "line-drops")
-    lines = F.split("text", "\n", -1)
-    n_lines = F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).cast("long")
-    drop = F.when(F.lit(True) if copy_share is None else F.size("__drops") <= copy_share * n_lines, F.col("__drops"))
+    messages = recurring_lines(docs, least_tokens=least_tokens, **options).where("not first")
+    drops = _cuts(written(messages, "recurring-messages"), least_tokens, least_run)
+    # every copy of a row finds the same messages, so a set of them is enough
+    drops = drops.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("pos", "part")).alias("__drops"))
+    drops = written(drops, "line-drops")
+    n_lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
     keyed = docs.withColumns(dict(zip(("__id", "__text"), (c for c in _keys()))))
     joined = keyed.join(
         drops.withColumnsRenamed({"key_id": "__id", "key_text": "__text"}), ["__id", "__text"], "left"
-    ).withColumn("__drops", drop)
-    left = F.filter(lines, lambda _, i: ~F.array_contains("__drops", i))
-    text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    ).withColumn("__left", _without(F.when(F.col("__drops").isNotNull(), F.col("text")), F.col("__drops")))
+    left = F.when(F.lit(True) if copy_share is None else F.col("__left.n") <= copy_share * n_lines, F.col("__left"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in others],
+    return joined.withColumn("__left", left).select(
+        *[F.coalesce("__left.text", "text").alias("text") if c == "text" else F.col(c) for c in others],
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("__left.n", F.lit(0)).cast("long").alias("n_dropped"),
     )

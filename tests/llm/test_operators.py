@@ -279,6 +279,21 @@ def test_line_templates(spark, odd, none):
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
+def test_passage_inside_a_line(spark):
+    def words(k, n):
+        return " ".join(f"{chr(97 + k)}{chr(97 + i)}" for i in range(n))
+
+    passage = f"{words(0, 12)}. {words(1, 2)}? {words(2, 16)}."
+    texts = [f"{words(3 + i, 9)}. {passage} {words(8 + i, 7)}.\n{words(13 + i, 5)}" for i in range(4)]
+    texts += [f"Yes it is. {words(20 + i, 9)}." for i in range(4)]
+    docs = prepare(spark).createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert rows[0].text == texts[0]
+    for i in range(1, 4):
+        assert rows[i].text == texts[i].replace(f" {passage}", "") and (rows[i].n_lines, rows[i].n_dropped) == (2, 0)
+    assert all(rows[i].text == texts[i] for i in range(4, 8))  # a short sentence alone is no passage
+
+
 def test_language(spark, odd, none):
     docs = prepare(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
