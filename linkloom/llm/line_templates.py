@@ -4,7 +4,7 @@ A line's leaf is its number of tokens and its first tokens, tokens with digits
 counting as variable.  Lines of a leaf that agree in most positions share one
 template, whose other positions are variable; any other line is a template of its
 own.  The sentences of a line are messages like lines, so that a passage inside a line
-is found as well.  Templates that occur in several documents are dropped from all but the first.
+is found as well.  Templates that occur in two or more documents are dropped from all but the first.
 The tree is never built in one place: leaves, positions and templates are keys of
 aggregations that reduce in each task before they shuffle.
 """
@@ -109,14 +109,13 @@ def _general(lines: DataFrame, narrow: DataFrame, same: float, constant: float,
 
 def recurring_lines(
     docs: DataFrame,
-    least_docs: int = 3,
     least_tokens: int = 3,
     leading: int = 3,
     same: float = 0.9,
     constant: float = 0.7,
     least_general: int = 6,
 ) -> DataFrame:
-    """``key_id, key_text, pos, part, at, n, first``: messages whose template occurs in ``least_docs`` documents or more.
+    """``key_id, key_text, pos, part, at, n, n_docs, first``: messages whose template occurs in two documents or more.
 
     Messages are lines (``part`` is WHOLE) and the sentences of lines; ``n`` is the
     number of tokens and ``at`` the sentence's place in the document.  ``first`` marks
@@ -139,23 +138,24 @@ def recurring_lines(
         .distinct()
         .groupBy("template")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("key_id").alias("first_id"))
-        .where(F.col("n_docs") >= least_docs)
     )
     spread = written(spread, "recurring")
     return rows.join(spread, "template").select(
-        "key_id", "key_text", "pos", "part", "at", "n", (F.col("key_id") == F.col("first_id")).alias("first")
+        "key_id", "key_text", "pos", "part", "at", "n", "n_docs", (F.col("key_id") == F.col("first_id")).alias("first")
     )
 
 
-def _cuts(messages: DataFrame, least_tokens: int, least_run: int) -> DataFrame:
-    """``key_id, key_text, pos, part`` of recurring lines, and of sentences in recurring runs of ``least_run`` tokens."""
+def _cuts(messages: DataFrame, least_docs: int, least_tokens: int, least_pair: int, least_run: int) -> DataFrame:
+    """``key_id, key_text, pos, part`` of the lines that go, and of sentences in recurring runs of ``least_run`` tokens."""
     key = ["key_id", "key_text"]
     order = Window.partitionBy(*key).orderBy("at")
     sentences = messages.where("at is not null").select(*key, "pos", "part", "at", "n").distinct()
     runs = sentences.withColumn("run", F.col("at") - F.row_number().over(order))
     runs = runs.withColumn("words", F.sum("n").over(Window.partitionBy(*key, "run")))
     runs = runs.where(F.col("words") >= least_run).select(*key, "pos", "part")
-    return messages.where((F.col("part") == WHOLE) & (F.col("n") >= least_tokens)).select(*key, "pos", "part").unionByName(runs)
+    least = F.when(F.col("n_docs") >= least_docs, least_tokens).otherwise(least_pair)
+    lines = messages.where((F.col("part") == WHOLE) & (F.col("n") >= least))
+    return lines.select(*key, "pos", "part").unionByName(runs)
 
 
 @F.arrow_udf(StructType([StructField("text", StringType()), StructField("n", LongType())]))
@@ -184,11 +184,19 @@ def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, copy_share: float | None = None, least_tokens: int = 3, least_run: int = 20, **options
+    docs: DataFrame,
+    copy_share: float | None = None,
+    least_docs: int = 3,
+    least_tokens: int = 3,
+    least_pair: int = 8,
+    least_run: int = 20,
+    **options,
 ) -> DataFrame:
     """``docs`` with ``text`` freed of recurring lines and passages, and ``n_lines, n_dropped``.
 
-    Of a recurring template only the first document's lines stay.  Within a line,
+    Of a recurring template only the first document's lines stay.  It recurs in two
+    documents, but lines of fewer than ``least_pair`` tokens that do not stand in a
+    recurring passage go from ``least_docs`` documents on.  Within a line,
     recurring sentences go where they and their recurring neighbours, also of the
     lines beside, make up ``least_run`` tokens; a passage's unfinished sentence at
     either end stays.  ``n_dropped`` counts lines of which nothing is left.  A document of
@@ -199,7 +207,7 @@ def drop_recurring_lines(
     also with the names used here, are kept.
     """
     messages = recurring_lines(docs, least_tokens=least_tokens, **options).where("not first")
-    drops = _cuts(written(messages, "recurring-messages"), least_tokens, least_run)
+    drops = _cuts(written(messages, "recurring-messages"), least_docs, least_tokens, least_pair, least_run)
     # every copy of a row finds the same messages, so a set of them is enough
     drops = drops.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("pos", "part")).alias("__drops"))
     drops = written(drops, "line-drops")

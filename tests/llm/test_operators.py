@@ -294,6 +294,18 @@ def test_passage_inside_a_line(spark):
     assert all(rows[i].text == texts[i] for i in range(4, 8))  # a short sentence alone is no passage
 
 
+def test_lines_of_two_documents(spark):
+    def words(k, n):
+        return " ".join(f"{chr(97 + k)}{chr(97 + i)}" for i in range(n))
+
+    shared = [words(0, 11), words(1, 5), words(2, 14)]
+    texts = ["\n".join([words(3, 9), *shared]), "\n".join([*shared, words(4, 9)]), words(5, 4), f"{words(5, 4)}\n{words(6, 9)}"]
+    docs = prepare(spark).createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs).collect()}
+    # a short line alone needs a third document
+    assert rows == {0: texts[0], 1: words(4, 9), 2: texts[2], 3: texts[3]}
+
+
 def test_language(spark, odd, none):
     docs = prepare(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
