@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
-Each shard of a bounded sample of labelled documents trains its own model, with a
-learning rate per coordinate and an L1 penalty that leaves few weights; the shards'
-weights are averaged and broadcast, and every document is scored where it lies.
+A bounded sample of labelled documents trains one model, with a learning rate per
+coordinate and an L1 penalty that leaves few weights; the weights are broadcast, and
+every document is scored where it lies.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import id_remainder
 
-#: labelled documents that are learned from, at most about
+#: labelled documents that are learned from, at most
 SAMPLE = 40_000
-#: of which each shard trains on at most about
-PER_SHARD = 10_000
 BITS = 20
 MARKS = "\"'`()[]{}<>.,;:!?*#$%&|=-_"
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -87,14 +85,18 @@ def train_ftrl(
 
 
 def learn_weights(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, their weights, and the bias, from ``text, toxic`` (0 or 1); a hash of the text chooses about ``sample`` rows."""
-    labelled = labelled.where("toxic is not null and text is not null").select("text", F.col("toxic").cast("double"))
+    """Buckets, their weights, and the bias, from ``doc_id, text, toxic`` (0 or 1).
+
+    A hash of id and text chooses ``sample`` rows at most; one task learns from them
+    all, since L1 and learning rates hold for what has been seen together.
+    """
+    labelled = labelled.where("toxic is not null and text is not null").select(
+        "text", F.col("toxic").cast("double"), F.xxhash64("doc_id", "text").alias("h")
+    )
     total = labelled.count()
     if not total:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    shards = -(-min(sample, total) // PER_SHARD)
-    h = F.xxhash64("text")
-    chosen = labelled.where(F.pmod(h, F.lit(1 << 20)) < int(min(1.0, sample / total) * (1 << 20)))
+    chosen = labelled.where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, sample / total) * (1 << 40)))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, toxic = [], []
@@ -111,16 +113,11 @@ def learn_weights(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray
                 [pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["bucket", "weight"]
             )
 
-    models = (
-        chosen.repartition(shards, F.pmod(h, F.lit(shards)))
-        .sortWithinPartitions(F.xxhash64("text", F.lit(7)), "toxic")
-        .mapInArrow(train, "bucket long, weight double")
-    )
-    mean = models.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).toArrow()
-    at, w, n = (mean[c].to_numpy() for c in ("bucket", "weight", "n"))
-    trained = n[at == -1].sum()
-    order = np.argsort(at[at >= 0])
-    return at[at >= 0][order], (w[at >= 0] / trained)[order], float(w[at == -1].sum() / trained)
+    ordered = chosen.repartition(1).sortWithinPartitions(F.xxhash64("h", F.lit(7)), "toxic")
+    # rows that repeat id and text are chosen together, hence the limit
+    model = ordered.limit(sample).select("text", "toxic").mapInArrow(train, "bucket long, weight double").toArrow()
+    at, w = (model[c].to_numpy() for c in ("bucket", "weight"))
+    return at[at >= 0], w[at >= 0], float(w[at == -1].sum())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:

@@ -328,6 +328,18 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_above_ten_thousand_labels(spark):
+    rng = random.Random(3)
+    rare = [f"slur{k}" for k in range(60)]
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(6)), 0) for i in range(10_500)]
+    rows += [(20_000 + i, " ".join([rare[i % 60], *(f"w{rng.randrange(300)}" for _ in range(6))]), 1) for i in range(480)]
+    rows += [(30_000 + i, "the very same text", 0) for i in range(500)]  # copies
+    labelled = prepare(spark).createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn_weights(labelled)
+    fresh = spark.createDataFrame([(f"w1 w2 {x} w3 w4 w5",) for x in rare], "text string")
+    assert sum(r.score >= 0.5 for r in toxicity.score(fresh, model).collect()) >= 0.9 * len(rare)
+
+
 def test_url_rules(spark):
     def plain(url):
         if not url or "://" not in url:
