@@ -3,7 +3,8 @@
 A line's leaf is its number of tokens and its first tokens, tokens with digits
 counting as variable.  Lines of a leaf that agree in most positions share one
 template, whose other positions are variable; any other line is a template of its
-own.  The sentences of a line are messages like lines, so that a passage inside a line
+own.  Lines that fit none are parted by the token at their most constant open position
+and tried again, so a leaf may hold several templates and noise.  The sentences of a line are messages like lines, so that a passage inside a line
 is found as well.  Templates that occur in two or more documents are dropped from all but the first.
 The tree is never built in one place: leaves, positions and templates are keys of
 aggregations that reduce in each task before they shuffle.
@@ -27,6 +28,8 @@ NUMBERED = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x
 SPACES = " \t\n\x0b\x0c\r"
 #: the place between two sentences of a line, for Java and Python alike
 SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])(?=[^\n])"
+#: times that the lines of a leaf without a template are parted and tried again
+LEVELS = 4
 #: the part of a message that is a whole line
 WHOLE = -1
 
@@ -91,20 +94,45 @@ def _general(lines: DataFrame, narrow: DataFrame, same: float, constant: float,
         .groupBy("leaf", "line")
         .agg(F.first("tokens").alias("tokens"))
     )
-    members = written(members, "leaf-lines")
-    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("tokens")).alias("width"))
-    at = members.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").count()
+    members = written(members.withColumnRenamed("leaf", "node"), "leaf-lines")
+    found = None
+    for level in range(LEVELS):
+        templates, splits = _node_templates(members, same, constant)
+        fits = F.forall("fixed", lambda f: F.get("tokens", f["at"]) == f["token"])
+        told = members.join(templates, "node", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
+        told = written(told, f"level-{level}")
+        fitting = told.where("fits").select("line", _digest(F.struct("node", "fixed")).alias("template"))
+        found = fitting if found is None else found.unionByName(fitting)
+        if splits.isEmpty():
+            break
+        if level < LEVELS - 1:
+            # lines that fit no template part by their token at one position of the node
+            rest = told.where("not fits").select("node", "line", "tokens").join(splits, "node")
+            node = F.xxhash64("node", "split", F.get("tokens", F.col("split")))
+            members = written(rest.select(node.alias("node"), "line", "tokens"), f"rest-{level}")
+    return found
+
+
+def _node_templates(members: DataFrame, same: float, constant: float) -> tuple[DataFrame, DataFrame]:
+    """``node, fixed`` of the nodes whose lines share a template, and ``node, split`` to part the rest of any node by.
+
+    The split is at the position where most lines have a token that others have as
+    well, though not all, and fewest such tokens occur.
+    """
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max(F.size("tokens")).alias("width"))
+    sizes = written(sizes.where(F.col("size") > 1), "node-sizes")
+    at = members.select("node", F.posexplode("tokens").alias("at", "token")).groupBy("node", "at", "token").count()
+    at = written(at.where("count > 1").join(sizes, "node"), "node-tokens")
     # at most one token can hold more than half of a position
     fixed = (
-        at.join(written(sizes, "leaf-sizes"), "leaf")
-        .where((F.col("count") >= same * F.col("n")) & (F.col("n") > 1))
-        .groupBy("leaf", "width")
+        at.where(F.col("count") >= same * F.col("size"))
+        .groupBy("node", "width")
         .agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("fixed"))
         .where(F.size("fixed") >= constant * F.col("width"))
     )
-    fixed = written(fixed.select("leaf", "fixed"), "leaf-templates")
-    fits = F.forall("fixed", lambda f: F.get("tokens", f["at"]) == f["token"])
-    return members.join(fixed, "leaf").where(fits).select("line", _digest(F.struct("leaf", "fixed")).alias("template"))
+    open_at = at.where("count < size").groupBy("node", "at").agg(F.sum("count").alias("of"), F.count(F.lit(1)).alias("tokens"))
+    splits = open_at.groupBy("node").agg(F.max_by("at", F.struct("of", -F.col("tokens"), -F.col("at"))).alias("split"))
+    return written(fixed.select("node", "fixed"), "node-templates"), written(splits, "node-splits")
 
 
 def recurring_lines(

@@ -306,6 +306,19 @@ def test_lines_of_two_documents(spark):
     assert rows == {0: texts[0], 1: words(4, 9), 2: texts[2], 3: texts[3]}
 
 
+def test_leaf_of_two_templates_and_noise(spark):
+    names = [f"{chr(97 + i)}xy" for i in range(8)]
+    first = [f"the price was set by {n} in our main shop" for n in names]
+    second = [f"the price was high when {n} came to us again" for n in names]
+    noise = ["the price was never known or told or seen at"]
+    docs = prepare(spark).createDataFrame([*enumerate(first + second + noise)], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert sorted(i for i in rows if rows[i]) == [0, 8, 16]
+    docs = spark.createDataFrame([*enumerate(first + noise)], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert sorted(i for i in rows if rows[i]) == [0, 8]
+
+
 def test_language(spark, odd, none):
     docs = prepare(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
