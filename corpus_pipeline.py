@@ -16,8 +16,6 @@ from linkloom.llm.tokens import default_tokenizer
 
 #: a text is rejected if its language's n-grams are a smaller share than this
 LEAST_SCORE = 0.3
-#: a document of which more than this share of lines recurs is a copy, left for the next stage
-COPY_SHARE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +27,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents freed of lines that recur in others; documents that are copies as a whole stay as they are."""
+    """Documents freed of lines and passages that recur in earlier ones; those of which nothing is left go."""
     prepare(spark)
-    cleaned = line_templates.drop_recurring_lines(docs, copy_share=COPY_SHARE)
+    cleaned = line_templates.drop_recurring_lines(docs)
+    # blank lines between dropped ones are no text either
+    cleaned = cleaned.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     sizes = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cleaned.withColumns(sizes).select(*docs.columns)
 

@@ -47,3 +47,12 @@ def test_odd_rows_and_empty_table(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, SF), "stage")
         assert docs.count() <= len(rows)
+
+
+def test_shared_notice_goes_from_short_documents(spark):
+    notice = "All rights are reserved by the owners\nNo part of this may be copied"
+    rows = [(i, f"{notice}\n{own} alone", "en", "s", 1) for i, own in enumerate(("first text", "second text", "third text", "fourth text"))]
+    rows.append((9, notice, "en", "s", 1))
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_recurring_lines(spark, docs, SF).collect()}
+    assert got == {0: rows[0][1], 1: "second text alone", 2: "third text alone", 3: "fourth text alone"}
