@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontamination, exact_dedup, language, line_templates, near_dups, packing, pii, token_files, toxicity, url_rules
+from linkloom.llm import decontamination, exact_dedup, language, line_templates, near_dups, packing, pii, token_files, toxicity, url_rules, whitening
 from linkloom.llm.common import prepare, table
 from linkloom.llm.tokens import default_tokenizer
 
@@ -54,6 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(prepare(spark), sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_minhash_near_dups": op2_minhash_near_dups,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
