@@ -27,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here, sizes are known after it."""
+def written(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends here, sizes are known after it.
+
+    ``compact`` is for tables as large as the input: sorted numbers become small differences.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    options = {"compression": "zstd", "parquet.writer.version": "v2"} if compact else {}
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

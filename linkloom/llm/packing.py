@@ -130,17 +130,14 @@ def pack(pieces: DataFrame, capacity: int, order_by: list[str]) -> DataFrame:
     """
     share = F.pmod(F.xxhash64(*order_by), F.lit(RANK_SHARES)).cast("int")
     pieces = pieces.withColumn("__share", share)
-    counts = pieces.groupBy("length", "__share").count()
-    by_share: dict[int, list[tuple[int, int]]] = {}
-    for length, at, n in counts.collect():  # at most capacity x RANK_SHARES rows
-        by_share.setdefault(length, []).append((at, n))
-    plan = plan_packing({length: sum(n for _, n in shares) for length, shares in by_share.items()}, capacity)
-    starts = {length: np.zeros(RANK_SHARES, np.int64) for length in by_share}
-    for length, shares in by_share.items():
-        before = 0
-        for at, n in sorted(shares):
-            starts[length][at] = before
-            before += n
+    # at most capacity x RANK_SHARES rows
+    counts = pieces.groupBy("length", "__share").count().toArrow()
+    length, at, n = (counts[c].to_numpy().astype(np.int64) for c in ("length", "__share", "count"))
+    lengths, row = np.unique(length, return_inverse=True)
+    by_share = np.zeros((len(lengths), RANK_SHARES), np.int64)
+    by_share[row, at] = n
+    plan = plan_packing(dict(zip(lengths.tolist(), by_share.sum(axis=1).tolist())), capacity)
+    starts = dict(zip(lengths.tolist(), np.cumsum(by_share, axis=1) - by_share))
     runs = {
         length: np.array([(r.rank, r.sequence, r.offset, r.each) for r in of], np.int64).T
         for length, of in plan.runs.items()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontamination, exact_dedup, language, line_templates, near_dups, packing, pii, token_files, toxicity, url_rules, whitening
+from linkloom.llm import alignment, decontamination, exact_dedup, language, line_templates, near_dups, packing, pii, token_files, toxicity, url_rules, whitening
 from linkloom.llm.common import prepare, table
-from linkloom.llm.tokens import default_tokenizer
+from linkloom.llm.tokens import default_tokenizer, public_vocabulary
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return alignment.alignment_digest(docs, public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(prepare(spark), sf_dir, "embeddings"), components=8)
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 

@@ -1,28 +1,123 @@
 """Token ids of whole texts by a public tokenizer, in Arrow batches.
 
-The tokenizer drops white space and never joins what stands on both sides of it,
-so the ids of a text are those of its ASCII-white-space words one after another.
-A batch's distinct words are encoded by the library once; each worker remembers a
-bounded number of them.
+How a text may be taken apart is read off the tokenizer's own file.  Where its
+normaliser and splitter are the known word form, white space separates and is
+dropped, so the ids of a text are those of its words one after another; distinct
+words are split the same way and the library's merges run once for each new part.
+Any other tokenizer encodes whole texts.  Memory is bounded in bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: words a worker remembers before it begins anew
-REMEMBERED = 400_000
+#: what a worker remembers of words before it begins anew, some bytes
+REMEMBERED_BYTES = 64 << 20
+#: a remembered word's own cost beside its characters and ids
+ENTRY_BYTES = 160
 #: longer words seldom come again
-LONGEST = 16
+LONGEST = 24
+#: words, and characters, that the library encodes at once
+SLICE_WORDS = 8_000
+SLICE_CHARS = 256 << 10
+
+#: fixed values: normaliser and splitter of the word form
+WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: letters for which the word form's normaliser only lower-cases; "<" may begin a special token
+LETTERS = "a-zß-öø-ÿœ"
+OTHERS = r"[^\x21-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿŒœ]"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|\n|[^{LETTERS}0-9\n]+")
+
+
+def byte_alphabet() -> list[str]:
+    """The character of each byte in byte-level vocabularies: printable ones stand for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
+def gather(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids``, of ``sizes`` on end, put in ``order``; where each begins and the last ends."""
+    starts = np.cumsum(sizes) - sizes
+    took = sizes[order]
+    ends = np.concatenate(([0], np.cumsum(took)))
+    narrow = np.int32 if max(len(ids), ends[-1]) < 1 << 31 else np.int64
+    at = np.repeat((starts[order] - ends[:-1]).astype(narrow), took)
+    at += np.arange(len(at), dtype=narrow)
+    return ids[at], ends
+
+
+def flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Little-endian 32-bit ids of byte strings on end, and how many each has."""
+    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of at most SLICE_WORDS texts and some SLICE_CHARS characters; a longer text is one run."""
+    begin, chars = 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and (i - begin >= SLICE_WORDS or chars + len(text) > SLICE_CHARS):
+            yield begin, i
+            begin, chars = i, 0
+        chars += len(text)
+    if texts:
+        yield begin, len(texts)
+
+
+class Remembered:
+    """Encoded words: new ones go to ``encode`` in slices, the rest comes from memory bounded in bytes."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED_BYTES):
+        self.encode, self.limit = encode, limit
+        self.memory: dict[str, bytes] = {}
+        self.held = 0
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct ``words``."""
+        found = list(map(self.memory.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        missing = [words[i] for i in new]
+        for begin, end in slices(missing):
+            for i, word, ids in zip(new[begin:end], missing[begin:end], self.encode(missing[begin:end])):
+                found[i] = ids
+                if len(word) <= LONGEST:
+                    self.memory[word] = ids
+                    self.held += ENTRY_BYTES + len(word) + len(ids)
+            if self.held > self.limit:
+                self.memory.clear()
+                self.held = 0
+        return found
 
 
-class WordEncoder:
+class TextEncoder:
     """Encodes Arrow string arrays; one per tokenizer file and worker."""
 
     def __init__(self, path: str):
@@ -30,65 +125,89 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."}
-        self.marks = {m: np.array(ids, "<u4").tobytes() for m, ids in marks.items()}
-        self.memory: dict[str, bytes] = {}
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each of some distinct words."""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        found = list(map(memory.get, words))
-        # the tokenizer splits a mark off the letter before it, and lower-cases
-        cores: list[tuple[int, str, bytes]] = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                w, tail = words[i], b""
-                if w[-1:] in self.marks and w[-2:-1].isalpha():
-                    w, tail = w[:-1], self.marks[w[-1]]
-                if w.isascii() and "<" not in w:
-                    w = w.lower()
-                cores.append((i, w, tail))
-        known = {w: memory.get(w) for _, w, _ in cores}
-        missing = [w for w, ids in known.items() if ids is None]
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            known[w] = ids = array("I", e.ids).tobytes()
-            if len(w) <= LONGEST:
-                memory[w] = ids
-        for i, w, tail in cores:
-            found[i] = known[w] + tail
-        return found
+        form = json.loads(self.tokenizer.to_str())
+        self.by_words = (
+            form["normalizer"] == WORD_NORMALIZER
+            and form["pre_tokenizer"] == WORD_SPLITTER
+            and form["model"]["type"] == "BPE"
+            and not form["model"]["dropout"]
+            and all("<" in t["content"] and not re.search(r"\s", t["content"]) for t in form["added_tokens"])
+        )
+        self.model = self.tokenizer.model
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.parts = Remembered(self._merged)
+        self.words = Remembered(self._encoded, REMEMBERED_BYTES // 4)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of words: the library's merges alone."""
+        merge, alphabet, out = self.model.tokenize, self.alphabet, []
+        for part in parts:
+            symbols = part if part.isascii() else part.encode().decode("latin-1").translate(alphabet)
+            out.append(array("I", [t.id for t in merge(symbols)]).tobytes())
+        return out
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words on end, and how many each has."""
+        odd = pc.match_substring_regex(words, OTHERS).to_numpy(zero_copy_only=False)
+        at, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(at):
+            joined = "\n".join(words.take(pa.array(at)).to_pylist()).lower()
+            parts = pa.array(PARTS.findall(joined) + ["\n"]).dictionary_encode()
+            names, coded = parts.dictionary.to_pylist(), parts.indices.to_numpy(zero_copy_only=False)
+            end = names.index("\n")
+            names[end] = "a"  # has ids like any other; none is taken
+            part_ids, part_sizes = flat(self.parts(names))
+            part_sizes_of = part_sizes[coded]
+            part_sizes_of[coded == end] = 0
+            closes = np.flatnonzero(coded == end)
+            sizes = np.diff(np.concatenate(([0], np.cumsum(part_sizes_of)[closes])))
+            ids, _ = gather(part_ids, part_sizes, coded[coded != end])
+        if len(other):
+            more_ids, more_sizes = flat(self.words(words.take(pa.array(other)).to_pylist()))
+            ids, sizes = np.concatenate((ids, more_ids)), np.concatenate((sizes, more_sizes))
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate((at, other))] = np.arange(len(words))
+        ids, bounds = gather(ids, sizes, order)
+        return ids, np.diff(bounds)
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts on end (null: empty), each text closed by ``end_id``; where each text begins."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        bounds = words.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        coded = words.flatten().dictionary_encode()
-        parts = self._words(coded.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if self.by_words:
+            words = pc.ascii_split_whitespace(texts)
+            bounds = words.offsets.to_numpy()
+            bounds = bounds - bounds[0]
+            coded = words.flatten().dictionary_encode()
+            ids, sizes = self._of_words(coded.dictionary)
+            order = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            whole = texts.to_pylist()
+            ids, sizes = flat([ids for begin, end in slices(whole) for ids in self._encoded(whole[begin:end])])
+            order, bounds = np.arange(len(whole)), np.arange(len(whole) + 1)
         # one more "word" holds the end id and closes each text
         ids = np.append(ids, np.uint32(end_id or 0))
         sizes = np.append(sizes, 0 if end_id is None else 1)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int32)  # a batch is some MB
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), bounds[1:], len(parts))
-        bounds = bounds + np.arange(len(bounds))
-        took = sizes[order]
-        ends = np.concatenate(([0], np.cumsum(took)))
-        at = np.repeat(starts[order] - ends[:-1].astype(np.int32), took)
-        at += np.arange(len(at), dtype=np.int32)
-        return ids[at], ends[bounds]
+        order = np.insert(order, bounds[1:], len(sizes) - 1)
+        ids, ends = gather(ids, sizes, order)
+        return ids, ends[bounds + np.arange(len(bounds))]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
-def default_tokenizer() -> str:
-    """The public vocabulary file the queries use."""
+def public_vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def default_tokenizer() -> str:
+    """The public vocabulary file the queries use."""
+    return public_vocabulary("word_bpe_49k.json")
