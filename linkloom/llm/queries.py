@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import alignment, decontamination, exact_dedup, language, line_templates, near_dups, packing, pii, token_files, toxicity, url_rules, whitening
+from linkloom.llm import alignment, decontamination, exact_dedup, language, line_templates, main_text, near_dups, packing, pii, token_files, toxicity, url_rules, whitening
 from linkloom.llm.common import prepare, table
 from linkloom.llm.tokens import default_tokenizer, public_vocabulary
 
@@ -59,6 +59,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digest(docs, public_vocabulary("byte_bpe_50k.json"), public_vocabulary("piece_bpe_32k.model"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(prepare(spark), sf_dir, "pages"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(prepare(spark), sf_dir, "embeddings"), components=8)
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_main_text": op12_main_text,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 

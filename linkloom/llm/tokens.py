@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: what a worker remembers of words before it begins anew, some bytes
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 128 << 20
 #: a remembered word's own cost beside its characters and ids
 ENTRY_BYTES = 160
 #: longer words seldom come again
@@ -93,27 +93,44 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 class Remembered:
-    """Encoded words: new ones go to ``encode`` in slices, the rest comes from memory bounded in bytes."""
+    """Encoded words: new ones go to ``encode`` in slices, the rest comes from memory bounded in bytes.
+
+    Memory is two halves: a full one becomes the older, from which words that come again move over.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED_BYTES):
         self.encode, self.limit = encode, limit
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= LONGEST:
+            self.memory[word] = ids
+            self.held += ENTRY_BYTES + len(word) + len(ids)
+
+    def _age(self) -> None:
+        if self.held > self.limit // 2:
+            self.memory, self.older, self.held = {}, self.memory, 0
+
     def __call__(self, words: list[str]) -> list[bytes]:
         """The ids of distinct ``words``."""
         found = list(map(self.memory.get, words))
         new = [i for i, ids in enumerate(found) if ids is None]
+        if self.older:
+            for i in new:
+                ids = self.older.get(words[i])
+                if ids is not None:
+                    found[i] = ids
+                    self._keep(words[i], ids)
+            new = [i for i in new if found[i] is None]
         missing = [words[i] for i in new]
         for begin, end in slices(missing):
             for i, word, ids in zip(new[begin:end], missing[begin:end], self.encode(missing[begin:end])):
                 found[i] = ids
-                if len(word) <= LONGEST:
-                    self.memory[word] = ids
-                    self.held += ENTRY_BYTES + len(word) + len(ids)
-            if self.held > self.limit:
-                self.memory.clear()
-                self.held = 0
+                self._keep(word, ids)
+            self._age()
+        self._age()
         return found
 
 
