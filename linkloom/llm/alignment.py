@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import written
-from linkloom.llm.tokens import Remembered, byte_alphabet, flat, gather
+from linkloom.llm.tokens import Remembered, byte_alphabet, flat, gather, strings
 
 #: bytes of text aligned at once
 SLICE_BYTES = 1 << 20
@@ -136,11 +136,11 @@ def _words(texts: pa.Array, by_words: bool) -> tuple[list[str], np.ndarray, np.n
     bounds = split.offsets.to_numpy()
     bounds = bounds - bounds[0]
     coded = split.flatten().dictionary_encode()
-    words, order = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words, order = strings(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # any other text is one word
     at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
     order[bounds[at]] = len(words) + np.arange(len(at))
-    return words + texts.take(pa.array(at)).to_pylist(), order, bounds
+    return words + strings(texts.take(pa.array(at))), order, bounds
 
 
 def _coded(one: Side, texts: pa.Array, words: list[str], order: np.ndarray, word_bounds: np.ndarray):

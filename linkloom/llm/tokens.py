@@ -75,6 +75,11 @@ def gather(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.nd
     return ids[at], ends
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """An array without nulls as a list; by way of numpy, which is several times faster."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Little-endian 32-bit ids of byte strings on end, and how many each has."""
     return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -172,9 +177,9 @@ class TextEncoder:
         at, other = np.flatnonzero(~odd), np.flatnonzero(odd)
         ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(at):
-            joined = "\n".join(words.take(pa.array(at)).to_pylist()).lower()
+            joined = "\n".join(strings(words.take(pa.array(at)))).lower()
             parts = pa.array(PARTS.findall(joined) + ["\n"]).dictionary_encode()
-            names, coded = parts.dictionary.to_pylist(), parts.indices.to_numpy(zero_copy_only=False)
+            names, coded = strings(parts.dictionary), parts.indices.to_numpy(zero_copy_only=False)
             end = names.index("\n")
             names[end] = "a"  # has ids like any other; none is taken
             part_ids, part_sizes = flat(self.parts(names))
@@ -184,7 +189,7 @@ class TextEncoder:
             sizes = np.diff(np.concatenate(([0], np.cumsum(part_sizes_of)[closes])))
             ids, _ = gather(part_ids, part_sizes, coded[coded != end])
         if len(other):
-            more_ids, more_sizes = flat(self.words(words.take(pa.array(other)).to_pylist()))
+            more_ids, more_sizes = flat(self.words(strings(words.take(pa.array(other)))))
             ids, sizes = np.concatenate((ids, more_ids)), np.concatenate((sizes, more_sizes))
         order = np.empty(len(words), np.int64)
         order[np.concatenate((at, other))] = np.arange(len(words))
@@ -202,7 +207,7 @@ class TextEncoder:
             ids, sizes = self._of_words(coded.dictionary)
             order = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         else:
-            whole = texts.to_pylist()
+            whole = strings(texts)
             ids, sizes = flat([ids for begin, end in slices(whole) for ids in self._encoded(whole[begin:end])])
             order, bounds = np.arange(len(whole)), np.arange(len(whole) + 1)
         # one more "word" holds the end id and closes each text
