@@ -189,6 +189,11 @@ def test_repeated_runs_of_a_host_go_and_unique_ones_stay(spark, broadcast):
     assert got[10, "http://a.example/near"] == f"{menu}\nx < y z"  # repeated, but the article's
 
 
+def test_hashes_see_what_stands_behind_a_nul():
+    a, b = main_text._hashes(["a\0b", "a\0c"])
+    assert a != b
+
+
 def test_main_text_of_no_pages_and_of_a_long_one(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert main_text.main_text(empty).count() == 0
