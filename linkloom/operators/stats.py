@@ -84,3 +84,30 @@ def stats_every(log: DataFrame, period: str = STATS_PERIOD, by_status: bool = Fa
         (F.col("urls_within") + F.col("urls_before")).alias("urls"),
         (F.col("bytes_within") + F.col("bytes_before")).alias("bytes"),
     )
+
+
+def stats_report(log: DataFrame, period: str = STATS_PERIOD) -> DataFrame:
+    """:func:`stats_every` with what each period brought, and the rate since the first response.
+
+    ``period_urls, period_bytes`` are differences of the running totals; ``kb_per_s``
+    is the bytes so far over the seconds from the first response to the period's end, over 1000.
+    """
+    totals = stats_every(log, period).withColumn("day", F.to_date("period_end"))
+    # neighbours within a day, and each day's last totals for the next one's first period
+    within = Window.partitionBy("day").orderBy("period_end")
+    closing = totals.groupBy("day").agg(F.max("urls").alias("day_urls"), F.max("bytes").alias("day_bytes"))
+    days = Window.orderBy("day")
+    before = closing.select("day", *[F.coalesce(F.lag(f"day_{c}").over(days), F.lit(0)).alias(f"{c}_before") for c in ("urls", "bytes")])
+    first = log.filter(F.col("status").isNotNull()).agg(F.min("ts")).scalar()
+    seconds = (F.unix_micros("period_end") - F.unix_micros(first)) / F.lit(1e6)
+    return (
+        totals.withColumns({f"last_{c}": F.lag(c).over(within) for c in ("urls", "bytes")})
+        .join(before, "day")
+        .select(
+            "period_end",
+            "urls",
+            "bytes",
+            *[(F.col(c) - F.coalesce(f"last_{c}", f"{c}_before")).alias(f"period_{c}") for c in ("urls", "bytes")],
+            F.when(seconds > 0, F.col("bytes") / seconds / 1000).alias("kb_per_s"),
+        )
+    )

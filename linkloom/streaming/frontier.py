@@ -7,9 +7,13 @@ give the query a ``checkpointLocation``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from linkloom.operators.frontier import RETRY_DELAY, candidates_in_scope
 from linkloom.operators.responses import is_retry, successful
@@ -18,6 +22,9 @@ from linkloom.operators.stats import STATS_PERIOD, body_bytes
 from linkloom.operators.warc_records import to_warc_records
 from linkloom.sources.warc import register
 
+#: parts of one second's failures that wait apart
+RETRY_SHARDS = 16
+
 #: session settings the streaming operators are meant to run with
 RECOMMENDED = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -61,39 +68,64 @@ def report_stats(log: DataFrame, name: str, checkpoint: str, period: str = STATS
     )
 
 
-def stream_retries(log: DataFrame, delay: str = RETRY_DELAY, lateness: str = "0 seconds") -> DataFrame:
-    """Failed requests, each emitted once the log's clock passes its due time.
+class _Waiting(StatefulProcessor):
+    """Failed requests of one second and shard, kept until a timer at the second's end."""
+
+    def __init__(self, columns: list[str], schema: StructType):
+        self.columns, self.schema = columns, schema
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        end = (int(key[0]) + 1) * 1000
+        late = end <= timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            frame = frame[self.columns]
+            if late:
+                yield frame
+            else:
+                self.rows.appendList([tuple(None if pd.isna(v) else v for v in r) for r in frame.astype(object).to_numpy()])
+        if not late:
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = [list(r) for r in self.rows.get()]
+        self.rows.clear()
+        yield pd.DataFrame(rows, columns=self.columns, dtype=object)
 
-    The wait is a windowed aggregation on the due time: a group is released
-    when the watermark passes it.  State is keyed by the whole row, so a URL
-    that fails very often is spread like any other rows.  ``lateness`` is how
-    far out of order the log may be.  (Output mode ``append``.)
+    def close(self) -> None:
+        pass
+
+
+def stream_retries(log: DataFrame, delay: str = RETRY_DELAY, lateness: str = "0 seconds", shards: int = RETRY_SHARDS) -> DataFrame:
+    """Failed requests, each emitted once the log's clock has passed the second it is due in.
+
+    Requests wait in state keyed by that second (and a shard of it, so that a burst
+    is spread), with one event-time timer for each key.  A failure that
+    arrives when it is already due, however late, is emitted with its micro-batch:
+    nothing is dropped.  The clock is the largest ``ts`` of earlier batches, less
+    ``lateness``; responses that succeed move it as well.  (Output mode
+    ``append``; needs the RocksDB state store.)
     """
-    due = log.withColumn("not_before", F.col("ts") + F.expr(f"INTERVAL {delay}"))
-    wait = F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {lateness}")
-    clocked = due.withWatermark("not_before", _interval_text(log, wait))
-    # reading the watermarked column keeps the test above the clock, so
-    # responses that succeed move time on as well
-    failed = clocked.filter(F.when(F.col("not_before").isNotNull(), is_retry(F.col("status"))))
+    clocked = log.withWatermark("ts", lateness)
+    # reading the clock's column keeps the test above the clock, and no column of
+    # the clock itself goes on, so rows behind it are not taken for stale ones
+    failed = clocked.filter(F.when(F.col("ts").isNotNull(), is_retry(F.col("status"))))
     attempt = F.col("attempt") if "attempt" in log.columns else F.lit(0)
-    row = failed.select("url", "tag", "depth", "not_before", (attempt + 1).alias("attempt"))
-    waiting = row.groupBy(
-        F.window("not_before", "1 second"), "url", "tag", "depth", "attempt", F.unix_micros("not_before").alias("due")
-    ).agg(F.count("*").alias("n"))
-    return waiting.select(
-        "url",
-        "tag",
-        "depth",
-        F.timestamp_micros("due").alias("not_before"),
-        F.lit("pending").alias("state"),
-        "attempt",
-        F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
-    ).drop("copy")
-
-
-def _interval_text(df: DataFrame, interval) -> str:
-    seconds = df.sparkSession.range(1).select(interval.cast("interval second").cast("decimal(18,6)")).first()[0]
-    return f"{int(seconds * 1000)} milliseconds"
+    due = F.unix_micros(F.col("ts") + F.expr(f"INTERVAL {delay}"))
+    rows = failed.select("url", "tag", "depth", due.alias("due"), (attempt + 1).cast("int").alias("attempt"))
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.schema])
+    keyed = rows.withColumns(
+        {"second": F.floor(F.col("due") / 1_000_000), "shard": F.pmod(F.xxhash64("url", "due"), F.lit(shards))}
+    )
+    released = keyed.groupBy("second", "shard").transformWithStateInPandas(
+        _Waiting(rows.columns, schema), outputStructType=schema, outputMode="append", timeMode="EventTime"
+    )
+    return released.select(
+        "url", "tag", "depth", F.timestamp_micros("due").alias("not_before"), F.lit("pending").alias("state"), "attempt"
+    )
 
 
 def stream_to_warc(
@@ -101,14 +133,16 @@ def stream_to_warc(
 ) -> StreamingQuery:
     """Archive saved responses as they arrive, one folder per micro-batch.
 
-    A replayed batch overwrites its own folder, so output is exactly-once.
+    A batch is one job of the archive writer: it counts once its manifest is
+    there, and a batch that is replayed after that writes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         register(batch.sparkSession)
         records = to_warc_records(batch)
         folder = f"{path}/batch={batch_id:010d}"
-        records.write.format("warc").option("maxBytes", max_bytes).mode("overwrite").save(folder)
+        options = {"maxBytes": max_bytes, "jobId": f"batch-{batch_id}"}
+        records.write.format("warc").options(**options).mode("append").save(folder)
 
     writer = successful(log).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

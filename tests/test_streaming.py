@@ -61,6 +61,29 @@ def test_retries_come_back_when_due(spark, tmp_path):
     assert out.filter(F.col("url") == "http://a/0").first().not_before == t0 + dt.timedelta(seconds=180)
 
 
+def test_late_failures_come_with_their_batch(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    # 600 s and 200 s behind the clock, and one that still has to wait
+    batches = [[(1000, 200)], [(400, 503), (800, None), (900, 503)], [(1100, 200)], [(1, 200)]]
+    seen = []
+    schema = "ts timestamp, url string, tag int, depth int, status int, attempt int"
+    for batch in batches:
+        rows = [(t0 + dt.timedelta(seconds=s), f"http://a/{s}", None, 3, status, 4) for s, status in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def note(frame, number):
+        seen.extend((number, r.url, r.tag, r.depth, r.attempt) for r in frame.collect())
+
+    stream = streams.stream_retries(source).writeStream.foreachBatch(note)
+    stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert {s[1:] for s in seen} == {(f"http://a/{s}", None, 3, 5) for s in (400, 800, 900)}
+    by_url = {s[1]: s[0] for s in seen}
+    assert by_url["http://a/400"] == by_url["http://a/800"] == 1  # the batch they came in
+    assert by_url["http://a/900"] > 1
+
+
 def test_archive_stream_replays_once(spark):
     log = derived.fetch_log(spark, SF)
     out, checkpoint = storage.fresh_dir(spark, "warc"), storage.fresh_dir(spark, "checkpoint")

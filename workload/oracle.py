@@ -619,6 +619,14 @@ oracle(
     f"""SELECT {_T.format("period_end")}, status, CAST(sum(u) OVER w AS BIGINT) AS urls, CAST(sum(b) OVER w AS BIGINT) AS bytes
 FROM periods WINDOW w AS (PARTITION BY status ORDER BY period_end)""",
 )
+oracle(
+    "stats_report",
+    "periods fetch_log",
+    f"""SELECT {_T.format("period_end")}, CAST(sum(u) OVER w AS BIGINT) AS urls, CAST(sum(b) OVER w AS BIGINT) AS bytes,
+  CAST(u AS BIGINT) AS period_urls, CAST(b AS BIGINT) AS period_bytes,
+  CAST(sum(b) OVER w AS BIGINT) / ((epoch_us(period_end) - epoch_us((SELECT min(ts) FROM fetch_log WHERE status IS NOT NULL))) / 1e6) / 1000 AS kb_per_s
+FROM (SELECT period_end, sum(u) AS u, sum(b) AS b FROM periods GROUP BY 1) WINDOW w AS (ORDER BY period_end)""",
+)
 oracle("bytes_read", "fetch_log", f"SELECT CAST(sum({_BYTES}) AS BIGINT) AS bytes FROM fetch_log")
 oracle("saved_count", "fetch_log", "SELECT count(*) AS saved FROM fetch_log WHERE status < 400")
 
@@ -646,6 +654,7 @@ FROM (SELECT *, {_DIGEST} AS d FROM archived)""",
 )
 _ARCHIVE = "SELECT warc_type, count(*) AS records, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM archived GROUP BY 1"
 oracle("warc_files", "archived", _ARCHIVE)
+oracle("warc_reruns", "archived", _ARCHIVE)
 oracle("stream_to_warc", "archived", _ARCHIVE)
 
 # -- streams ----------------------------------------------------------------
@@ -666,3 +675,5 @@ oracle(
     "fetch_log",
     _RETRIES + " WHERE date_trunc('second', not_before) + INTERVAL 1 SECOND <= (SELECT max(ts) FROM fetch_log)",
 )
+for restarted in ("stream_frontier", "stream_retries"):
+    ORACLE[f"{restarted}_restart"] = ORACLE[restarted]

@@ -441,6 +441,12 @@ def stats_every_by_status(spark, sf):
     return stats.stats_every(D.fetch_log(spark, sf), by_status=True).select(_stamp("period_end"), "status", "urls", "bytes")
 
 
+@query
+def stats_report(spark, sf):
+    """The running report with each period's share and the rate so far."""
+    return stats.stats_report(D.fetch_log(spark, sf)).select(_stamp("period_end"), "urls", "bytes", "period_urls", "period_bytes", "kb_per_s")
+
+
 @query
 def bytes_read(spark, sf):
     return stats.bytes_read(D.fetch_log(spark, sf))
@@ -473,7 +479,20 @@ def warc_files(spark, sf):
     warc.register(spark)
     folder = storage.fresh_dir(spark, "warc")
     to_warc_records(_saved_log(spark, sf)).write.format("warc").option("maxBytes", 100_000).mode("append").save(folder)
-    return _records_read_back(spark, f"{folder}/*.warc.gz")
+    return _records_read_back(spark, warc.committed_files(folder))
+
+
+@query
+def warc_reruns(spark, sf):
+    """The same archive job run twice, after one that no manifest names: records count once."""
+    warc.register(spark)
+    folder = storage.fresh_dir(spark, "warc")
+    records = to_warc_records(_saved_log(spark, sf))
+    for job in ("killed", "daily", "daily"):
+        records.write.format("warc").options(maxBytes=1_000_000, jobId=job).mode("append").save(folder)
+        if job == "killed":  # as if the driver had died before its manifest
+            storage.remove_tree(spark, f"{folder}/{warc.MANIFESTS}")
+    return _records_read_back(spark, warc.committed_files(folder))
 
 
 def _records_read_back(spark, path) -> DataFrame:
@@ -488,14 +507,22 @@ def _records_read_back(spark, path) -> DataFrame:
 # -- streams ----------------------------------------------------------------
 
 
-def _as_stream(spark, df: DataFrame, files_per_trigger: int | None = 1) -> DataFrame:
-    """``df`` written as files and read as a stream, by default one file per micro-batch."""
-    folder = storage.fresh_dir(spark, "stream")
-    df.repartition(4).write.parquet(folder)
-    reader = spark.readStream.schema(df.schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+def _as_stream(spark, df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written as four files and read as a stream, one file per micro-batch."""
+    folder = folder or storage.fresh_dir(spark, "stream")
+    df.repartition(4).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _run_restarted(spark, df: DataFrame, order: str, make) -> DataFrame:
+    """Run ``make(stream)`` over half of ``df``, stop, and go on from its checkpoint over the rest."""
+    folder, out, checkpoint = (storage.fresh_dir(spark, n) for n in ("stream", "sink", "checkpoint"))
+    half = F.pmod(F.xxhash64(order), F.lit(2))
+    for part in range(2):
+        stream = make(_as_stream(spark, df.where(half == part), folder))
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _run(spark, stream: DataFrame) -> DataFrame:
@@ -513,6 +540,20 @@ def stream_frontier(spark, sf):
     return _run(spark, streams.stream_frontier(stream, scope)).select("url")
 
 
+@query
+def stream_frontier_restart(spark, sf):
+    """The same stream stopped half way; URLs seen before the restart stay seen."""
+    scope = sc.all_of(sc.scheme_scope(["http", "https"]), sc.ignore_scope())
+    return _run_restarted(spark, D.raw_urls(spark, sf), "id", lambda s: streams.stream_frontier(s, scope)).select("url")
+
+
+@query
+def stream_retries_restart(spark, sf):
+    """Retries stopped half way; what waited in state comes back after the restart."""
+    out = _run_restarted(spark, D.fetch_log(spark, sf), "event_id", streams.stream_retries)
+    return out.select("url", "tag", "depth", _stamp("not_before"), "state", "attempt")
+
+
 @query
 def stream_stats(spark, sf):
     stream = _as_stream(spark, D.fetch_log(spark, sf))
@@ -525,8 +566,8 @@ def stream_stats(spark, sf):
 
 @query
 def stream_retries(spark, sf):
-    # the files are in no time order, so they make one micro-batch
-    stream = _as_stream(spark, D.fetch_log(spark, sf), None)
+    """Four micro-batches whose files are in no time order, so most rows come late."""
+    stream = _as_stream(spark, D.fetch_log(spark, sf))
     return _run(spark, streams.stream_retries(stream)).select("url", "tag", "depth", _stamp("not_before"), "state", "attempt")
 
 
@@ -535,4 +576,6 @@ def stream_to_warc(spark, sf):
     stream = _as_stream(spark, D.fetch_log(spark, sf))
     out, checkpoint = storage.fresh_dir(spark, "warc"), storage.fresh_dir(spark, "checkpoint")
     streams.stream_to_warc(stream, out, checkpoint).awaitTermination()
-    return _records_read_back(spark, f"{out}/*/*.warc.gz")
+    batches = spark.read.text(f"{out}/*/{warc.MANIFESTS}/*.json").select(F.input_file_name().alias("f")).distinct().collect()
+    folders = sorted(r.f.removeprefix("file://").partition(f"/{warc.MANIFESTS}/")[0] for r in batches)
+    return _records_read_back(spark, [f for folder in folders for f in warc.committed_files(folder)])
