@@ -8,6 +8,7 @@ expression.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cache, reduce
@@ -39,6 +40,14 @@ class Scope:
     parts: tuple["Scope", ...] = ()
     #: ``mark(df, name)`` adds the leaf's verdict on ``df.url`` as a column
     mark: Callable[[DataFrame, str], DataFrame] | None = field(default=None)
+    #: what a leaf tests, where its Column does not tell
+    about: Callable[[], str] | None = field(default=None)
+
+    def describe(self) -> str:
+        """The same text for scopes that decide alike, in any session; prefix sets are read for it."""
+        if self.operator != "leaf":
+            return f"{self.operator}({', '.join(p.describe() for p in self.parts)})"
+        return self.about() if self.about else str(self.column())
 
     def column(self, url: str = "url", tag: str = "tag", depth: str = "depth") -> Column:
         return self.check(F.col(url), F.col(tag), F.col(depth))
@@ -117,6 +126,13 @@ def related_scope() -> Scope:
     return Scope(check=lambda url, tag, depth: tag == F.lit(TAG_RELATED))
 
 
+def content_digest(df: DataFrame) -> str:
+    """The number of rows and a sum of their hashes: equal for equal tables in any order."""
+    hashes = F.xxhash64(*df.columns).cast("decimal(38,0)"), F.xxhash64(F.lit(1), *df.columns).cast("decimal(38,0)")
+    row = df.agg(F.count(F.lit(1)), *[F.sum(h) for h in hashes]).first()
+    return "-".join(str(v or 0) for v in row)
+
+
 def _default_patterns() -> list[str]:
     spark = SparkSession.getActiveSession()
     if spark is None or spark.conf.get(IGNORE_PATH_SETTING, None) is None:
@@ -134,7 +150,8 @@ def ignore_scope(
     """
     base = _default_patterns() if defaults is None else list(defaults)
     patterns = base + list(extra)
-    return Scope(check=lambda url, tag, depth: ~matches_any(url, patterns))
+    digest = hashlib.sha256("\n".join(sorted(set(patterns))).encode()).hexdigest()
+    return Scope(check=lambda url, tag, depth: ~matches_any(url, patterns), about=lambda: f"ignore {digest}")
 
 
 def _mark_inline(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -177,7 +194,7 @@ def prefix_scope(prefixes: Iterable[str] | DataFrame) -> Scope:
         known = keys.agg(F.collect_set("prefix")).scalar()
         return F.coalesce(F.arrays_overlap(prefix_candidates(url), known), F.lit(False))
 
-    return Scope(check=check, mark=mark)
+    return Scope(check=check, mark=mark, about=lambda: f"prefixes {content_digest(keys)}")
 
 
 def _lower_host(url: Column) -> Column:

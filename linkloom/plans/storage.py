@@ -49,3 +49,15 @@ def remove_tree(spark: SparkSession, path: str) -> None:
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True if a Spark write to ``path`` was committed."""
     return exists(spark, f"{path}/_SUCCESS")
+
+
+def byte_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    filesystem, target = _hadoop_path(spark, path)
+    return filesystem.getContentSummary(target).getLength()
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below ``path``; none if it does not exist."""
+    filesystem, target = _hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in filesystem.listStatus(target)) if filesystem.exists(target) else []

@@ -7,16 +7,24 @@ then joins narrow rows only:
 
     frontier ⋈ edges  →  depth test  →  first seen  ▷  visited  →  next round
 
-Edges and visited URLs are bucketed tables with as many buckets as there are
-shuffle partitions, so neither is shuffled again: only the new candidates move.
-A page with very many links gets several slots in the edge table, and its
+Edges and visited URLs are bucketed tables, as many buckets as their size asks
+for, so neither is shuffled again: only the new candidates move.  Edges are sorted
+by the key they are bucketed by; a round with a small frontier names its keys, so
+it reads their buckets and pages only.  A page with very many links gets several slots in the edge table, and its
 frontier row is repeated once per slot, so no bucket holds one page's links
 whole.  Every round is a committed table partition; lineage never grows, and a
-restart goes on after the last committed round.
+restart goes on after the last committed round.  What rounds test candidates
+against is a table of runs: small neighbouring rounds are merged into one, so many
+rounds do not become many files.
+
+A state folder remembers what its walk was begun with, and a walk with another
+scope, seeds, corpus or links is refused there or begins anew.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -34,7 +42,7 @@ from linkloom.operators.frontier import (
 )
 from linkloom.operators.links import page_links
 from linkloom.operators.responses import handle, is_redirect, is_retry, redirect_edges
-from linkloom.operators.scope import Scope, all_of, conjuncts
+from linkloom.operators.scope import Scope, all_of, conjuncts, content_digest
 from linkloom.operators.skew import salted_join
 from linkloom.plans import storage
 
@@ -43,6 +51,17 @@ HOT_LINKS = 1_000_000
 #: tasks over which one page's given links are spread while they are checked
 LINK_SALTS = 8
 
+#: values of an IN that Parquet scans compare pages with one by one
+IN_FILTER_SETTING = "spark.sql.parquet.pushdown.inFilterThreshold"
+#: edge bytes a bucket is meant to hold, and the least worth one
+BUCKET_BYTES = 128 << 20
+LEAST_BUCKET_BYTES = 1 << 20
+LEAST_BUCKETS = 4
+#: frontier keys that a round may name to its edge scan
+NAMED_KEYS = 1_000
+#: runs of visited URLs beyond which the newest are merged
+MAX_RUNS = 8
+
 Handler = Callable[[DataFrame], DataFrame]
 
 
@@ -184,14 +203,34 @@ def _joined(operator: str, verdicts):
 class _State:
     """Tables of one walk, below one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int):
+    def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        layout = f"{folder}/layout"
-        if not storage.is_complete(spark, layout):
-            spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(layout)
-        # a resumed walk keeps the bucket count it began with
-        self.buckets = spark.read.parquet(layout).first()["buckets"]
+        self.buckets = 0
         self.tables: list[str] = []
+        #: runs of visited URLs: first and last round, rows
+        self.runs: list[tuple[int, int, int]] = []
+
+    def begin(self, inputs: dict[str, str], on_change: str) -> None:
+        """Remember what the walk is made of; a folder of another walk is refused or cleared."""
+        marker = self.path("inputs")
+        if storage.is_complete(self.spark, marker):
+            known = json.loads(self.spark.read.text(marker, wholetext=True).first()[0])
+            changed = sorted(k for k in {*known, *inputs} if known.get(k) != inputs.get(k))
+            if not changed:
+                return
+            if on_change == "refuse":
+                raise ValueError(f"{self.folder} holds a walk with another {', '.join(changed)}")
+            storage.remove_tree(self.spark, self.folder)
+        self.spark.createDataFrame([(json.dumps(inputs),)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+
+    def lay_out(self, edge_bytes: int) -> None:
+        """Fix the number of buckets by the edges' size; a resumed walk keeps the one it began with."""
+        layout = self.path("layout")
+        if not storage.is_complete(self.spark, layout):
+            few = min(self.spark.sparkContext.defaultParallelism, -(-edge_bytes // LEAST_BUCKET_BYTES))
+            buckets = max(LEAST_BUCKETS, few, -(-edge_bytes // BUCKET_BYTES))
+            self.spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(layout)
+        self.buckets = self.spark.read.parquet(layout).first()["buckets"]
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -212,7 +251,9 @@ class _State:
         path, name = self.path(label), self._name(label)
         if not storage.is_complete(self.spark, path):
             df = make().repartition(self.buckets, *keys)
-            df.write.mode("overwrite").option("path", path).bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+            # small pages, so that a scan which names its keys skips most of a file
+            writer = df.write.mode("overwrite").option("path", path).option("parquet.page.row.count.limit", 2_000)
+            writer.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
             return name
         schema = self.spark.read.parquet(path).schema
         self._create(name, path, schema, keys, None)
@@ -257,6 +298,50 @@ class _State:
         writer.option("path", self._round_path(k)).bucketBy(self.buckets, "url").saveAsTable(name)
         self._attach(table, k)
 
+    def seen_table(self) -> str:
+        """URLs of all committed rounds as one table, a partition per run."""
+        name = self._name("seen")
+        schema = self.spark.createDataFrame([], "url string, run string").schema
+        self._create(name, self.path("runs"), schema, ["url"], "run")
+        merged: dict[int, int] = {}
+        for child in storage.children(self.spark, self.path("runs")):
+            first, _, last = child.removeprefix("run=").partition("-")
+            if storage.is_complete(self.spark, self.path(f"runs/{child}")):
+                merged[int(first)] = max(int(last), merged.get(int(first), 0))
+        k = 0
+        while self.round_done(k) is not None:
+            last = merged.get(k, k)
+            self._add_run(name, k, last, sum(self.round_done(j) for j in range(k, last + 1)))
+            k = last + 1
+        return name
+
+    def _run_path(self, first: int, last: int) -> str:
+        return self._round_path(first) if first == last else self.path(f"runs/run={first}-{last}")
+
+    def _add_run(self, table: str, first: int, last: int, rows: int) -> None:
+        location = self._run_path(first, last)
+        self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (run='{first}-{last}') LOCATION '{location}'")
+        self.runs.append((first, last, rows))
+
+    def add_round(self, table: str, k: int) -> None:
+        """Make round ``k`` a run; of many runs, merge the newest until the one before is much larger."""
+        self._add_run(table, k, k, self.round_done(k))
+        if len(self.runs) <= MAX_RUNS:
+            return
+        newest = [self.runs.pop()]
+        rows = newest[0][2]
+        while self.runs and (len(newest) < 2 or self.runs[-1][2] <= 2 * rows):
+            newest.insert(0, self.runs.pop())
+            rows += newest[0][2]
+        first, last = newest[0][0], newest[-1][1]
+        names = [f"{a}-{b}" for a, b, _ in newest]
+        urls = self.spark.table(table).where(F.col("run").isin(names)).select("url")
+        writer = urls.write.mode("overwrite").option("path", self._run_path(first, last))
+        writer.bucketBy(self.buckets, "url").saveAsTable(self._name("run"))
+        for run in names:
+            self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (run='{run}')")
+        self._add_run(table, first, last, rows)
+
     def drop_tables(self) -> None:
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -275,22 +360,57 @@ def _edge_table(links: DataFrame, scope: Scope) -> tuple[DataFrame, list[Scope]]
 
 
 def _with_slots(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """Edges with the key they are bucketed by: the source and, of a page with very many links, a slot."""
     spread = F.pmod(F.xxhash64("url"), F.coalesce(F.col("slots"), F.lit(1))).cast("int")
-    return edges.join(hot, "src_url", "left").withColumn("slot", spread).drop("slots")
+    return edges.join(hot, "src_url", "left").withColumn("slot", spread).withColumn("key", _edge_key()).drop("slots")
+
+
+def _edge_key() -> Column:
+    return F.xxhash64("src_url", "slot")
 
 
-def _expand(frontier: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
-    """Join the frontier to its edges, slot by slot."""
+def _sources(frontier: DataFrame, hot: DataFrame) -> DataFrame:
+    """The frontier, a row for each slot of its edges."""
     last = F.coalesce(F.col("slots"), F.lit(1)) - 1
-    sources = (
+    return (
         frontier.select(F.col("url").alias("src_url"), F.col("tag").alias("from_tag"), F.col("depth").alias("from_depth"))
         .join(hot, "src_url", "left")
         .withColumn("slot", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-        .drop("slots")
+        .withColumn("key", _edge_key())
+        .drop("slots", "slot")
     )
-    joined = edges.join(sources, ["src_url", "slot"])
+
+
+def _named_keys(sources: DataFrame, rows: int) -> list[int] | None:
+    """The edge keys of a small frontier (of ``rows`` rows), None of a larger one."""
+    if rows > NAMED_KEYS:
+        return None
+    keys = [r["key"] for r in sources.select("key").distinct().limit(NAMED_KEYS + 1).collect()]
+    return keys if len(keys) <= NAMED_KEYS else None
+
+
+def _expand(sources: DataFrame, edges: DataFrame, keys: list[int] | None) -> DataFrame:
+    """Join the frontier to its edges by their key; ``keys`` are all there are, if given."""
+    if keys is not None:
+        edges = edges.where(F.col("key").isin(keys))
+    from_url = sources.withColumnRenamed("src_url", "from_url")
+    joined = edges.join(from_url, "key")
+    # a key is a hash, so the address decides; said so that the key alone stays the join's
+    same = F.coalesce(F.col("src_url") == F.col("from_url"), F.lit(False))
     valid = F.col("src_tag").isNull() | (F.col("src_tag") == F.col("from_tag"))
-    return joined.filter(valid).withColumn("depth", F.col("from_depth") + 1).withColumn("parent", F.col("src_url"))
+    return joined.filter(same & valid).withColumn("depth", F.col("from_depth") + 1).withColumn("parent", F.col("src_url"))
+
+
+def _inputs(seeds: DataFrame, keyed: _Corpus, scope: Scope, links: DataFrame | None, handler: Handler | None, version: str | None) -> dict[str, str]:
+    """What a walk is made of, each as a short text.  Bodies are not read: ``version`` speaks for them."""
+    code = getattr(handler, "__code__", None)
+    return {
+        "seeds": content_digest(seeds.select("url", "tag", "depth")),
+        "corpus": version or content_digest(keyed.heads.drop("parts")),
+        "links": content_digest(links.select("src_url", "url", "tag")) if links is not None else "",
+        "handler": handler and hashlib.sha256(code.co_code if code else repr(handler).encode()).hexdigest() or "",
+        "scope": hashlib.sha256(scope.describe().encode()).hexdigest(),
+    }
 
 
 def walk(
@@ -306,6 +426,8 @@ def walk(
     state_dir: str | None = None,
     keep: bool = False,
     hot_links: int = HOT_LINKS,
+    on_change: str = "refuse",
+    corpus_version: str | None = None,
 ) -> WalkResult:
     """Follow links from ``seeds`` through ``corpus`` until nothing new is in scope.
 
@@ -319,12 +441,19 @@ def walk(
     ``state_dir`` makes a walk restartable: called again with the same folder,
     it goes on after the last finished round.  Intermediate tables are removed
     at the end unless ``keep``; the visited table stays, as it is the result.
+    If the folder's walk had another scope, corpus (all but its bodies), seeds, links or handler,
+    ``on_change`` says whether to ``refuse`` or to ``rebuild``; ``corpus_version``, if given, stands for the corpus, which
+    is then not read for this.
     """
+    if on_change not in ("refuse", "rebuild"):
+        raise ValueError(f"unknown on_change {on_change!r}")
     spark = corpus.sparkSession
     # a folder of our own: what else lies in the caller's is neither read nor removed
     folder = f"{state_dir.rstrip('/')}/linkloom-state" if state_dir else storage.fresh_dir(spark, "walk")
-    state = _State(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    state = _State(spark, folder)
     keyed = _keyed(corpus, order_by, max_attempts)
+    if state_dir:
+        state.begin(_inputs(seeds, keyed, scope, links, handler, corpus_version), on_change)
 
     # the open part of the scope refers to columns of the edge table, so it is
     # rebuilt when a walk resumes; that reads no more than a bounded part of its prefixes
@@ -337,30 +466,45 @@ def walk(
         .filter(F.col("n") > hot_links)
         .select("src_url", F.ceil(F.col("n") / hot_links).cast("int").alias("slots")),
     )
-    edges = spark.table(state.bucketed_once("edges", ["src_url", "slot"], lambda: _with_slots(staged, hot)))
+    if state.round_done(0) is None:
+        # an unfinished beginning under another layout is written anew
+        state.lay_out(storage.byte_size(spark, state.path("staged")))
+    else:
+        state.lay_out(0)
+    edges = spark.table(state.bucketed_once("edges", ["key"], lambda: _with_slots(staged, hot)))
     visited = state.visited_table(
         spark.createDataFrame([], "url string, tag int, depth int, parent string, round int").schema
     )
+    seen = state.seen_table()
 
     rounds = 0
     if state.round_done(0) is None:
         start = candidates_in_scope(seeds.select("url", "tag", "depth", F.lit("").alias("parent")), scope)
         state.commit_round(visited, 0, first_seen(start, "parent"))
-    while state.round_done(rounds) and (max_rounds is None or rounds < max_rounds):
+        state.add_round(seen, 0)
+    named = spark.conf.get(IN_FILTER_SETTING)
+    while (rows := state.round_done(rounds)) and (max_rounds is None or rounds < max_rounds):
         if state.round_done(rounds + 1) is None:
-            seen = spark.table(visited).filter(F.col("round") <= rounds)
-            frontier = seen.filter(F.col("round") == rounds).select("url", "tag", "depth")
-            found = _expand(frontier, edges, hot)
-            for part in rest:
-                found = found.filter(part.check(F.col("url"), F.col("tag"), F.col("depth")))
-            fresh = anti_join_seen(first_seen(found.select("url", "tag", "depth", "parent"), "parent"), seen)
-            state.commit_round(visited, rounds + 1, fresh)
+            frontier = spark.table(visited).filter(F.col("round") == rounds).select("url", "tag", "depth")
+            sources = _sources(frontier, hot)
+            keys = _named_keys(sources, rows)
+            if keys is not None:
+                spark.conf.set(IN_FILTER_SETTING, NAMED_KEYS)
+            try:
+                found = _expand(sources, edges, keys)
+                for part in rest:
+                    found = found.filter(part.check(F.col("url"), F.col("tag"), F.col("depth")))
+                fresh = first_seen(found.select("url", "tag", "depth", "parent"), "parent")
+                state.commit_round(visited, rounds + 1, anti_join_seen(fresh, spark.table(seen)))
+            finally:
+                spark.conf.set(IN_FILTER_SETTING, named)
+            state.add_round(seen, rounds + 1)
         rounds += 1
 
     complete = not state.round_done(rounds)
     state.drop_tables()
     if not keep:
-        for name in ("staged", "hot", "edges"):
+        for name in ("staged", "hot", "edges", "runs"):
             storage.remove_tree(spark, state.path(name))
     found = spark.read.parquet(state.path("visited")).select("url", "tag", "depth", "parent")
     answered = keyed.answered()

@@ -116,3 +116,75 @@ def test_rounds_shuffle_neither_edges_nor_visited(spark, monkeypatch):
     assert len(scans) == 3 and all("Bucketed: true" in line for line in scans)
     # the frontier moves to its edges' buckets, and new candidates to theirs
     assert sum("Exchange hashpartitioning" in line for line in plans[1].splitlines()) <= 3
+
+
+def chain(spark, n):
+    edges = [(f"http://g/{k}", f"http://g/{k + 1}", 0) for k in range(n)] + [(f"http://x/{k}", f"http://x/{k + 1}", 0) for k in range(3000)]
+    links = spark.createDataFrame(edges, "src_url string, url string, tag int")
+    return links, spark.createDataFrame([page(u) for u, _, _ in edges], CORPUS)
+
+
+def test_many_small_rounds_read_few_buckets_and_merge_their_runs(spark, monkeypatch):
+    plans, runs = [], []
+    commit, add = _State.commit_round, _State.add_round
+
+    def watched(self, table, k, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        commit(self, table, k, rows)
+
+    def counted(self, table, k):
+        add(self, table, k)
+        runs.append(len(self.runs))
+
+    monkeypatch.setattr(_State, "commit_round", watched)
+    monkeypatch.setattr(_State, "add_round", counted)
+    monkeypatch.setattr("linkloom.plans.walk.LEAST_BUCKET_BYTES", 1 << 12)
+    links, corpus = chain(spark, 12)
+    result = walk(seeds(spark, "http://g/0"), corpus, sc.scheme_scope(["http"]), links=links, keep=True)
+    assert sorted(r.depth for r in result.visited.collect()) == list(range(13))
+    edges = [line for line in plans[3].splitlines() if "FileScan" in line and "linkloom_edges" in line]
+    assert len(edges) == 1 and "SelectedBucketsCount: 1 out of 8" in edges[0] and "PushedFilters: [IsNotNull(key), EqualTo(key" in edges[0].replace("In(key, [", "EqualTo(key")
+    assert max(runs) <= 9 and any(b < a for a, b in zip(runs, runs[1:]))
+    # merged runs serve a resumed walk, whose rounds are there already
+    again = walk(seeds(spark, "http://g/0"), corpus, sc.scheme_scope(["http"]), links=links)
+    assert rows(again) == rows(result)
+
+
+def test_buckets_follow_the_data_and_not_the_shuffle(spark):
+    links, corpus = graph(spark)
+    scope = sc.scheme_scope(["http"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = set()
+    try:
+        for n in ("3", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            state = walk(seeds(spark, "http://g/hub"), corpus, scope, links=links, keep=True).state_dir
+            found.add(spark.read.parquet(f"{state}/layout").first()["buckets"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {4}
+
+
+def test_a_folder_of_another_walk_is_refused_or_rebuilt(spark):
+    links, corpus = graph(spark)
+    near, far = (sc.all_of(sc.prefix_scope(["http://g"]), sc.depth_scope(n)) for n in (2, 20))
+    start, folder = seeds(spark, "http://g/hub"), storage.fresh_dir(spark, "walk")
+
+    def go(scope, corpus=corpus, **options):
+        return walk(start, corpus, scope, links=links, state_dir=folder, keep=True, **options)
+
+    assert go(near, max_rounds=1).visited.count() == 41
+    with pytest.raises(ValueError, match="another scope"):
+        go(far)
+    with pytest.raises(ValueError, match="another corpus"):
+        go(near, corpus.limit(5))
+    # scopes made anew are the same scope
+    assert go(sc.all_of(sc.prefix_scope(["http://g"]), sc.depth_scope(2))).visited.count() == 41
+    whole = walk(start, corpus, far, links=links)
+    assert rows(go(far, on_change="rebuild")) == rows(whole)
+
+
+def test_scopes_that_decide_alike_describe_alike(spark):
+    make = lambda p, x: sc.site_scope(["http://a/"], only_prefixes=p, excludes=x).describe()
+    assert make(["http://a/b", "http://c"], ["x"]) == make(["http://c", "http://a/b"], ["x"])
+    assert len({make(["http://a"], ["x"]), make(["http://b"], ["x"]), make(["http://a"], ["y"])}) == 3
