@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from linkloom.operators.frontier import RETRY_DELAY, candidates_in_scope
 from linkloom.operators.responses import is_retry, successful
@@ -22,8 +22,8 @@ from linkloom.operators.stats import STATS_PERIOD, body_bytes
 from linkloom.operators.warc_records import to_warc_records
 from linkloom.sources.warc import register
 
-#: parts of one second's failures that wait apart
-RETRY_SHARDS = 16
+#: parts in which failures wait; no more tasks than these share the work
+RETRY_SHARDS = 64
 
 #: session settings the streaming operators are meant to run with
 RECOMMENDED = {
@@ -69,30 +69,36 @@ def report_stats(log: DataFrame, name: str, checkpoint: str, period: str = STATS
 
 
 class _Waiting(StatefulProcessor):
-    """Failed requests of one second and shard, kept until a timer at the second's end."""
+    """Failed requests of one shard, by the second they are due in, each second with a timer at its end."""
 
     def __init__(self, columns: list[str], schema: StructType):
         self.columns, self.schema = columns, schema
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
+        self.rows = handle.getMapState("rows", "second long", StructType([StructField("rows", ArrayType(self.schema))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        end = (int(key[0]) + 1) * 1000
-        late = end <= timerValues.getCurrentWatermarkInMs()
+        clock = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
             frame = frame[self.columns]
-            if late:
-                yield frame
-            else:
-                self.rows.appendList([tuple(None if pd.isna(v) else v for v in r) for r in frame.astype(object).to_numpy()])
-        if not late:
-            self.handle.registerTimer(end)
+            second = frame["due"] // 1_000_000
+            late = (second + 1) * 1000 <= clock
+            if late.any():
+                yield frame[late]
+            waiting: dict[int, list[tuple]] = {}
+            for at, row in zip(second[~late], frame[~late].astype(object).to_numpy()):
+                waiting.setdefault(int(at), []).append(tuple(None if pd.isna(v) else v for v in row))
+            for at, new in waiting.items():
+                old = [tuple(r) for r in self.rows.getValue((at,))[0]] if self.rows.containsKey((at,)) else []
+                self.rows.updateValue((at,), (old + new,))
+                if not old:
+                    self.handle.registerTimer((at + 1) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = [list(r) for r in self.rows.get()]
-        self.rows.clear()
+        at = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1,)
+        rows = [list(r) for r in self.rows.getValue(at)[0]]
+        self.rows.removeKey(at)
         yield pd.DataFrame(rows, columns=self.columns, dtype=object)
 
     def close(self) -> None:
@@ -102,8 +108,8 @@ class _Waiting(StatefulProcessor):
 def stream_retries(log: DataFrame, delay: str = RETRY_DELAY, lateness: str = "0 seconds", shards: int = RETRY_SHARDS) -> DataFrame:
     """Failed requests, each emitted once the log's clock has passed the second it is due in.
 
-    Requests wait in state keyed by that second (and a shard of it, so that a burst
-    is spread), with one event-time timer for each key.  A failure that
+    Requests wait in ``shards`` equal parts, in each by that second, for which there is
+    one event-time timer; no URL and no burst meets in one of them.  A failure that
     arrives when it is already due, however late, is emitted with its micro-batch:
     nothing is dropped.  The clock is the largest ``ts`` of earlier batches, less
     ``lateness``; responses that succeed move it as well.  (Output mode
@@ -117,10 +123,8 @@ def stream_retries(log: DataFrame, delay: str = RETRY_DELAY, lateness: str = "0
     due = F.unix_micros(F.col("ts") + F.expr(f"INTERVAL {delay}"))
     rows = failed.select("url", "tag", "depth", due.alias("due"), (attempt + 1).cast("int").alias("attempt"))
     schema = StructType([StructField(f.name, f.dataType) for f in rows.schema])
-    keyed = rows.withColumns(
-        {"second": F.floor(F.col("due") / 1_000_000), "shard": F.pmod(F.xxhash64("url", "due"), F.lit(shards))}
-    )
-    released = keyed.groupBy("second", "shard").transformWithStateInPandas(
+    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("url", "due"), F.lit(shards)))
+    released = keyed.groupBy("shard").transformWithStateInPandas(
         _Waiting(rows.columns, schema), outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
     return released.select(
