@@ -17,6 +17,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: window hashes that may be broadcast (16 bytes each, some 100 MB with the table around them)
 BROADCAST_WINDOWS = 2_000_000
+#: documents with hits whose keys may be broadcast to fetch their texts
+BROADCAST_DOCUMENTS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -49,37 +51,56 @@ def _hash(hashes: Column) -> Column:
     return F.xxhash64(hashes)
 
 
+def _keys() -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(-1)).alias("key_id"), text_key(F.col("text")).alias("key_text")]
+
+
 def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``doc_id, key_id, key_text, n_words, len, pos, hash``: a row of ``len`` 0 per document, and its hits by hash."""
+    """``doc_id, key_id, key_text, n_words, len, pos, hash``: a row of ``len`` 0 per document, and its hits by hash.
+
+    A shuffled join moves windows only: the documents' own rows do not take part in it.
+    """
     lengths = [r[0] for r in windows.select("len").distinct().collect()]  # at most n numbers
     keys = windows.select("len", "hash").distinct()
-    if keys.count() <= BROADCAST_WINDOWS:
-        keys = F.broadcast(keys)
-    rows = docs.select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit(-1)).alias("key_id"),
-        text_key(F.col("text")).alias("key_text"),
-        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"),
-    )
+    small = keys.count() <= BROADCAST_WINDOWS
+    rows = docs.select("doc_id", *_keys(), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     rows = rows.withColumn("n_words", F.size("h").cast("long"))
+    named = ["doc_id", "key_id", "key_text", "n_words"]
 
     def entry(length: int):
         return lambda i, w: F.struct(F.lit(length).alias("len"), i.alias("pos"), _hash(w).alias("hash"))
 
     none = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("hash")))
     size = F.col("n_words").cast("int")
-    every = F.concat(none, *[_windows(F.col("h"), size, length, entry(length)) for length in lengths])
-    rows = rows.select("doc_id", "key_id", "key_text", "n_words", F.inline(every))
-    known = keys.withColumn("known", F.lit(True))
-    return rows.join(known, ["len", "hash"], "left").where("len = 0 or known").drop("known")
+    cut = [_windows(F.col("h"), size, length, entry(length)) for length in lengths]
+    if small:
+        every = rows.select(*named, F.inline(F.concat(none, *cut)))
+        known = F.broadcast(keys).withColumn("known", F.lit(True))
+        return every.join(known, ["len", "hash"], "left").where("len = 0 or known").drop("known")
+    own = rows.select(*named, F.inline(none))
+    return own.unionByName(rows.select(*named, F.inline(F.concat(*cut))).join(keys, ["len", "hash"], "left_semi"))
+
+
+def _bound(value: Column, then) -> Column:
+    """``then(value)``, ``value`` being computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _texts_of(docs: DataFrame, claimed: DataFrame) -> DataFrame:
+    """``key_id, key_text, text`` of the claimed documents; only their texts are shuffled if their keys may be broadcast."""
+    texts = docs.select(*_keys(), "text")
+    keys = claimed.select("key_id", "key_text")
+    if keys.count() <= BROADCAST_DOCUMENTS:
+        texts = texts.join(F.broadcast(keys), ["key_id", "key_text"], "left_semi")
+    return texts
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, spans: bool = False) -> DataFrame:
-    """How far each document consists of benchmark windows.
+    """How far each document consists of benchmark windows.  Very long texts are judged whole, in one row.
 
     Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` per
     input row; ``contaminated`` if at least one word in ``share`` is hit.  Null and
-    empty texts have no words; an empty benchmark hits nothing; rows that repeat an
+    empty texts have no words; an empty benchmark hits nothing, an empty table of documents gives no rows; rows that repeat an
     id are judged by their own texts; null ids and other columns are allowed.
     With ``spans``, ``intervals`` (array of ``first, last`` word positions, end
     exclusive) and the row keys ``key_id, key_text`` come too.
@@ -88,19 +109,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     found = written(window_hits(docs, windows), "window-hits")
     hits = found.where("len > 0").select("key_id", "key_text", "len", "pos", "hash").distinct()
     claimed = (
-        hits.join(windows, ["len", "hash"])
+        hits.join(windows.select("len", "hash", "words"), ["len", "hash"])
         .groupBy("key_id", "key_text")
-        .agg(F.collect_list(F.struct("pos", "len", "words", "items")).alias("claims"))
+        .agg(F.collect_list(F.struct("pos", "len", "hash", "words")).alias("claims"))
     )
     claimed = written(claimed, "window-claims")
-    texts = docs.select(
-        F.coalesce("doc_id", F.lit(-1)).alias("key_id"), text_key(F.col("text")).alias("key_text"), "text"
+    # the words of a text are made once, not for each claim
+    right = _bound(
+        F.struct(words(F.col("text")).alias("w"), F.col("claims")),
+        lambda x: F.filter(x["claims"], lambda c: F.slice(x["w"], c["pos"] + 1, c["len"]) == c["words"]),
     )
-    right = F.filter("claims", lambda c: F.slice(F.col("w"), c["pos"] + 1, c["len"]) == c["words"])
     verified = (
-        texts.join(claimed, ["key_id", "key_text"])
+        _texts_of(docs, claimed)
+        .join(claimed, ["key_id", "key_text"])
         .dropDuplicates(["key_id", "key_text"])
-        .select("key_id", "key_text", words(F.col("text")).alias("w"), "claims")
         .select("key_id", "key_text", right.alias("claims"))
         .select(
             "key_id",
@@ -108,9 +130,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
             F.array_sort(
                 F.transform("claims", lambda c: F.struct(c["pos"].alias("first"), (c["pos"] + c["len"]).alias("last")))
             ).alias("intervals"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform("claims", lambda c: c["items"])))).alias("items"),
+            F.array_distinct(F.transform("claims", lambda c: c.dropFields("pos"))).alias("found"),
         )
     )
+    verified = written(verified, "window-verified")
     covered = F.aggregate(
         "intervals",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
@@ -119,15 +142,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
             F.greatest(acc["to"], x["last"]).alias("to"),
         ),
     )["n"]
-    verified = verified.select(
-        "key_id",
-        "key_text",
-        "intervals",
-        covered.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.concat_ws(",", "items").alias("items"),
+    # which items a window stands in matters only where it is found
+    items = (
+        verified.select("key_id", "key_text", F.inline("found"))
+        .join(windows, ["len", "hash", "words"])
+        .select("key_id", "key_text", F.explode("items").alias("item"))
+        .groupBy("key_id", "key_text")
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    verified = written(verified, "window-verified")
+    items = items.select("key_id", "key_text", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("items"))
+    verified = verified.select("key_id", "key_text", "intervals", covered.alias("n_hit")).join(items, ["key_id", "key_text"], "left")
+    verified = written(verified, "window-items")
     per_doc = found.where("len = 0").select("doc_id", "key_id", "key_text", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     extra = ["key_id", "key_text", F.coalesce("intervals", F.array().cast(verified.schema["intervals"].dataType)).alias("intervals")]

@@ -47,6 +47,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns (rows with a null id are kept)."""
-    gone = exact_groups(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The documents that stay, with all their columns.
+
+    Rows with a null id are kept.  Of rows that repeat an id, those go whose own text another id has.
+    """
+    gone = exact_groups(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__text"))
+    keyed = docs.withColumn("__key", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    same = (F.col("doc_id") == F.col("__gone")) & (F.col("__key") == F.col("__text"))
+    return keyed.join(gone.distinct(), same, "left_anti").select(*docs.columns)

@@ -54,7 +54,7 @@ def grams(texts: pa.Array, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     codes, of = np.concatenate(([0], codes[keep])).astype(np.uint64), of[keep]
-    if len(codes) <= n:
+    if len(codes) < n:
         return np.zeros(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
     h = np.zeros(len(codes) - n + 1, np.uint64)
     for k in range(n):
@@ -110,17 +110,17 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -
     """Filters of the ``top`` most frequent n-grams of each language in ``labelled`` (``text, lang``).
 
     N-grams that are far more frequent in another language are left out (``COMMON``).
-    About ``sample`` rows per language, chosen by a hash of the text, are read for
+    About ``sample`` rows per language, chosen by a hash of id and text, are read for
     n-grams; the rest only counts.
     """
     spark = labelled.sparkSession
-    labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
+    labelled = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = {lang: n for lang, n in labelled.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return build_filters({})
     parts = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in counts.items()], "lang string, part double")
     chosen = labelled.join(F.broadcast(parts), "lang").where(
-        F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
+        F.pmod(F.col("h"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,8 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document, learned from those not held out.
 
     A document is held out if crc32 of its id modulo ``folds`` is ``held``; rows
-    with a null id are not held out and not learned from.
+    with a null id are not held out and not learned from.  Very long texts are
+    judged whole; an empty table gives no rows; other columns are ignored.
     """
     fold = id_remainder(F.col("doc_id"), folds)
     filters = learn_filters(docs.where(fold != held))

@@ -19,7 +19,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import written
+from linkloom.llm.common import text_key, written
 from linkloom.llm.components import components
 
 #: words a shingle
@@ -135,18 +135,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("key_text"),
                 pa.array(sizes),
                 pa.array([p if n else None for p, n in zip(prints, sizes)], pa.binary()),
                 pa.array([c.tobytes() if n else None for c, n in zip(codes, sizes)], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "set_hash", "codes"],
+            ["doc_id", "key_text", "n_shingles", "set_hash", "codes"],
         )
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_hash, codes`` per row; the last two are null for texts without words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_hash binary, codes binary")
+    """``doc_id, key_text, n_shingles, set_hash, codes`` per row; the last two are null for texts without words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key_text"))
+    return rows.mapInArrow(_sign, "doc_id long, key_text long, n_shingles long, set_hash binary, codes binary")
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -272,7 +273,7 @@ def _compare_rest(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The near-duplicate component of every document.
+    """The near-duplicate component of every document.  Very long texts are compared whole.
 
     Documents whose distinct 5-word shingles have a Jaccard similarity of
     ``percent`` or more are linked.  Returns ``doc_id, n_shingles, component_id,
@@ -282,6 +283,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     part: their ``component_id`` is null and they are kept.  Other columns are
     ignored; an empty table gives no rows.
     """
+    return _judged(docs, percent).drop("key_text")
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, key_text, n_shingles, component_id, kept`` of every row."""
     signed = written(sign(docs), "signed")
     classes = (
         signed.where("n_shingles > 0 and doc_id is not null")
@@ -318,6 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return signed.join(labels, "set_hash", "left").select(
         "doc_id",
+        "key_text",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
@@ -325,6 +332,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The documents that stay, one of each component, with all their columns.
+
+    Of rows that repeat an id, those go whose own text is in another's component;
+    rows with a null id and rows equal in id and text all stay.
+    """
+    gone = _judged(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("key_text").alias("__text")).distinct()
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    same = (F.col("doc_id") == F.col("__gone")) & (F.col("__key") == F.col("__text"))
+    return keyed.join(gone, same, "left_anti").select(*docs.columns)

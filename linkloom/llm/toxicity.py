@@ -84,19 +84,30 @@ def train_ftrl(
     return weights(slice(None)), start - bias[0] / ((beta + np.sqrt(bias[1])) / alpha)
 
 
-def learn_weights(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, their weights, and the bias, from ``doc_id, text, toxic`` (0 or 1).
+def choose_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, toxic`` of at most ``sample`` labels, by a hash of the id; texts are not touched for it."""
+    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("double").alias("toxic"))
+    total = known.count()
+    part = int(min(1.0, sample / total) * (1 << 40)) if total else 0
+    # labels that repeat an id are chosen together, hence the limit
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < part).limit(sample)
 
-    A hash of id and text chooses ``sample`` rows at most; one task learns from them
+
+def learn_weights(docs: DataFrame, chosen: DataFrame | None = None, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets, their weights, and the bias, from the texts of ``docs`` that ``chosen`` labels (``doc_id, toxic``).
+
+    ``chosen`` is no longer than ``sample`` (:func:`choose_labels`), so it is sent to the documents, and
+    only labelled texts move; without it ``docs`` has ``toxic`` itself.  One task learns from them
     all, since L1 and learning rates hold for what has been seen together.
     """
-    labelled = labelled.where("toxic is not null and text is not null").select(
-        "text", F.col("toxic").cast("double"), F.xxhash64("doc_id", "text").alias("h")
-    )
-    total = labelled.count()
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0), 0.0
-    chosen = labelled.where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, sample / total) * (1 << 40)))
+    texts = docs.where("text is not null")
+    if chosen is None:
+        labelled = texts.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("double").alias("toxic"))
+        part = int(min(1.0, sample / max(1, labelled.count())) * (1 << 40))
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < part)
+    else:
+        labelled = texts.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    labelled = labelled.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, toxic = [], []
@@ -113,9 +124,9 @@ def learn_weights(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray
                 [pa.array(np.append(at, -1)), pa.array(np.append(w[at], bias))], ["bucket", "weight"]
             )
 
-    ordered = chosen.repartition(1).sortWithinPartitions(F.xxhash64("h", F.lit(7)), "toxic")
-    # rows that repeat id and text are chosen together, hence the limit
-    model = ordered.limit(sample).select("text", "toxic").mapInArrow(train, "bucket long, weight double").toArrow()
+    # documents that repeat an id all have its label, hence the limit
+    ordered = labelled.orderBy(F.xxhash64("h", F.lit(7)), "toxic", "text").limit(sample)
+    model = ordered.select("text", "toxic").mapInArrow(train, "bucket long, weight double").toArrow()
     at, w = (model[c].to_numpy() for c in ("bucket", "weight"))
     return at[at >= 0], w[at >= 0], float(w[at == -1].sum())
 
@@ -144,10 +155,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
 
     Held out are documents whose crc32 of the id modulo ``folds`` is ``held``; a
     null id is not held out and has no label.  Repeated labels count repeatedly;
-    without any label every score is 0.5.
+    without any label every score is 0.5.  Very long texts are scored whole; an
+    empty table gives no rows; other columns are ignored.
     """
     fold = id_remainder(F.col("doc_id"), folds)
     known = labels.where(id_remainder(F.col("doc_id"), folds) != held).select("doc_id", "toxic")
-    model = learn_weights(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = learn_weights(docs, choose_labels(known))
     rows = docs.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "text")
     return score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

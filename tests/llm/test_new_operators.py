@@ -274,3 +274,85 @@ def test_whole_numbers_are_exact_where_64_bits_do_not_hold_them():
     assert off[1].tolist() == [-(1 << 53), 10_000 * 5 - 5 + (1 << 53)]
     assert whitening._squares(off).to_pylist() == [None, None]
     assert whitening._squares(np.array([[3, 4]], object)).to_pylist() == [25]
+
+
+def test_words_are_made_once_for_all_claims(spark):
+    from linkloom.llm import decontamination
+    from linkloom.llm.common import prepare
+
+    plans = []
+    real = decontamination.written
+
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, label)
+
+    docs = prepare(spark).read.parquet(f"{SF}/documents.parquet")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontamination, "written", watched)
+        decontamination.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    plan = dict(plans)["window-verified"]
+    inner = plan[plan.index("filter(") :]
+    assert "regexp_extract_all" not in inner[: inner.index("Join")].split("lambdafunction(")[-1]
+    assert plan.count("regexp_extract_all") == 1 and "LeftSemi" in plan
+
+
+def test_rows_that_repeat_an_id_go_by_their_own_text(spark):
+    from linkloom.llm import exact_dedup, near_dups
+    from linkloom.llm.common import prepare
+
+    rows = [(5, "a b c d e f"), (5, "x y z u v w"), (3, "a b c d e f"), (None, "a b c d e f"), (7, None)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key_text", "2 as kept")
+    left = sorted(((r["doc_id"], r["text"]) for r in near_dups.drop_near_duplicates(docs).collect()), key=repr)
+    assert left == sorted([rows[1], rows[2], rows[3], rows[4]], key=repr)
+    # the largest id of equal texts stays
+    left = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(docs).collect()), key=repr)
+    assert left == sorted([rows[0], rows[1], rows[3], rows[4]], key=repr)
+
+
+def test_a_text_of_one_letter_is_judged_alike_in_any_batch():
+    from linkloom.llm import language
+
+    alone, bounds = language.grams(pa.array(["a"]))
+    both, ends = language.grams(pa.array(["a", "some other text"]))
+    assert alone.tolist() == both[: ends[1]].tolist() and bounds.tolist() == [0, 1]
+
+
+def brute_ftrl(rows, toxic, bits, epochs=6, alpha=2.0, beta=1.0, l1=6.0, l2=0.02):
+    """The training rule written out for one feature at a time."""
+    import math
+
+    z, n, zb, nb = Counter(), Counter(), 0.0, 0.0
+    prior = min(max(sum(toxic) / len(toxic), 1e-3), 1 - 1e-3)
+    start, more = math.log(prior / (1 - prior)), max(1.0, math.sqrt((1 - prior) / prior))
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    bias = lambda: start - zb / ((beta + math.sqrt(nb)) / alpha)
+    for _ in range(epochs):
+        for row, y in zip(rows, toxic):
+            w, b = {i: weight(i) for i in row.tolist()}, bias()
+            g = (1 / (1 + math.exp(-(sum(w.values()) + b))) - y) * (more if y else 1.0)
+            for i, wi in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * wi
+                n[i] += g * g
+            zb, nb = zb + g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * (b - start), nb + g * g
+    return {i: weight(i) for i in z if weight(i)}, bias()
+
+
+def test_training_follows_the_rule_feature_by_feature():
+    from linkloom.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, 6)).astype(np.int32) for _ in range(120)]
+    toxic = np.array([float(3 in r or 7 in r) for r in rows])
+    weights, bias = toxicity.train_ftrl(rows, toxic)
+    wanted, wanted_bias = brute_ftrl(rows, toxic.tolist(), 40)
+    assert abs(bias - wanted_bias) < 1e-9 and {i: round(w, 9) for i, w in enumerate(weights) if w} == {i: round(w, 9) for i, w in wanted.items()}
+
+
+def test_labels_are_chosen_by_id_and_bounded(spark):
+    from linkloom.llm import toxicity
+
+    labels = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    assert toxicity.choose_labels(labels, 1000).count() <= 1000
+    assert toxicity.choose_labels(labels, 5000).count() == 5000
+    assert toxicity.choose_labels(labels.selectExpr("7L as doc_id", "toxic"), 10).count() <= 10
