@@ -4,113 +4,205 @@ A line's leaf is its number of tokens and its first tokens, tokens with digits
 counting as variable.  Lines of a leaf that agree in most positions share one
 template, whose other positions are variable; any other line is a template of its
 own.  Lines that fit none are parted by the token at their most constant open position
-and tried again, so a leaf may hold several templates and noise.  The sentences of a line are messages like lines, so that a passage inside a line
+and tried again until nothing parts, so a leaf may hold several templates and noise.  The sentences of a line are messages like lines, so that a passage inside a line
 is found as well.  Templates that occur in two or more documents are dropped from all but the first.
-The tree is never built in one place: leaves, positions and templates are keys of
-aggregations that reduce in each task before they shuffle.
+
+The tree is never built in one place.  A first pass reduces leaves to whether two
+documents and two lines meet in them; only messages of leaves that two documents share are
+written, as hashes, and tokens only of leaves with several lines.  Leaves of many
+lines are parted by Spark until their parts are small enough for a task.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from linkloom.llm.common import text_key, written
+from linkloom.llm.messages import WHOLE, Messages, messages, template_tree
+from linkloom.llm.tokens import strings
 
-VARIABLE = "<*>"
-#: a white-space word with a digit; linear, as it starts only where words start
-NUMBERED = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 SPACES = " \t\n\x0b\x0c\r"
-#: the place between two sentences of a line, for Java and Python alike
+#: the place between two sentences of a line
 SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])(?=[^\n])"
-#: times that the lines of a leaf without a template are parted and tried again
-LEVELS = 4
-#: the part of a message that is a whole line
-WHOLE = -1
+#: bytes of text handled at once
+SLICE_BYTES = 1 << 20
+#: shared leaves that may be broadcast (9 bytes each)
+BROADCAST_LEAVES = 4_000_000
+#: lines of a leaf that one task may part
+SMALL_LEAF = 5_000
 
 
-def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, NUMBERED, VARIABLE)).otherwise(line)
-    # splitting at one character needs no regular expression
-    spaced = F.when(masked.rlike(r"[\x09-\x0D]"), F.translate(masked, SPACES, " " * len(SPACES))).otherwise(masked)
-    return F.array_remove(F.split(spaced, " "), "")
+def _keys() -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(-1)).alias("key_id"), text_key(F.col("text")).alias("key_text")]
 
 
 def _digest(c: Column) -> Column:
-    """128 bits of a string or array, as two numbers."""
+    """128 bits of a struct, as two numbers."""
     return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(1)).alias("b"))
 
 
-def _keys() -> list[Column]:
-    return [F.coalesce("doc_id", F.lit(-1)).alias("key_id"), text_key(F.col("text")).alias("key_text")]
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
-def _lines(docs: DataFrame, least_tokens: int, leading: int) -> DataFrame:
-    """``key_id, key_text, pos, part, at, n, tokens, line, leaf`` of the messages of every line.
+def _leaves(texts: DataFrame, least_tokens: int, leading: int, least_general: int) -> DataFrame:
+    """``leaf, mixed``: the leaves that two documents share; mixed, if two lines that may be generalised meet in them."""
 
-    A line is a message, and so is each of its sentences if it has several.  ``part``
-    is the sentence's place in its line (WHOLE for lines), ``at`` the place among all
-    sentences of the document (null for a line of several), blank ones left out.
-    """
-    single = lambda row: ~row.rlike(SENTENCE_END)
-    parts = F.filter(
-        F.flatten(
-            F.transform(
-                F.split("text", "\n", -1),
-                lambda row, i: F.transform(
-                    F.split(row, SENTENCE_END, -1),
-                    lambda x, j: F.struct(
-                        i.alias("pos"), F.when(single(row), WHOLE).otherwise(j).alias("part"), x.alias("row")
-                    ),
-                ),
-            )
-        ),
-        lambda x: x["row"].rlike(r"[^\x20\x09-\x0D]"),
-    )
-    docs = docs.where("text is not null")
-    sentences = docs.select(*_keys(), F.posexplode(parts).alias("at", "x")).select("key_id", "key_text", "at", "x.*")
-    lines = docs.select(*_keys(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "row"))
-    lines = lines.where(~single(F.col("row"))).withColumns({"part": F.lit(WHOLE), "at": F.lit(None).cast("int")})
-    rows = sentences.unionByName(lines)
-    rows = rows.select("key_id", "key_text", "pos", "part", "at", _tokens(F.col("row")).alias("tokens"))
-    n = F.size("tokens")
-    rows = rows.withColumn("n", n).where(F.col("at").isNotNull() | (n >= least_tokens))
-    leaf = F.struct(n.alias("n"), F.slice("tokens", 1, leading).alias("head"))
-    return rows.select("*", _digest(F.col("tokens")).alias("line"), F.xxhash64(leaf).alias("leaf"))
-
-
-def _general(lines: DataFrame, narrow: DataFrame, same: float, constant: float, least_general: int) -> DataFrame:
-    """``line, template`` of the lines that share a generalised template with others of their leaf."""
-    mixed = narrow.where(F.col("n") >= least_general).groupBy("leaf").agg(F.min("line.a").alias("lo"), F.max("line.a").alias("hi"))
-    mixed = written(mixed.where("lo <> hi").select("leaf"), "leaves")
-    members = (
-        lines.where(F.size("tokens") >= least_general)
-        .join(mixed, "leaf", "left_semi")
-        .groupBy("leaf", "line")
-        .agg(F.first("tokens").alias("tokens"))
-    )
-    members = written(members.withColumnRenamed("leaf", "node"), "leaf-lines")
-    found = None
-    for level in range(LEVELS):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                m = messages(strings(part.column("text")), least_tokens, leading)
+                doc = part.column("doc").to_numpy()[m.text]
+                line = m.a.view(np.int64)
+                # one row for each leaf of the slice
+                order = np.argsort(m.leaf, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], np.diff(m.leaf[order]) != 0))) if len(order) else order
+                reduced = [f.reduceat(x[order], first) if len(first) else x[:0] for x in (doc, line) for f in (np.minimum, np.maximum)]
+                general = (m.n >= least_general)[order][first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (m.leaf[order][first].view(np.int64), *reduced, general)],
+                    ["leaf", "doc_lo", "doc_hi", "line_lo", "line_hi", "general"],
+                )
+
+    schema = "leaf long, doc_lo long, doc_hi long, line_lo long, line_hi long, general boolean"
+    spread = texts.select("doc", "text").mapInArrow(run, schema).groupBy("leaf").agg(
+        F.min("doc_lo").alias("doc_lo"), F.max("doc_hi").alias("doc_hi"),
+        F.min("line_lo").alias("line_lo"), F.max("line_hi").alias("line_hi"), F.max("general").alias("general"),
+    )
+    shared = spread.where("doc_lo <> doc_hi").select("leaf", F.expr("line_lo <> line_hi and general").alias("mixed"))
+    return written(shared, "leaves")
+
+
+MESSAGE = "key_id long, key_text long, pos int, part int, at int, n int, a long, b long, leaf long"
+
+
+def _message_rows(batch: pa.RecordBatch, m: Messages, keep: np.ndarray, mixed: np.ndarray) -> pa.RecordBatch:
+    """Rows of the messages at ``keep``; tokens of each line of the slice that ``mixed`` says so of, once."""
+    at = pa.array(m.at[keep].astype(np.int32), mask=m.at[keep] < 0)
+    want = mixed.copy()
+    _, first = np.unique(m.a[keep], return_index=True)
+    once = np.zeros(len(keep), bool)
+    once[first] = True
+    want &= once
+    sizes = np.where(want, m.n[keep], 0)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    places = np.repeat(m.lo[keep] - ends[:-1], sizes) + np.arange(ends[-1])
+    tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(m.tokens[places].view(np.int64)))
+    tokens = pc.if_else(pa.array(want), tokens, pa.scalar(None, tokens.type))
+    numbers = [x[keep].astype(np.int32) for x in (m.pos, m.part)]
+    hashes = [x[keep].view(np.int64) for x in (m.a, m.b, m.leaf)]
+    columns = [
+        *(pa.array(batch.column(c).to_numpy()[m.text[keep]]) for c in ("key_id", "key_text")),
+        *map(pa.array, numbers), at, pa.array(m.n[keep].astype(np.int32)), *map(pa.array, hashes), tokens,
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MESSAGE.split(", ")] + ["tokens"])
+
+
+def _shared_messages(texts: DataFrame, leaves: DataFrame, least_tokens: int, leading: int, least_general: int) -> DataFrame:
+    """The messages of shared leaves, written: columns of MESSAGE and, once a slice for lines of mixed leaves, ``tokens``."""
+    schema = f"{MESSAGE}, tokens array<long>"
+    few = leaves.count() <= BROADCAST_LEAVES
+    known = None
+    if few:
+        table = leaves.orderBy("leaf").toArrow()
+        pair = (table["leaf"].to_numpy(), table["mixed"].to_numpy())
+        known = texts.sparkSession.sparkContext.broadcast(pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                m = messages(strings(part.column("text")), least_tokens, leading)
+                leaf, general = m.leaf.view(np.int64), m.n >= least_general
+                keep, mixed = np.arange(len(leaf)), general
+                if known is not None:
+                    keys, flags = known.value
+                    at = np.minimum(np.searchsorted(keys, leaf), max(len(keys) - 1, 0))
+                    hit = keys[at] == leaf if len(keys) else np.zeros(len(leaf), bool)
+                    keep = np.flatnonzero(hit)
+                    mixed = flags[at[keep]] & general[keep]
+                yield _message_rows(part, m, keep, mixed)
+
+    rows = texts.select("key_id", "key_text", "text").mapInArrow(run, schema)
+    if not few:
+        rows = rows.join(leaves, "leaf").withColumn("tokens", F.when(F.col("mixed"), F.col("tokens"))).drop("mixed")
+    return written(rows, "messages", compact=True)
+
+
+def _in_tasks(members: DataFrame, same: float, constant: float) -> DataFrame:
+    """``line, template`` of the lines of small nodes (``node, line, tokens``), each node's tree grown in one task."""
+
+    def grow(node: int, lines: list, tokens: list) -> list:
+        found = template_tree(np.array(tokens, np.int64).view(np.uint64), same, constant) if len(lines) > 1 else []
+        return [(line, node, int(k)) for line, k in zip(lines, found) if k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, lines, tokens, done = None, [], [], []
+        for batch in batches:
+            nodes, a, b = (batch.column(c).to_numpy() for c in ("node", "a", "b"))
+            of = batch.column("tokens")
+            bounds, flat = of.offsets.to_numpy() - of.offsets[0].as_py(), of.flatten().to_numpy()
+            for i, one in enumerate(nodes.tolist()):
+                if one != node:
+                    done += grow(node, lines, tokens)
+                    node, lines, tokens = one, [], []
+                lines.append((a[i], b[i]))
+                tokens.append(flat[bounds[i] : bounds[i + 1]])
+            if done:
+                yield _found(done)
+                done = []
+        done += grow(node, lines, tokens)
+        if done:
+            yield _found(done)
+
+    ordered = members.select("node", "line.a", "line.b", "tokens").repartition("node").sortWithinPartitions("node", "a", "b")
+    rows = ordered.mapInArrow(run, "a long, b long, node long, number long")
+    return rows.select(F.struct("a", "b").alias("line"), _digest(F.struct("node", "number")).alias("template"))
+
+
+def _found(rows: list) -> pa.RecordBatch:
+    columns = [[r[0][0] for r in rows], [r[0][1] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "node", "number"])
+
+
+def _general(members: DataFrame, same: float, constant: float) -> DataFrame:
+    """``line, template`` of the lines that share a generalised template with others of their node."""
+    found = []
+    while True:
+        sizes = members.groupBy("node").count().where(F.col("count") > SMALL_LEAF).select("node")
+        large = written(sizes, "large-nodes")
+        if large.isEmpty():
+            found.append(_in_tasks(members, same, constant))
+            break
+        found.append(written(_in_tasks(members.join(large, "node", "left_anti"), same, constant), "found"))
+        members = members.join(large, "node", "left_semi")
         templates, splits = _node_templates(members, same, constant)
         fits = F.forall("fixed", lambda f: F.get("tokens", f["at"]) == f["token"])
         told = members.join(templates, "node", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
-        told = written(told, f"level-{level}")
-        fitting = told.where("fits").select("line", _digest(F.struct("node", "fixed")).alias("template"))
-        found = fitting if found is None else found.unionByName(fitting)
-        if splits.isEmpty():
-            break
-        if level < LEVELS - 1:
-            # lines that fit no template part by their token at one position of the node
-            rest = told.where("not fits").select("node", "line", "tokens").join(splits, "node")
-            node = F.xxhash64("node", "split", F.get("tokens", F.col("split")))
-            members = written(rest.select(node.alias("node"), "line", "tokens"), f"rest-{level}")
-    return found
+        told = written(told, "large-told")
+        found.append(told.where("fits").select("line", _digest(F.struct("node", "fixed")).alias("template")))
+        # lines that fit no template part by their token at one position of the node
+        rest = told.where("not fits").select("node", "line", "tokens").join(splits, "node")
+        node = F.xxhash64("node", F.lit("split"), F.get("tokens", F.col("split")))
+        members = written(rest.select(node.alias("node"), "line", "tokens"), "large-rest")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _node_templates(members: DataFrame, same: float, constant: float) -> tuple[DataFrame, DataFrame]:
@@ -151,10 +243,14 @@ def recurring_lines(
     0.  Lines of fewer than ``least_tokens`` tokens are never templates; messages of
     fewer than ``least_general`` are not generalised.
     """
-    lines = _lines(docs, least_tokens, leading)
-    narrow = written(lines.drop("tokens"), "lines")
-    general = written(_general(lines, narrow, same, constant, least_general), "line-templates")
-    rows = narrow.join(general, "line", "left").select(
+    texts = docs.where("text is not null").select(*_keys(), "text").withColumn("doc", F.xxhash64("key_id", "key_text"))
+    leaves = _leaves(texts, least_tokens, leading, least_general)
+    found = _shared_messages(texts, leaves, least_tokens, leading, least_general)
+    lines = found.where("tokens is not null").groupBy("leaf", "a", "b").agg(F.first("tokens").alias("tokens"))
+    members = written(lines.select(F.col("leaf").alias("node"), F.struct("a", "b").alias("line"), "tokens"), "leaf-lines")
+    general = written(_general(members, same, constant), "line-templates")
+    rows = found.select("key_id", "key_text", "pos", "part", "at", "n", F.struct("a", "b").alias("line"))
+    rows = rows.join(general, "line", "left").select(
         "key_id", "key_text", "pos", "part", "at", "n", F.coalesce("template", "line").alias("template")
     )
     key = F.struct("key_id", "key_text")
@@ -232,7 +328,8 @@ def drop_recurring_lines(
     is left as it is for document-level dedup (None: there is no such limit).
     Null texts stay null and have 0 lines; rows that repeat an id count as one
     document if their texts agree; a null id is the first document; other columns,
-    also with the names used here, are kept.
+    also with the names used here, are kept.  Very long texts are handled whole, in one
+    row; an empty table gives no rows.
     """
     messages = recurring_lines(docs, least_tokens=least_tokens, **options).where("not first")
     drops = _cuts(written(messages, "recurring-messages"), least_docs, least_tokens, least_pair, least_run)

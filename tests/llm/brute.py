@@ -82,3 +82,74 @@ def contamination(text, items):
                 hit.update(range(i, i + n))
                 found.add(str(item))
     return len(w), len(hit), sorted(found)
+
+
+SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[。！？])(?=[^\n])"
+
+
+def line_messages(text, least_tokens=3):
+    """(pos, part, at, tokens) of a text's sentences and of its lines of several."""
+    out, at = [], 0
+    for pos, row in enumerate((text or "").split("\n") if text is not None else []):
+        parts = re.split(SENTENCE_END, row)
+        split = lambda x: tuple("<*>" if re.search("[0-9]", w) else w for w in re.split(r"[\x20\x09-\x0D]+", x) if w)
+        for j, part in enumerate(parts):
+            if split(part):
+                out.append((pos, -1 if len(parts) == 1 else j, at, split(part)))
+                at += 1
+        if len(parts) > 1 and len(split(row)) >= least_tokens:
+            out.append((pos, -1, None, split(row)))
+    return out
+
+
+def line_tree(lines, same, constant):
+    """line -> template of a leaf's distinct lines, or nothing for those that fit none."""
+    found, pending = {}, [("", sorted(lines))]
+    while pending:
+        name, node = pending.pop()
+        if len(node) < 2:
+            continue
+        counts = [defaultdict(int) for _ in node[0]]
+        for line in node:
+            for k, token in enumerate(line):
+                counts[k][token] += 1
+        fixed = [(k, t) for k, c in enumerate(counts) for t, n in c.items() if n > 1 and n >= same * len(node)]
+        rest = node
+        if fixed and len(fixed) >= constant * len(node[0]):
+            rest = [x for x in node if any(x[k] != t for k, t in fixed)]
+            found.update({x: (name, tuple(fixed)) for x in node if x not in rest})
+        ranks = []
+        for k, c in enumerate(counts):
+            some = [n for n in c.values() if 1 < n < len(node)]
+            if some:
+                ranks.append((sum(some), -len(some), -k))
+        if ranks and rest:
+            k = -max(ranks)[2]
+            for token in {x[k] for x in rest}:
+                pending.append((f"{name}/{k}={token}", [x for x in rest if x[k] == token]))
+    return found
+
+
+def recurring(docs, leading=3, same=0.9, constant=0.7, least_general=6):
+    """(id, pos, part, at, n, n_docs, first) of messages whose template occurs in two documents; ids are distinct."""
+    rows = [(d, *m) for d, text in docs for m in line_messages(text)]
+    leaves = defaultdict(set)
+    for _, _, _, _, tokens in rows:
+        if len(tokens) >= least_general:
+            leaves[len(tokens), tokens[:leading]].add(tokens)
+    owners = defaultdict(set)
+    for d, _, _, _, tokens in rows:
+        owners[len(tokens), tokens[:leading]].add(d)
+    template = {}
+    for leaf, lines in leaves.items():
+        if len(owners[leaf]) > 1:
+            template.update({x: (leaf, t) for x, t in line_tree(lines, same, constant).items()})
+    of = defaultdict(set)
+    for d, _, _, _, tokens in rows:
+        of[template.get(tokens, tokens)].add(d)
+    out = []
+    for d, pos, part, at, tokens in rows:
+        docs_of = of[template.get(tokens, tokens)]
+        if len(docs_of) > 1:
+            out.append((d, pos, part, at, len(tokens), len(docs_of), d == min(docs_of)))
+    return out

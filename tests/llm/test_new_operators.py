@@ -356,3 +356,26 @@ def test_labels_are_chosen_by_id_and_bounded(spark):
     assert toxicity.choose_labels(labels, 1000).count() <= 1000
     assert toxicity.choose_labels(labels, 5000).count() == 5000
     assert toxicity.choose_labels(labels.selectExpr("7L as doc_id", "toxic"), 10).count() <= 10
+
+
+@pytest.mark.parametrize("small, broadcast", [(5_000, 4_000_000), (3, 0)])
+def test_line_templates_agree_with_a_plain_tree(spark, monkeypatch, small, broadcast):
+    from brute import recurring
+
+    from linkloom.llm import line_templates
+    from linkloom.llm.common import prepare
+
+    monkeypatch.setattr(line_templates, "SMALL_LEAF", small)
+    monkeypatch.setattr(line_templates, "BROADCAST_LEAVES", broadcast)
+    docs = prepare(spark).read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    if small == 3:  # fewer, since each level is a round of jobs
+        texts = texts[:40]
+    odd = ["文。字！x 。\n。\n1.5 a. b.\t c? ?\n\n", "文。字！x 。\n。\n2.5 a. b.\t c? ?\n\n", "", None, " \n. . .", "é. é. <*> 7", "é. é. 7 <*>"]
+    names = [f"{chr(97 + i)}xy" for i in range(8)]
+    odd += [f"the price was {w} {n} in our main shop today" for w in ("set by", "high for", "low at") for n in names]
+    texts += [(100_000 + i, t) for i, t in enumerate(odd)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = line_templates.recurring_lines(table)
+    rows = [(r["key_id"], r["pos"], r["part"], r["at"], r["n"], r["n_docs"], r["first"]) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted(recurring(texts), key=repr)
