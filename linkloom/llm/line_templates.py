@@ -37,6 +37,8 @@ SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])(?=[^\n])"
 SLICE_BYTES = 1 << 20
 #: shared leaves that may be broadcast (9 bytes each)
 BROADCAST_LEAVES = 4_000_000
+#: lines whose generalised templates may be broadcast (some 100 bytes each)
+BROADCAST_TEMPLATES = 500_000
 #: lines of a leaf that one task may part
 SMALL_LEAF = 5_000
 
@@ -146,27 +148,33 @@ def _shared_messages(texts: DataFrame, leaves: DataFrame, least_tokens: int, lea
 def _in_tasks(members: DataFrame, same: float, constant: float) -> DataFrame:
     """``line, template`` of the lines of small nodes (``node, line, tokens``), each node's tree grown in one task."""
 
-    def grow(node: int, lines: list, tokens: list) -> list:
-        found = template_tree(np.array(tokens, np.int64).view(np.uint64), same, constant) if len(lines) > 1 else []
-        return [(line, node, int(k)) for line, k in zip(lines, found) if k]
+    def grow(node: int, lines: np.ndarray, tokens: np.ndarray) -> Iterator[tuple]:
+        if len(lines) > 1:
+            number = template_tree(tokens.reshape(len(lines), -1).view(np.uint64), same, constant)
+            of = np.flatnonzero(number)
+            yield lines[of, 0], lines[of, 1], np.full(len(of), node), number[of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, lines, tokens, done = None, [], [], []
+        kept = None  # the last node of a batch may go on in the next
         for batch in batches:
             nodes, a, b = (batch.column(c).to_numpy() for c in ("node", "a", "b"))
             of = batch.column("tokens")
             bounds, flat = of.offsets.to_numpy() - of.offsets[0].as_py(), of.flatten().to_numpy()
-            for i, one in enumerate(nodes.tolist()):
-                if one != node:
-                    done += grow(node, lines, tokens)
-                    node, lines, tokens = one, [], []
-                lines.append((a[i], b[i]))
-                tokens.append(flat[bounds[i] : bounds[i + 1]])
+            lines = np.stack((a, b), axis=1)
+            cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
+            done = []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if j == i:
+                    continue
+                one = (nodes[i], lines[i:j], flat[bounds[i] : bounds[j]])
+                if kept is not None and kept[0] == one[0]:
+                    one = (one[0], *(np.concatenate(x) for x in zip(kept[1:], one[1:])))
+                elif kept is not None:
+                    done += grow(*kept)
+                kept = one
             if done:
                 yield _found(done)
-                done = []
-        done += grow(node, lines, tokens)
-        if done:
+        if kept is not None and (done := list(grow(*kept))):
             yield _found(done)
 
     ordered = members.select("node", "line.a", "line.b", "tokens").repartition("node").sortWithinPartitions("node", "a", "b")
@@ -174,9 +182,8 @@ def _in_tasks(members: DataFrame, same: float, constant: float) -> DataFrame:
     return rows.select(F.struct("a", "b").alias("line"), _digest(F.struct("node", "number")).alias("template"))
 
 
-def _found(rows: list) -> pa.RecordBatch:
-    columns = [[r[0][0] for r in rows], [r[0][1] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "node", "number"])
+def _found(parts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["a", "b", "node", "number"])
 
 
 def _general(members: DataFrame, same: float, constant: float) -> DataFrame:
@@ -249,21 +256,19 @@ def recurring_lines(
     lines = found.where("tokens is not null").groupBy("leaf", "a", "b").agg(F.first("tokens").alias("tokens"))
     members = written(lines.select(F.col("leaf").alias("node"), F.struct("a", "b").alias("line"), "tokens"), "leaf-lines")
     general = written(_general(members, same, constant), "line-templates")
+    if general.count() <= BROADCAST_TEMPLATES:
+        general = F.broadcast(general)
     rows = found.select("key_id", "key_text", "pos", "part", "at", "n", F.struct("a", "b").alias("line"))
     rows = rows.join(general, "line", "left").select(
         "key_id", "key_text", "pos", "part", "at", "n", F.coalesce("template", "line").alias("template")
     )
-    key = F.struct("key_id", "key_text")
-    shared = rows.groupBy("template").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi")
-    # most templates end here, so only the others' documents are told apart
-    rows = written(rows.join(written(shared.select("template"), "shared"), "template"), "templated")
     spread = (
         rows.select("template", "key_id", "key_text")
         .distinct()
         .groupBy("template")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("key_id").alias("first_id"))
     )
-    spread = written(spread, "recurring")
+    spread = written(spread.where("n_docs > 1"), "recurring")
     return rows.join(spread, "template").select(
         "key_id", "key_text", "pos", "part", "at", "n", "n_docs", (F.col("key_id") == F.col("first_id")).alias("first")
     )

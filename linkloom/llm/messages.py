@@ -173,22 +173,34 @@ def template_tree(tokens: np.ndarray, same: float, constant: float) -> np.ndarra
         if size < 2:
             continue
         node = tokens[rows]
-        fixed, token, best = np.zeros(width, bool), np.zeros(width, np.uint64), None
-        for k in range(width):
-            values, counts = np.unique(node[:, k], return_counts=True)
-            most = counts.argmax()
-            fixed[k], token[k] = counts[most] >= max(2, same * size), values[most]
-            some = (counts > 1) & (counts < size)
-            if some.any():
-                rank = (counts[some].sum(), -some.sum(), -k)
-                best = rank if best is None or rank > best else best
+        if size == 2:  # the two agree enough or not; nothing else can recur
+            agree = int((node[0] == node[1]).sum())
+            if agree and agree >= constant * width:
+                number += 1
+                found[rows] = number
+            continue
+        # runs of equal tokens, place by place
+        flat = np.sort(node, axis=0).T.ravel()
+        begins = np.concatenate(([True], flat[1:] != flat[:-1]))
+        begins[::size] = True
+        begin = np.flatnonzero(begins)
+        counts, place = np.diff(np.append(begin, len(flat))), begin // size
+        firsts = np.searchsorted(place, np.arange(width))
+        most = np.maximum.reduceat(counts, firsts)
+        some = (counts > 1) & (counts < size)
+        fixed = most >= max(2, same * size)
         fits = np.zeros(size, bool)
-        if fixed.sum() >= constant * width and fixed.any():
-            fits = (node[:, fixed] == token[fixed]).all(axis=1)
+        if fixed.any() and fixed.sum() >= constant * width:
+            # at most one token can hold more than half of a place
+            top = np.flatnonzero((counts == most[place]) & fixed[place])
+            token = flat[begin[top[np.searchsorted(place[top], np.flatnonzero(fixed))]]]
+            fits = (node[:, fixed] == token).all(axis=1)
             number += 1
             found[rows[fits]] = number
-        if best is not None and not fits.all():
+        if some.any() and not fits.all():
+            of, kinds = np.bincount(place, counts * some, width).astype(np.int64), np.bincount(place, some, width).astype(np.int64)
+            at = max(np.flatnonzero(kinds).tolist(), key=lambda k: (of[k], -kinds[k], -k))
             rest = rows[~fits]
-            values, which = np.unique(tokens[rest, -best[2]], return_inverse=True)
-            pending += [rest[which == v] for v in range(len(values))]
+            order = np.argsort(tokens[rest, at], kind="stable")
+            pending += np.split(rest[order], np.flatnonzero(np.diff(tokens[rest[order], at])) + 1)
     return found

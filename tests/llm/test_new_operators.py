@@ -367,6 +367,7 @@ def test_line_templates_agree_with_a_plain_tree(spark, monkeypatch, small, broad
 
     monkeypatch.setattr(line_templates, "SMALL_LEAF", small)
     monkeypatch.setattr(line_templates, "BROADCAST_LEAVES", broadcast)
+    monkeypatch.setattr(line_templates, "BROADCAST_TEMPLATES", broadcast)
     docs = prepare(spark).read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     if small == 3:  # fewer, since each level is a round of jobs
@@ -379,3 +380,22 @@ def test_line_templates_agree_with_a_plain_tree(spark, monkeypatch, small, broad
     got = line_templates.recurring_lines(table)
     rows = [(r["key_id"], r["pos"], r["part"], r["at"], r["n"], r["n_docs"], r["first"]) for r in got.collect()]
     assert sorted(rows, key=repr) == sorted(recurring(texts), key=repr)
+
+
+def test_trees_of_random_leaves_are_the_plain_ones():
+    from brute import line_tree
+
+    from linkloom.llm.messages import template_tree
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        size, width = rng.integers(2, 14), rng.integers(1, 8)
+        lines = np.unique(rng.integers(0, rng.integers(2, 6), (size, width)), axis=0)
+        got = template_tree(lines.astype(np.uint64), 0.6, 0.5)
+        plain = line_tree([tuple(map(int, x)) for x in lines], 0.6, 0.5)
+        groups = {}
+        for line, k in zip(map(lambda x: tuple(map(int, x)), lines), got):
+            assert bool(k) == (line in plain)
+            if k:
+                assert groups.setdefault(int(k), plain[line]) == plain[line]
+        assert len(set(groups.values())) == len(groups)
