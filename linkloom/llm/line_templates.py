@@ -34,7 +34,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: the place between two sentences of a line
 SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])(?=[^\n])"
 #: bytes of text handled at once
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: shared leaves that may be broadcast (9 bytes each)
 BROADCAST_LEAVES = 4_000_000
 #: lines whose generalised templates may be broadcast (some 100 bytes each)

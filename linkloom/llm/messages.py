@@ -8,7 +8,6 @@ polynomial, so no text is looked at word by word.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -34,21 +33,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=16)
-def _powers(base: np.uint64, doubled: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd ``base`` modulo 2^64, and of its inverse."""
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    out = []
-    for b in (base, inverse):
-        steps = np.full(1 << doubled, b, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+#: by base: its powers modulo 2^64, and those of its inverse; as many as were asked for so far
+_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd ``base`` modulo 2^64, and of its inverse."""
+    if int(base) not in _known or len(_known[int(base)][0]) < n:
+        both = []
+        for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+            steps = np.full(1 << max(12, int(n - 1).bit_length()), b, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps, dtype=np.uint64))
+        _known[int(base)] = tuple(both)
+    return _known[int(base)]
 
 
 def _ranges(values: np.ndarray, base: np.uint64, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Hash of ``values[lo:hi]`` for each range, the same wherever the range stands."""
-    up, down = _powers(base, max(12, int(len(values)).bit_length()))
+    up, down = _powers(base, len(values) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values + np.uint64(1)) * up[: len(values)], dtype=np.uint64)))
     return (sums[hi] - sums[lo]) * down[np.minimum(lo, len(down) - 1)]
 

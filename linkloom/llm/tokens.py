@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: what a worker remembers of words before it begins anew, some bytes
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 48 << 20
 #: a remembered word's own cost beside its characters and ids
 ENTRY_BYTES = 160
 #: longer words seldom come again
