@@ -118,15 +118,21 @@ def _filled(template: str, key: str) -> F.Column:
 
 
 def html_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with markup of every kind added; a third served as plain text."""
+    """Pages with markup of every kind added, all served as HTML."""
     return table(spark, sf, "pages").select(
         F.col("page_id").alias("id"),
         "url",
-        F.when(F.col("page_id") % 3 == 2, "text/plain").otherwise("text/html; charset=utf-8").alias("content_type"),
+        F.lit("text/html; charset=utf-8").alias("content_type"),
         F.concat(F.col("html"), _filled(EXTRA_HTML, "page_id")).alias("html"),
     )
 
 
+def typed_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages, a third served as plain text: what becomes of content types."""
+    mixed = F.when(F.col("id") % 3 == 2, "text/plain").otherwise(F.col("content_type"))
+    return html_cases(spark, sf).withColumn("content_type", mixed)
+
+
 EXTRA_CSS = (
     "a{{background:url(/one{id}.png)}}\nb{{background:url('/two.png') url(\"/three.png\")}} i{{c:d}}\n"
     "@import url(x{id}.css);\r\n@import \"y.css\";\np{{color:red}} q{{background : url( 'sp.png' )}}\n"

@@ -96,9 +96,7 @@ cte(
     "html_cases",
     "",
     f"""
-SELECT page_id AS id, url, html || {filled(D.EXTRA_HTML, "page_id")} AS html,
-  CASE WHEN page_id % 3 = 2 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS content_type
-FROM pages""",
+SELECT page_id AS id, url, html || {filled(D.EXTRA_HTML, "page_id")} AS html FROM pages""",
 )
 cte("css_cases", "", f"SELECT page_id AS id, {filled(D.EXTRA_CSS, 'page_id')} || html AS css FROM pages")
 cte(
@@ -337,18 +335,16 @@ FROM {name}_tok WHERE regexp_matches(token, '(?i)^<style[\s/>]')""",
 
 
 links_of("case_links", "html_cases", "html_cases")
-cte("html_typed", "html_cases", "SELECT * FROM html_cases WHERE starts_with(content_type, 'text/html')")
-links_of("typed_links", "html_typed", "html_typed")
 cte(
-    "typed_raw",
-    "typed_links typed_links_style",
-    "SELECT * FROM typed_links UNION ALL SELECT * FROM typed_links_style",
+    "case_raw",
+    "case_links case_links_style",
+    "SELECT * FROM case_links UNION ALL SELECT * FROM case_links_style",
 )
-resolved("typed_resolved", "(SELECT * FROM typed_raw WHERE NOT starts_with(raw, 'data:'))", "typed_raw")
+resolved("case_targets", "(SELECT * FROM case_raw WHERE NOT starts_with(raw, 'data:'))", "case_raw")
 cte(
     "page_edges",
-    "typed_resolved",
-    "SELECT id, url AS src, target AS url, max(tag) AS tag FROM typed_resolved WHERE target IS NOT NULL GROUP BY id, url, target",
+    "case_targets",
+    "SELECT id, url AS src, target AS url, max(tag) AS tag FROM case_targets WHERE target IS NOT NULL GROUP BY id, url, target",
 )
 resolved("case_resolved", "case_links", "case_links")
 oracle("resolve_url", "case_resolved", "SELECT id, raw, target FROM case_resolved")
@@ -359,8 +355,8 @@ oracle("style_links", "case_links_style", "SELECT id, raw, tag FROM case_links_s
 oracle("css_links", "css_cases", f"SELECT id, unnest(regexp_extract_all(css, '{_CSS}', 1)) AS raw, 1 AS tag FROM css_cases")
 oracle(
     "raw_links",
-    "typed_raw css_cases",
-    f"""SELECT id, raw, tag FROM typed_raw
+    "case_raw css_cases",
+    f"""SELECT id, raw, tag FROM case_raw WHERE id % 3 <> 2 -- the rest is served as plain text
 UNION ALL SELECT -id - 1, unnest(regexp_extract_all(css, '{_CSS}', 1)), 1 FROM css_cases""",
 )
 oracle("page_links_of_pages", "page_edges", "SELECT id, url, tag FROM page_edges")

@@ -105,7 +105,7 @@ def style_links(spark, sf):
 
 @query
 def raw_links(spark, sf):
-    pages = D.html_cases(spark, sf).select("id", F.col("html").alias("body"), "content_type")
+    pages = D.typed_cases(spark, sf).select("id", F.col("html").alias("body"), "content_type")
     sheets = D.css_cases(spark, sf).select((-F.col("id") - 1).alias("id"), F.col("css").alias("body"), F.lit("text/css").alias("content_type"))
     return _exploded(pages.unionByName(sheets), markup.raw_links(F.col("body"), F.col("content_type")))
 
