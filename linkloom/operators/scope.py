@@ -21,12 +21,21 @@ from linkloom.functions.ignore_list import bundled
 from linkloom.functions.markup import TAG_RELATED
 from linkloom.functions.regex_match import matches_any
 from linkloom.functions.urls import prefix_candidates, prefix_key, url_scheme, with_prefix_candidates
-from linkloom.operators.skew import salted_join
+from linkloom.plans import storage
 from linkloom.sources.lists import IGNORE_PATH_SETTING, default_ignores
 
 #: filters compare prefix sets up to this size in place and join larger ones, with the same rows
 MAX_INLINE_PREFIXES = 1000
 
+#: prefix tables up to these sizes are broadcast, one join a depth; larger ones meet the URLs in a shuffle
+BROADCAST_PREFIXES, BROADCAST_BYTES, BROADCAST_DEPTHS = 500_000, 64 << 20, 16
+
+#: prefixes a Column compares with; it holds them in one row
+MAX_COLUMN_PREFIXES = 100_000
+
+#: candidates looked up apart from the shuffle, since many URLs may share them
+HOT_CANDIDATES = 1000
+
 Check = Callable[[Column, Column, Column], Column]
 
 
@@ -161,10 +170,69 @@ def _mark_inline(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return df.select(*kept, F.coalesce(hit, F.lit(False)).alias(name))
 
 
-def _mark_joined(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
-    inside = prefix_matches(df.select("url"), keys).withColumn(name, F.lit(True))
-    joined = df.join(inside, "url", "left")
-    return joined.select(*df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
+@dataclass(frozen=True)
+class PrefixTable:
+    """Distinct prefix keys written once, with what decides how URLs meet them."""
+
+    rows: DataFrame
+    count: int
+    size: int
+    depths: list[int]
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> "PrefixTable":
+        """``keys``: one column.  A key's depth is its place among a URL's candidates, the host being 1."""
+        spark = keys.sparkSession
+        key = F.col(keys.columns[0])
+        distinct = keys.select(key.alias("prefix")).where(key.isNotNull()).distinct()
+        path = storage.fresh_dir(spark, "prefixes")
+        distinct.withColumn("depth", F.size(F.split("prefix", "/"))).write.parquet(path)
+        rows = spark.read.schema("prefix string, depth int").parquet(path)
+        n, size, depths = rows.agg(
+            F.count(F.lit(1)), F.sum(F.octet_length("prefix")), F.sort_array(F.collect_set("depth"))
+        ).first()
+        return cls(rows, n, size or 0, depths)
+
+    @property
+    def fits_broadcast(self) -> bool:
+        return self.count <= BROADCAST_PREFIXES and self.size <= BROADCAST_BYTES and len(self.depths) <= BROADCAST_DEPTHS
+
+    def mark(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with a column telling whether ``url`` falls under one of the prefixes."""
+        if self.fits_broadcast:
+            return self._mark_in_place(df, name)
+        inside = self.matches(df.select("url")).withColumn(name, F.lit(True))
+        joined = df.join(inside, "url", "left")
+        return joined.select(*df.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
+
+    def _mark_in_place(self, df: DataFrame, name: str) -> DataFrame:
+        """One broadcast join a depth: a key of depth d can equal the d-th candidate only.  Nothing is shuffled."""
+        kept = df.columns
+        df = with_prefix_candidates(df, "url", "__cand")
+        hits = []
+        for depth in self.depths:
+            hit = f"__hit{depth}"
+            keys = self.rows.where(F.col("depth") == depth).select(F.col("prefix").alias("__key"), F.lit(True).alias(hit))
+            df = df.withColumn("__key", F.get("__cand", F.lit(depth - 1))).join(F.broadcast(keys), "__key", "left").drop("__key")
+            hits.append(F.coalesce(F.col(hit), F.lit(False)))
+        return df.select(*kept, _combine("or", hits).alias(name))
+
+    def matches(self, urls: DataFrame) -> DataFrame:
+        """Distinct URLs under one of the prefixes, by a shuffle of their candidates.
+
+        A sketch of heavy hitters names the candidates that most URLs share (hosts,
+        top folders).  Those among the prefixes are compared in place; the others are
+        too rare to make a large partition, so the prefixes are not repeated.
+        """
+        listed = with_prefix_candidates(urls.select("url").distinct(), "url", "candidates")
+        candidates = listed.select("url", F.explode("candidates").alias("prefix"))
+        top = candidates.agg(F.expr(f"approx_top_k(prefix, {HOT_CANDIDATES})").alias("k"))
+        hot = [item.item for item in top.first().k or []]
+        known = [r.prefix for r in self.rows.where(F.col("prefix").isin(hot)).select("prefix").collect()]
+        under_hot = F.exists("candidates", lambda c: c.isin(known))
+        at_once = listed.where(F.coalesce(under_hot, F.lit(False))).select("url")
+        rare = candidates.where(~F.col("prefix").isin(hot)).join(self.rows.select("prefix"), "prefix", "left_semi")
+        return at_once.unionByName(rare.select("url")).distinct()
 
 
 def prefix_scope(prefixes: Iterable[str] | DataFrame) -> Scope:
@@ -174,7 +242,7 @@ def prefix_scope(prefixes: Iterable[str] | DataFrame) -> Scope:
     URL) may be of any size, and building the scope starts no job.  Applied with
     :meth:`Scope.filter`, few prefixes are compared in place and more are joined;
     :meth:`Scope.column` compares with all of them, read by a scalar subquery when
-    the query runs, so prefer the filter for a set too large for one row.
+    the query runs, and fails beyond :data:`MAX_COLUMN_PREFIXES`: use the filter there.
     """
     if not isinstance(prefixes, DataFrame):
         prefixes = SparkSession.active().createDataFrame([(u,) for u in prefixes], "url string")
@@ -185,13 +253,19 @@ def prefix_scope(prefixes: Iterable[str] | DataFrame) -> Scope:
     def few() -> list[str]:
         return sorted(r["prefix"] for r in keys.limit(MAX_INLINE_PREFIXES + 1).collect())
 
+    @cache
+    def many() -> PrefixTable:
+        return PrefixTable.of(keys)
+
     def mark(df: DataFrame, name: str) -> DataFrame:
         if len(few()) > MAX_INLINE_PREFIXES:
-            return _mark_joined(df, name, keys)
+            return many().mark(df, name)
         return _mark_inline(df, name, few())
 
     def check(url: Column, tag: Column, depth: Column) -> Column:
-        known = keys.agg(F.collect_set("prefix")).scalar()
+        some = keys.limit(MAX_COLUMN_PREFIXES + 1).agg(F.collect_set("prefix").alias("known"))
+        too_many = F.raise_error(F.lit(f"more than {MAX_COLUMN_PREFIXES} prefixes: use Scope.filter"))
+        known = some.select(F.when(F.size("known") <= MAX_COLUMN_PREFIXES, F.col("known")).otherwise(too_many)).scalar()
         return F.coalesce(F.arrays_overlap(prefix_candidates(url), known), F.lit(False))
 
     return Scope(check=check, mark=mark, about=lambda: f"prefixes {content_digest(keys)}")
@@ -233,22 +307,14 @@ def links_scope(
     return all_of(scheme_scope(schemes), depth_scope(depth), seed_scope(seeds))
 
 
-def prefix_matches(urls: DataFrame, prefixes: DataFrame, salts: int = 16) -> DataFrame:
-    """Distinct URLs of ``urls`` that fall under one of ``prefixes``.
+def prefix_matches(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Distinct URLs of ``urls`` that fall under one of ``prefixes`` (one column of prefix keys)."""
+    return semi_join_prefixes(urls.select("url"), prefixes).distinct()
 
-    ``prefixes`` has one column of prefix keys.  URLs are reduced to distinct
-    ones first, and a host with very many URLs is spread over ``salts`` parts.
-    """
-    keys = prefixes.select(F.col(prefixes.columns[0]).alias("candidate")).distinct()
-    distinct = urls.select("url").distinct()
-    listed = with_prefix_candidates(distinct, "url", "candidates")
-    exploded = listed.select("url", F.explode_outer("candidates").alias("candidate")).filter(
-        F.col("candidate").isNotNull()
-    )
-    hits = salted_join(exploded, keys, ["candidate"], "left_semi", ["url"], salts)
-    return hits.select("url").distinct()
 
+def semi_join_prefixes(urls: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Rows of ``urls`` whose URL falls under one of ``prefixes`` (one column of prefix keys, any number).
 
-def semi_join_prefixes(urls: DataFrame, prefixes: DataFrame, salts: int = 16) -> DataFrame:
-    """Rows of ``urls`` whose URL falls under one of ``prefixes`` (any size)."""
-    return urls.join(prefix_matches(urls, prefixes, salts), "url", "left_semi")
+    A table small enough is broadcast and no row of ``urls`` moves; see :class:`PrefixTable`.
+    """
+    return PrefixTable.of(prefixes).mark(urls, "__under").where("__under").drop("__under")

@@ -42,7 +42,38 @@ def test_prefixes(spark, monkeypatch):
 def test_semi_join_keeps_every_row(spark):
     df = spark.createDataFrame([("http://library.test/a", i) for i in range(50)] + [("http://no.com/", 0)], "url string, n int")
     keys = spark.createDataFrame([("library.test",)], "prefix string")
-    assert sc.semi_join_prefixes(df, keys, salts=4).count() == 50
+    assert sc.semi_join_prefixes(df, keys).count() == 50
+    assert sc.semi_join_prefixes(df, keys.limit(0)).count() == 0
+
+
+def test_broadcast_and_shuffled_prefixes_agree(spark, monkeypatch):
+    urls = [f"http://{h}/{a}/{b}%2Fc//d?x" for h in ("www.hub.test", "rare.test", "none.test") for a in range(20) for b in range(5)]
+    df = spark.createDataFrame([(u, i) for i, u in enumerate([*urls, None, "http://%zz/", "http://hub.test"])], "url string, n int")
+    keys = ["hub.test/3", "hub.test/4/1/c/d", "rare.test/7/2", "rare.test/8//2", "none", None, "hub.test/3"]
+    prefixes = spark.createDataFrame([(k,) for k in keys], "prefix string")
+    def under(url):
+        path = url.replace("http://", "").replace("www.", "").replace("%2F", "/").replace("//", "/").partition("?")[0] + "/"
+        return any(k and path.startswith(k + "/") for k in keys)
+
+    expected = {i for i, u in enumerate(urls) if under(u)}
+    at_hand = sc.semi_join_prefixes(df, prefixes)
+    plan = at_hand._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 5 and "sequence" not in plan  # one lookup a depth, no list repeated
+    physical = at_hand._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical and "hashpartitioning" not in physical  # no row moves
+    assert {r.n for r in at_hand.collect()} == expected and len(expected) == 7
+    for hot in (1, 1000):  # beyond the size of a broadcast, with few and with all candidates hot
+        monkeypatch.setattr(sc, "BROADCAST_PREFIXES", 0)
+        monkeypatch.setattr(sc, "HOT_CANDIDATES", hot)
+        assert sorted(r.n for r in sc.semi_join_prefixes(df, prefixes).collect()) == sorted(expected)
+
+
+def test_columns_of_too_many_prefixes_fail(spark, monkeypatch):
+    monkeypatch.setattr(sc, "MAX_COLUMN_PREFIXES", 1)
+    df = spark.createDataFrame([("http://library.test/",)], "url string")
+    assert df.filter(sc.prefix_scope(P[:1]).column()).count() == 1
+    with pytest.raises(Exception, match="use Scope.filter"):
+        df.filter(sc.prefix_scope(P).column()).count()
 
 
 def test_combinations(spark):
