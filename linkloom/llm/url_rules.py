@@ -1,13 +1,16 @@
 """URL filters: list rules, and association rules mined from the URLs they judge.
 
 The list decides what it covers.  The URLs it decides are labelled examples: Spark's
-FP-growth mines combinations of their tokens that imply a verdict, rules are pruned
-by support, confidence and redundancy, and an inverted index from each rule's rarest
-token to the rule finds what applies to the other URLs.  Everything runs in the JVM.
+FP-growth mines combinations of their tokens that imply a verdict (tokens that always
+come together are one item), rules are pruned by support, confidence and redundancy,
+and an inverted index from each rule's rarest item to the rule finds what applies to
+the other URLs.  Everything runs in the JVM.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,14 +70,32 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(examples: DataFrame, support: float, confidence: float, longest: int) -> DataFrame:
+def token_classes(examples: DataFrame, support: float) -> DataFrame:
+    """``token, item, freq``: frequent tokens, and the least token that stands in the same examples.
+
+    Tokens of one class never part, so a rule needs at most one of them.  A class
+    is the examples' number and two sums of their hashes.  Rows are at most the
+    mean number of tokens of an example over ``support``.
+    """
+    least = math.ceil(support * examples.count())
+    sums = [F.sum(F.xxhash64(F.lit(seed), "tokens").cast("decimal(38,0)")).alias(f"s{seed}") for seed in (0, 1)]
+    seen = examples.select("tokens", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"), *sums)
+    classes = seen.where(F.col("freq") >= least).groupBy("freq", "s0", "s1").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    return written(classes.select(F.explode("members").alias("token"), F.col("members")[0].alias("item"), "freq"), "token-classes")
+
+
+def mine_rules(examples: DataFrame, classes: DataFrame, support: float, confidence: float, longest: int) -> DataFrame:
     """``rule_id, tokens, verdict, confidence, support, index`` from ``tokens, verdict`` rows.
 
-    Kept are rules that imply a verdict, have at most ``longest`` tokens and are more
-    confident than every rule for the same verdict on a part of their tokens.
-    ``index`` is the rule's rarest token among the rules' tokens.
+    Rules are mined over the items of ``classes`` (:func:`token_classes`): with every
+    token, a path of n segments that many examples share would be 2^n itemsets.
+    Kept are rules that imply a verdict, have at most ``longest`` items and are more
+    confident than every rule for the same verdict on a part of their items.
+    ``index`` is the rule's rarest item.
     """
-    items = examples.select(F.concat("tokens", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
+    known = [r.item for r in classes.select("item").distinct().collect()]
+    chosen = F.filter("tokens", lambda t: t.isin(known))
+    items = examples.select(F.concat(chosen, F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     head = F.element_at("consequent", 1)
     rules = model.associationRules.where(head.startswith(VERDICT) & (F.size("antecedent") <= longest)).select(
@@ -84,7 +105,7 @@ def mine_rules(examples: DataFrame, support: float, confidence: float, longest:
         "support",
     )
     rules = written(rules, "mined-rules")
-    # a rule is redundant if one of its tokens may go without loss of confidence
+    # a rule is redundant if one of its items may go without loss of confidence
     shorter = rules.where(F.size("tokens") > 1).select(
         "tokens", "verdict", "confidence", F.explode("tokens").alias("gone")
     ).select("tokens", "verdict", "confidence", F.array_remove("tokens", F.col("gone")).alias("part"))
@@ -92,8 +113,7 @@ def mine_rules(examples: DataFrame, support: float, confidence: float, longest:
     redundant = shorter.join(better, ["part", "verdict"]).where("of_part >= confidence").select("tokens", "verdict")
     rules = rules.join(redundant.distinct(), ["tokens", "verdict"], "left_anti")
     tokens = rules.select("tokens", F.explode("tokens").alias("token"))
-    seen = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
-    rarest = tokens.join(seen, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("r"))
+    rarest = tokens.join(classes.select("token", "freq"), "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("r"))
     ranked = rules.join(rarest, "tokens").select(
         F.sha1(F.concat_ws("\n", "verdict", "tokens")).alias("rule_id"),
         "tokens", "verdict", "confidence", "support", F.col("r.token").alias("index"),
@@ -109,13 +129,14 @@ def judge_urls(
     longest: int = 4,
     default: str = "allow",
 ) -> DataFrame:
-    """Every row's ``page_id, host, path, rule, verdict``, and ``learned``: the mined rule's tokens, if one decided.
+    """Every row's ``page_id, host, path, rule, verdict``, and ``learned``: the mined rule's items, if one decided.
 
     A listed rule decides first (``rule`` is its host and path), then the mined rule
     of highest confidence, support and, on ties, least id that fits, else
     ``default``.  Null URLs and those without ``://`` have empty host and path and
-    get the default; ids may be null or repeat; other columns are ignored.  Equal
-    URLs are matched once.
+    get the default; ids may be null or repeat; other columns are ignored, whatever
+    their names.  Equal URLs are matched once.  Very long URLs are read whole; an
+    empty table gives none, and one of which the list judges no URL mines nothing.
     """
     url = F.col("url")
     judged = pages.select("page_id", "url", url_host(url).alias("host"), url_path(url).alias("path"))
@@ -124,12 +145,21 @@ def judge_urls(
     if examples.isEmpty():
         found = judged.sparkSession.createDataFrame([], "url string, learned string, learned_verdict string")
     else:
-        mined = mine_rules(examples, support, confidence, longest)
+        examples = written(examples, "url-examples")
+        classes = token_classes(examples, support)
+        mined = mine_rules(examples, classes, support, confidence, longest)
+        # any token of a class stands for its item
+        needed = classes.join(mined.select(F.explode("tokens").alias("item")).distinct(), "item").select("token", "item")
         index = mined.select(F.col("index").alias("token"), F.col("tokens").alias("needs"), "verdict", "confidence", "support", "rule_id")
         open_urls = judged.where("listed is null and host <> ''").select("url").distinct()
+        held = (
+            open_urls.select("url", F.explode(url_tokens(url)).alias("token"))
+            .join(needed, "token")
+            .groupBy("url")
+            .agg(F.collect_set("item").alias("tokens"))
+        )
         matches = (
-            open_urls.select("url", url_tokens(url).alias("tokens"))
-            .select("url", "tokens", F.explode("tokens").alias("token"))
+            held.select("url", "tokens", F.explode("tokens").alias("token"))
             .join(index, "token")
             .where(F.size(F.array_except("needs", "tokens")) == 0)
         )
