@@ -4,8 +4,9 @@ A line's leaf is its number of tokens and its first tokens, tokens with digits
 counting as variable.  Lines of a leaf that agree in most positions share one
 template, whose other positions are variable; any other line is a template of its
 own.  Lines that fit none are parted by the token at their most constant open position
-and tried again until nothing parts, so a leaf may hold several templates and noise.  The sentences of a line are messages like lines, so that a passage inside a line
-is found as well.  Templates that occur in two or more documents are dropped from all but the first.
+and tried again until nothing parts, so a leaf may hold several templates and noise.
+The sentences of a line are messages like lines, so that a passage inside a line is
+found as well.  Templates that occur in two or more documents are dropped from all but the first.
 
 The tree is never built in one place.  A first pass reduces leaves to whether two
 documents and two lines meet in them; only messages of leaves that two documents share are
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -93,8 +94,11 @@ def _leaves(texts: DataFrame, least_tokens: int, leading: int, least_general: in
 MESSAGE = "key_id long, key_text long, pos int, part int, at int, n int, a long, b long, leaf long"
 
 
-def _message_rows(batch: pa.RecordBatch, m: Messages, keep: np.ndarray, mixed: np.ndarray) -> pa.RecordBatch:
-    """Rows of the messages at ``keep``; tokens of each line of the slice that ``mixed`` says so of, once."""
+def _message_rows(batch: pa.RecordBatch, m: Messages, keep: np.ndarray, mixed: np.ndarray, leaves: bool) -> pa.RecordBatch:
+    """Rows of the messages at ``keep``; tokens of each line of the slice that ``mixed`` says so of, once.
+
+    ``leaves`` asks for the leaf of every message, not only of those with tokens.
+    """
     at = pa.array(m.at[keep].astype(np.int32), mask=m.at[keep] < 0)
     want = mixed.copy()
     _, first = np.unique(m.a[keep], return_index=True)
@@ -107,10 +111,11 @@ def _message_rows(batch: pa.RecordBatch, m: Messages, keep: np.ndarray, mixed: n
     tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(m.tokens[places].view(np.int64)))
     tokens = pc.if_else(pa.array(want), tokens, pa.scalar(None, tokens.type))
     numbers = [x[keep].astype(np.int32) for x in (m.pos, m.part)]
-    hashes = [x[keep].view(np.int64) for x in (m.a, m.b, m.leaf)]
+    hashes = [x[keep].view(np.int64) for x in (m.a, m.b)]
+    leaf = pa.array(m.leaf[keep].view(np.int64), mask=None if leaves else ~want)
     columns = [
         *(pa.array(batch.column(c).to_numpy()[m.text[keep]]) for c in ("key_id", "key_text")),
-        *map(pa.array, numbers), at, pa.array(m.n[keep].astype(np.int32)), *map(pa.array, hashes), tokens,
+        *map(pa.array, numbers), at, pa.array(m.n[keep].astype(np.int32)), *map(pa.array, hashes), leaf, tokens,
     ]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MESSAGE.split(", ")] + ["tokens"])
 
@@ -137,7 +142,7 @@ def _shared_messages(texts: DataFrame, leaves: DataFrame, least_tokens: int, lea
                     hit = keys[at] == leaf if len(keys) else np.zeros(len(leaf), bool)
                     keep = np.flatnonzero(hit)
                     mixed = flags[at[keep]] & general[keep]
-                yield _message_rows(part, m, keep, mixed)
+                yield _message_rows(part, m, keep, mixed, known is None)
 
     rows = texts.select("key_id", "key_text", "text").mapInArrow(run, schema)
     if not few:
@@ -274,42 +279,60 @@ def recurring_lines(
     )
 
 
-def _cuts(messages: DataFrame, least_docs: int, least_tokens: int, least_pair: int, least_run: int) -> DataFrame:
-    """``key_id, key_text, pos, part`` of the lines that go, and of sentences in recurring runs of ``least_run`` tokens."""
-    key = ["key_id", "key_text"]
-    order = Window.partitionBy(*key).orderBy("at")
-    sentences = messages.where("at is not null").select(*key, "pos", "part", "at", "n").distinct()
-    runs = sentences.withColumn("run", F.col("at") - F.row_number().over(order))
-    runs = runs.withColumn("words", F.sum("n").over(Window.partitionBy(*key, "run")))
-    runs = runs.where(F.col("words") >= least_run).select(*key, "pos", "part")
+def _by_document(messages: DataFrame, least_docs: int, least_tokens: int, least_pair: int) -> DataFrame:
+    """``key_id, key_text, found``: a document's recurring messages; ``goes`` marks lines that go wherever they stand."""
     least = F.when(F.col("n_docs") >= least_docs, least_tokens).otherwise(least_pair)
-    lines = messages.where((F.col("part") == WHOLE) & (F.col("n") >= least))
-    return lines.select(*key, "pos", "part").unionByName(runs)
-
-
-@F.arrow_udf(StructType([StructField("text", StringType()), StructField("n", LongType())]))
-def _without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-    """The texts without the lines and sentences of ``cuts``, and how many lines went as a whole."""
-    out = []
-    for text, cut in zip(texts.to_pylist(), cuts.to_pylist()):
-        if text is None or cut is None:
-            out.append(None)
-            continue
-        gone = defaultdict(set)
-        for c in cut:
-            gone[c["pos"]].add(c["part"])
-        left, dropped = [], 0
-        for pos, row in enumerate(text.split("\n")):
-            if pos in gone:
-                parts = re.split(SENTENCE_END, row)
-                kept = [] if WHOLE in gone[pos] else [x for j, x in enumerate(parts) if j not in gone[pos]]
-                row = "".join(kept) if 0 not in gone[pos] else "".join(kept).lstrip(SPACES)
-                if not row.strip(SPACES):
-                    dropped += 1
-                    continue
-            left.append(row)
-        out.append({"text": "\n".join(left), "n": dropped})
-    return pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64())]))
+    goes = (F.col("part") == WHOLE) & (F.col("n") >= least)
+    message = F.struct("pos", "part", F.coalesce("at", F.lit(-1)).alias("at"), "n", goes.alias("goes"))
+    # every copy of a row finds the same messages, so a set of them is enough
+    rows = messages.where(F.col("at").isNotNull() | goes)
+    return rows.groupBy("key_id", "key_text").agg(F.collect_set(message).alias("found"))
+
+
+def _cut(at: np.ndarray, n: np.ndarray, goes: np.ndarray, least_run: int) -> np.ndarray:
+    """Which messages of a document go: such lines, and sentences in recurring runs of ``least_run`` tokens."""
+    gone = goes.copy()
+    sentences = np.flatnonzero(at >= 0)
+    sentences = sentences[np.argsort(at[sentences])]
+    run = np.cumsum(np.diff(at[sentences], prepend=-2) != 1)
+    words = np.bincount(run, n[sentences])
+    gone[sentences[words[run] >= least_run]] = True
+    return gone
+
+
+def _left(text: str, pos: np.ndarray, part: np.ndarray) -> dict:
+    """A text without some lines and sentences, and how many lines went as a whole."""
+    gone = defaultdict(set)
+    for p, j in zip(pos.tolist(), part.tolist()):
+        gone[p].add(j)
+    rows, dropped = text.split("\n"), 0
+    for p, parts in gone.items():
+        left = ""
+        if WHOLE not in parts:
+            left = "".join(x for j, x in enumerate(re.split(SENTENCE_END, rows[p])) if j not in parts)
+            left = left.lstrip(SPACES) if 0 in parts else left
+        rows[p] = left if left.strip(SPACES) else None
+        dropped += rows[p] is None
+    return {"text": "\n".join(r for r in rows if r is not None), "n": dropped}
+
+
+def _without(text: Column, found: Column, least_run: int) -> Column:
+    """``text, n`` of texts without their recurring messages; null where there are none to drop."""
+
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
+        bounds, flat = found.offsets.to_numpy(), found.values
+        pos, part, at, n = (flat.field(c).to_numpy() for c in ("pos", "part", "at", "n"))
+        goes = flat.field("goes").to_numpy(zero_copy_only=False)
+        out = []
+        for i in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            out += [None] * (i - len(out))
+            mine = slice(bounds[i], bounds[i + 1])
+            gone = _cut(at[mine], n[mine], goes[mine], least_run)
+            out.append(_left(texts[i].as_py(), pos[mine][gone], part[mine][gone]) if gone.any() else None)
+        out += [None] * (len(texts) - len(out))
+        return pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64())]))
+
+    return F.arrow_udf(run, StructType([StructField("text", StringType()), StructField("n", LongType())]))(text, found)
 
 
 def drop_recurring_lines(
@@ -337,15 +360,13 @@ def drop_recurring_lines(
     row; an empty table gives no rows.
     """
     messages = recurring_lines(docs, least_tokens=least_tokens, **options).where("not first")
-    drops = _cuts(written(messages, "recurring-messages"), least_docs, least_tokens, least_pair, least_run)
-    # every copy of a row finds the same messages, so a set of them is enough
-    drops = drops.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("pos", "part")).alias("__drops"))
-    drops = written(drops, "line-drops")
+    found = _by_document(written(messages, "recurring-messages"), least_docs, least_tokens, least_pair)
+    found = written(found, "document-messages")
     n_lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).otherwise(0).cast("long")
     keyed = docs.withColumns(dict(zip(("__id", "__text"), (c for c in _keys()))))
     joined = keyed.join(
-        drops.withColumnsRenamed({"key_id": "__id", "key_text": "__text"}), ["__id", "__text"], "left"
-    ).withColumn("__left", _without(F.when(F.col("__drops").isNotNull(), F.col("text")), F.col("__drops")))
+        found.withColumnsRenamed({"key_id": "__id", "key_text": "__text", "found": "__found"}), ["__id", "__text"], "left"
+    ).withColumn("__left", _without(F.when(F.col("__found").isNotNull(), F.col("text")), F.col("__found"), least_run))
     left = F.when(F.lit(True) if copy_share is None else F.col("__left.n") <= copy_share * n_lines, F.col("__left"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.withColumn("__left", left).select(

@@ -18,6 +18,8 @@ VARIABLE = b"<*>"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: of a byte in a word's sum: none of white space
+_WEIGHT = np.where(_SPACE, 0, np.arange(256) + 1).astype(np.uint64)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _ENDS = np.zeros(256, bool)
@@ -56,23 +58,34 @@ def _ranges(values: np.ndarray, base: np.uint64, lo: np.ndarray, hi: np.ndarray)
     return (sums[hi] - sums[lo]) * down[np.minimum(lo, len(down) - 1)]
 
 
-def _word_hash(raw: bytes) -> np.uint64:
-    data = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    ends = np.array([len(raw)])
-    return mix(_ranges(data, _BYTE_BASE, np.array([0]), ends) ^ (ends.astype(np.uint64) << np.uint64(48)))[0]
+def _word_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``begin``; white space weighs nothing, so a word's sum may run up to the next word."""
+    up, down = _powers(_BYTE_BASE, len(data))
+    weights = _WEIGHT[data]
+    weights *= up[: len(data)]
+    hashes = np.add.reduceat(weights, begin)
+    hashes *= down[begin]
+    return mix(hashes ^ (length.astype(np.uint64) << np.uint64(48)))
 
 
 def _words(data: np.ndarray, space: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin, and their hashes; a word ends at white space and at ``breaks``."""
-    begins_unit = np.zeros(len(data) + 1, bool)
-    begins_unit[breaks] = True
-    before = np.concatenate(([True], space[:-1])) if len(data) else space
-    after = np.concatenate((space[1:], [True])) if len(data) else space
-    begin = np.flatnonzero(~space & (before | begins_unit[:-1]))
-    end = np.flatnonzero(~space & (after | begins_unit[1:])) + 1
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    hashes = mix(_ranges(data.astype(np.uint64), _BYTE_BASE, begin, end) ^ ((end - begin).astype(np.uint64) << np.uint64(48)))
-    hashes[digits[end] > digits[begin]] = _word_hash(VARIABLE)
+    inside = ~space
+    starts = inside.copy()
+    starts[1:] &= space[:-1]
+    ends = inside.copy()
+    ends[:-1] &= space[1:]
+    within = breaks[(breaks > 0) & (breaks < len(data))]
+    starts[within] |= inside[within]
+    ends[within - 1] |= inside[within - 1]
+    begin = np.flatnonzero(starts)
+    if not len(begin):
+        return begin, np.zeros(0, np.uint64)
+    length = np.flatnonzero(ends) + 1 - begin
+    hashes = _word_hashes(data, begin, length)
+    hashes[np.searchsorted(begin, np.flatnonzero(_DIGIT[data]), side="right") - 1] = _word_hashes(
+        np.frombuffer(VARIABLE, np.uint8), np.array([0]), np.array([len(VARIABLE)])
+    )
     return begin, hashes
 
 
@@ -121,7 +134,8 @@ def messages(texts: list[str], least_tokens: int, leading: int) -> Messages:
     line_text = np.repeat(np.arange(len(texts)), per_text)
     line_pos = np.arange(len(line)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
 
-    cuts = np.flatnonzero(_ENDS[data[:-1]] & ((data[1:] == 32) | (data[1:] == 9))) + 1
+    ends = np.flatnonzero(_ENDS[data[:-1]]) + 1
+    cuts = ends[(data[ends] == 32) | (data[ends] == 9)]
     wide = np.zeros(0, np.int64)
     if len(data) > 3 and (data >= 0xE3).any():
         for x, y, z in _WIDE_ENDS:
