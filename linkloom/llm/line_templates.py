@@ -261,20 +261,23 @@ def recurring_lines(
     lines = found.where("tokens is not null").groupBy("leaf", "a", "b").agg(F.first("tokens").alias("tokens"))
     members = written(lines.select(F.col("leaf").alias("node"), F.struct("a", "b").alias("line"), "tokens"), "leaf-lines")
     general = written(_general(members, same, constant), "line-templates")
+    # hashes as plain columns: rows of longs are sorted by their prefixes
+    known = general.select("line.a", "line.b", "template")
     if general.count() <= BROADCAST_TEMPLATES:
-        general = F.broadcast(general)
-    rows = found.select("key_id", "key_text", "pos", "part", "at", "n", F.struct("a", "b").alias("line"))
-    rows = rows.join(general, "line", "left").select(
-        "key_id", "key_text", "pos", "part", "at", "n", F.coalesce("template", "line").alias("template")
-    )
+        known = F.broadcast(known)
+    rows = found.select("key_id", "key_text", "pos", "part", "at", "n", "a", "b").join(known, ["a", "b"], "left").select(
+        "key_id", "key_text", "pos", "part", "at", "n",
+        F.coalesce("template.a", "a").alias("template_a"), F.coalesce("template.b", "b").alias("template_b"),
+    )
+    template = ["template_a", "template_b"]
     spread = (
-        rows.select("template", "key_id", "key_text")
+        rows.select(*template, "key_id", "key_text")
         .distinct()
-        .groupBy("template")
+        .groupBy(*template)
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("key_id").alias("first_id"))
     )
     spread = written(spread.where("n_docs > 1"), "recurring")
-    return rows.join(spread, "template").select(
+    return rows.join(spread, template).select(
         "key_id", "key_text", "pos", "part", "at", "n", "n_docs", (F.col("key_id") == F.col("first_id")).alias("first")
     )
 
