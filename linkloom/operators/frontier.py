@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import with_normalized_url
@@ -82,6 +82,49 @@ def due_batch(frontier: DataFrame, now: datetime | Column, n: int | None = None)
     return ordered if n is None else ordered.limit(n)
 
 
+FRONTIER = "url string, tag int, depth int, not_before timestamp, attempt int"
+
+
+def _due_hour(moment: Column) -> Column:
+    """Hours since 1970, whatever the session's time zone."""
+    return F.floor(F.unix_seconds(moment) / 3600)
+
+
+def write_frontier(frontier: DataFrame, path: str, mode: str = "error") -> None:
+    """A frontier laid out by due time: a folder for each state and hour due, its files in due order.
+
+    Rows are dealt by ranges of due time and URL, so an hour in which very many are
+    due gets several files.
+    """
+    keyed = frontier.withColumn("due_hour", _due_hour(F.col("not_before")))
+    order = ["state", "due_hour", "not_before", "url"]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode(mode).partitionBy("state", "due_hour").parquet(path)
+
+
+def due_scan(spark: SparkSession, path: str, now: datetime, n: int | None = None, schema: str = FRONTIER) -> DataFrame:
+    """:func:`due_batch` of a frontier in the layout of :func:`write_frontier`: hours not due are not read.
+
+    Without ``n`` nothing is sorted or shuffled: each file is in due order.  With
+    ``n`` the rows of each hour are counted first (from file footers), and no hour is
+    read beyond the one that completes ``n``.  Other columns of the frontier are read
+    if ``schema`` names them.
+    """
+    stored = spark.read.schema(f"{schema}, state string, due_hour long").parquet(path)
+    hour = spark.range(1).select(_due_hour(F.lit(now))).first()[0]
+    pending = stored.filter((F.col("state") == "pending") & (F.col("due_hour") <= hour))
+    if n is not None:
+        past = pending.filter(F.col("due_hour") < hour).groupBy("due_hour").count().orderBy("due_hour")
+        total = 0
+        for row in past.toLocalIterator():
+            total += row["count"]
+            if total >= n:
+                pending = pending.filter(F.col("due_hour") <= row["due_hour"])
+                break
+    due = pending.filter(F.col("not_before") <= F.lit(now)).drop("due_hour")
+    return due if n is None else due.orderBy("not_before", "url").limit(n)
+
+
 def retry_schedule(
     log: DataFrame, delay: str = RETRY_DELAY, max_attempts: int | None = None
 ) -> DataFrame:

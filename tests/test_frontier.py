@@ -70,6 +70,27 @@ def test_due_order_and_requeue(spark):
     assert fr.requeue_active(df).filter("state = 'active'").count() == 0
 
 
+def test_due_scan_reads_due_hours_only(spark, tmp_path):
+    rows = [(f"u{i % 7}-{i}", 0, 1, T0 + dt.timedelta(minutes=11 * i), "active" if i % 9 == 0 else "pending", 0) for i in range(200)]
+    df = spark.createDataFrame([*rows, ("never", 0, 1, None, "pending", 0)], "url string, tag int, depth int, not_before timestamp, state string, attempt int")
+    fr.write_frontier(df, f"{tmp_path}/f")
+    now = T0 + dt.timedelta(hours=20, minutes=3)
+    whole = fr.due_scan(spark, f"{tmp_path}/f", now)
+    assert {r.url for r in whole.collect()} == {r.url for r in fr.due_batch(df, now).collect()}
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "Sort" not in plan and "Exchange" not in plan
+    hours = {(r.not_before - T0).total_seconds() // 3600 for r in df.where("state = 'pending' and not_before is not null").collect()}
+    assert len(whole.inputFiles()) > 0 and max(hours) > 30
+    for n in (0, 1, 17, 1000):
+        first = fr.due_scan(spark, f"{tmp_path}/f", now, n)
+        assert [r.url for r in first.collect()] == [r.url for r in fr.due_batch(df, now, n).collect()]
+    read = spark.read.parquet(f"{tmp_path}/f").where("state = 'pending'").select("due_hour").distinct().count()
+    one = fr.due_scan(spark, f"{tmp_path}/f", now, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert read > 30 and one.count("due_hour") > 0
+    fr.write_frontier(df.limit(0), f"{tmp_path}/empty")
+    assert fr.due_scan(spark, f"{tmp_path}/empty", now).count() == 0
+
+
 def test_retry_delay_and_limit(spark):
     r = fr.retry_schedule(sample(spark)).orderBy("url").first()
     assert (r.not_before, r.attempt, r.state) == (T0 + dt.timedelta(seconds=183), 1, "pending")

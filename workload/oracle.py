@@ -514,6 +514,12 @@ oracle(
     f"""SELECT url, {_T.format("not_before")} FROM (SELECT * FROM frontier_rows WHERE state = 'pending'
   AND not_before <= (SELECT min(not_before) + INTERVAL 10 DAY FROM frontier_rows) ORDER BY not_before, url LIMIT 100)""",
 )
+oracle(
+    "due_scan",
+    "frontier_rows",
+    f"""SELECT url, {_T.format("not_before")}, attempt FROM frontier_rows WHERE state = 'pending'
+  AND not_before <= (SELECT min(not_before) + INTERVAL 10 DAY FROM frontier_rows)""",
+)
 _RETRIES = f"""SELECT url, tag, depth, {_T.format("not_before")}, 'pending' AS state, 1 AS attempt
 FROM (SELECT *, ts + INTERVAL 180 SECOND AS not_before FROM fetch_log WHERE {_RETRY})"""
 oracle("retry_schedule", "fetch_log", _RETRIES)

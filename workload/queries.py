@@ -358,6 +358,15 @@ def due_batch(spark, sf):
     return frontier.due_batch(rows, F.lit(now), 100).select("url", _stamp("not_before"))
 
 
+@query
+def due_scan(spark, sf):
+    """All rows due in the first ten days, from a frontier stored by due time."""
+    rows, folder = D.frontier_rows(spark, sf), storage.fresh_dir(spark, "frontier")
+    now = rows.agg(F.min("not_before").alias("t")).select(F.col("t") + F.expr("INTERVAL 10 DAYS")).first()[0]
+    frontier.write_frontier(rows, folder)
+    return frontier.due_scan(spark, folder, now).select("url", _stamp("not_before"), "attempt")
+
+
 @query
 def retry_schedule(spark, sf):
     return frontier.retry_schedule(D.fetch_log(spark, sf)).select("url", "tag", "depth", _stamp("not_before"), "state", "attempt")
