@@ -35,36 +35,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: by base: its powers modulo 2^64, and those of its inverse; as many as were asked for so far
-_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: powers are products of one below BLOCK and one of whole blocks, so no table grows with the texts
+BLOCK = 4096
 
 
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of an odd ``base`` modulo 2^64, and of its inverse."""
-    if int(base) not in _known or len(_known[int(base)][0]) < n:
-        both = []
-        for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
-            steps = np.full(1 << max(12, int(n - 1).bit_length()), b, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        _known[int(base)] = tuple(both)
-    return _known[int(base)]
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+#: by base: its powers modulo 2^64 below BLOCK, and those of its inverse
+_SMALL = {int(x): (_powers(int(x), BLOCK), _powers(_inverse(int(x)), BLOCK)) for x in (_BYTE_BASE, _WORD_BASE, _OTHER_BASE)}
+
+
+def _raise(values: np.ndarray, base: np.uint64) -> np.ndarray:
+    """``values``, each times the power of ``base`` of its place; in place."""
+    small, blocks = _SMALL[int(base)][0], len(values) // BLOCK
+    large = _powers(pow(int(base), BLOCK, 1 << 64), blocks + 1)
+    whole, rest = values[: blocks * BLOCK].reshape(-1, BLOCK), values[blocks * BLOCK :]
+    whole *= small
+    whole *= large[:blocks, None]
+    rest *= small[: len(rest)]
+    rest *= large[blocks]
+    return values
+
+
+def _lower(sums: np.ndarray, base: np.uint64, at: np.ndarray) -> np.ndarray:
+    """Sums from the places ``at`` on as they would be from place 0; in place."""
+    large = _powers(_inverse(pow(int(base), BLOCK, 1 << 64)), int(at.max(initial=0)) // BLOCK + 1)
+    sums *= _SMALL[int(base)][1][at % BLOCK]
+    sums *= large[at // BLOCK]
+    return sums
 
 
 def _ranges(values: np.ndarray, base: np.uint64, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Hash of ``values[lo:hi]`` for each range, the same wherever the range stands."""
-    up, down = _powers(base, len(values) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values + np.uint64(1)) * up[: len(values)], dtype=np.uint64)))
-    return (sums[hi] - sums[lo]) * down[np.minimum(lo, len(down) - 1)]
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(_raise(values + np.uint64(1), base), out=sums[1:])
+    return _lower(sums[hi] - sums[lo], base, lo)
 
 
 def _word_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hashes of the words at ``begin``; white space weighs nothing, so a word's sum may run up to the next word."""
-    up, down = _powers(_BYTE_BASE, len(data))
-    weights = _WEIGHT[data]
-    weights *= up[: len(data)]
-    hashes = np.add.reduceat(weights, begin)
-    hashes *= down[begin]
+    hashes = np.add.reduceat(_raise(_WEIGHT[data], _BYTE_BASE), begin)
+    hashes = _lower(hashes, _BYTE_BASE, begin)
     return mix(hashes ^ (length.astype(np.uint64) << np.uint64(48)))
 
 
