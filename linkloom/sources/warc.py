@@ -14,12 +14,12 @@ already writes nothing, so a rerun doubles nothing.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
 import json
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -36,6 +36,8 @@ VERSION_LINE = "WARC/1.0\r\n"
 DATE_FORMAT = "%Y-%m-%dT%H:%M:%SZ"
 MANIFESTS = "_manifests"
 RECORD_END = b"\r\n\r\n"
+#: gzip headers: deflate, no time, best compression, unknown system; in the first a name follows
+GZIP_NAMED, GZIP_NAMELESS = (b"\x1f\x8b\x08" + flag + b"\0\0\0\0\x02\xff" for flag in (b"\x08", b"\0"))
 WARCINFO_TYPE = "application/warc-fields"
 WARCINFO = (
     "Software: linkloom/1.0\r\n"
@@ -64,15 +66,22 @@ def _filesystem(path: str):
     return fs.LocalFileSystem(), path
 
 
+def _gzip_start(name: str | None) -> bytes:
+    """A member's header: the last part of ``name``, or none if it has none that the format can hold."""
+    try:
+        named = (name or "").rpartition("/")[2].encode("latin-1").removesuffix(b".gz")
+    except UnicodeEncodeError:
+        named = b""
+    return GZIP_NAMED + named + b"\0" if named else GZIP_NAMELESS
+
+
 def gzip_member(name: str, headers: list[tuple[str, str]], payload: bytes) -> bytes:
     """One compressed record; the gzip header names the record."""
     head = VERSION_LINE + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
-    out = io.BytesIO()
-    with gzip.GzipFile(filename=name, mode="wb", compresslevel=9, fileobj=out, mtime=0) as member:
-        member.write(head.encode("utf-8"))
-        member.write(payload)
-        member.write(RECORD_END)
-    return out.getvalue()
+    content = b"".join((head.encode("utf-8"), payload, RECORD_END))
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -zlib.MAX_WBITS)
+    tail = struct.pack("<II", zlib.crc32(content), len(content) & 0xFFFFFFFF)
+    return b"".join((_gzip_start(name), deflate.compress(content), deflate.flush(), tail))
 
 
 class _RotatingFiles:

@@ -133,16 +133,22 @@ def stream_retries(log: DataFrame, delay: str = RETRY_DELAY, lateness: str = "0
 
 
 def stream_to_warc(
-    log: DataFrame, path: str, checkpoint: str, max_bytes: int = 0, trigger: dict | None = None
+    log: DataFrame, path: str, checkpoint: str, max_bytes: int = 0, trigger: dict | None = None, tasks: int | None = None
 ) -> StreamingQuery:
     """Archive saved responses as they arrive, one folder per micro-batch.
 
     A batch is one job of the archive writer: it counts once its manifest is
-    there, and a batch that is replayed after that writes nothing.
+    there, and a batch that is replayed after that writes nothing.  One that comes
+    in fewer partitions than ``tasks`` (as many as there are cores, if not given) is
+    dealt over that many, each with files of its own: bytes say little of the records
+    in a source's file, and compressing them is the work.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         register(batch.sparkSession)
+        wanted = tasks or batch.sparkSession.sparkContext.defaultParallelism
+        if batch.rdd.getNumPartitions() < wanted:
+            batch = batch.repartition(wanted)
         records = to_warc_records(batch)
         folder = f"{path}/batch={batch_id:010d}"
         options = {"maxBytes": max_bytes, "jobId": f"batch-{batch_id}"}

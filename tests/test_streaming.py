@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import time
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.operators import frontier, stats
 from linkloom.operators import scope as sc
 from linkloom.plans import storage
-from linkloom.sources import lists
+from linkloom.sources import lists, warc
 from linkloom.streaming import frontier as streams
 from workload import derived, queries
 
@@ -93,3 +94,18 @@ def test_archive_stream_replays_once(spark):
     back = {r.warc_type: r.records for r in queries._records_read_back(spark, f"{out}/*/*.warc.gz").collect()}
     saved = stats.saved_count(log).first().saved
     assert back == {"request": saved, "response": saved}
+
+
+def test_archive_stream_deals_a_batch_over_tasks(spark, tmp_path):
+    # one small file is one partition, whatever its records take to compress
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(t0, f"http://a/{k}", 200, "text/html", bytearray(b"x")) for k in range(400)]
+    log = spark.createDataFrame(rows, "ts timestamp, url string, status int, content_type string, body binary")
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    streams.stream_to_warc(source, out, str(tmp_path / "c"), tasks=4).awaitTermination()
+    files = warc.manifests(f"{out}/batch={0:010d}")["batch-0-" + hashlib.md5(b"batch-0").hexdigest()[:16] + ".json"].files
+    assert sorted(records for _, _, records in files) == [200] * 4
+    back = {r.warc_type: r.records for r in queries._records_read_back(spark, f"{out}/*/*.warc.gz").collect()}
+    assert back == {"request": 400, "response": 400}

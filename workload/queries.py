@@ -517,10 +517,11 @@ def _records_read_back(spark, path) -> DataFrame:
 
 
 def _as_stream(spark, df: DataFrame, folder: str | None = None) -> DataFrame:
-    """``df`` written as four files and read as a stream, one file per micro-batch."""
+    """``df`` written and read as a stream of four micro-batches, each of as many files as there are cores for."""
     folder = folder or storage.fresh_dir(spark, "stream")
-    df.repartition(4).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = max(1, spark.sparkContext.defaultParallelism // 4)
+    df.repartition(4 * files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _run_restarted(spark, df: DataFrame, order: str, make) -> DataFrame:
