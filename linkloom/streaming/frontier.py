@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from linkloom.operators.frontier import RETRY_DELAY, candidates_in_scope
 from linkloom.operators.responses import is_retry, successful
@@ -24,6 +26,8 @@ from linkloom.sources.warc import register
 
 #: parts in which failures wait; no more tasks than these share the work
 RETRY_SHARDS = 64
+#: failures that are put away together
+PIECE_ROWS = 5_000
 
 #: session settings the streaming operators are meant to run with
 RECOMMENDED = {
@@ -69,37 +73,81 @@ def report_stats(log: DataFrame, name: str, checkpoint: str, period: str = STATS
 
 
 class _Waiting(StatefulProcessor):
-    """Failed requests of one shard, by the second they are due in, each second with a timer at its end."""
+    """Failed requests of one shard, in pieces sorted by due time, with one timer: the end of the first second due.
+
+    Pieces are Arrow streams of at most ``PIECE_ROWS`` rows, so a batch costs a shard a few calls to its state,
+    however many seconds its rows are due in.
+    """
 
     def __init__(self, columns: list[str], schema: StructType):
         self.columns, self.schema = columns, schema
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.rows = handle.getMapState("rows", "second long", StructType([StructField("rows", ArrayType(self.schema))]))
+        self.handle, self.arrow = handle, to_arrow_schema(self.schema)
+        self.pieces = handle.getMapState("pieces", "piece long", "rows binary")
+        #: piece numbers and the second in which each piece's first row is due
+        self.index = handle.getValueState("index", "pieces array<long>, seconds array<long>")
+
+    def _known(self) -> dict[int, int]:
+        return dict(zip(*self.index.get())) if self.index.exists() else {}
+
+    def _keep(self, frame: pd.DataFrame, known: dict[int, int]) -> None:
+        frame = frame.sort_values("due", kind="stable")
+        for at in range(0, len(frame), PIECE_ROWS):
+            part = frame.iloc[at : at + PIECE_ROWS]
+            piece = max(known, default=-1) + 1
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.arrow) as writer:
+                writer.write_batch(pa.RecordBatch.from_pandas(part, self.arrow, preserve_index=False))
+            self.pieces.updateValue((piece,), (sink.getvalue().to_pybytes(),))
+            known[piece] = int(part["due"].iloc[0]) // 1_000_000
+
+    def _remember(self, known: dict[int, int], timer: int | None) -> None:
+        """Put the index away; the shard's timer, now at the end of second ``timer``, moves to the first one due."""
+        if known:
+            self.index.update((list(known), list(known.values())))
+        else:
+            self.index.clear()
+        first = min(known.values(), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer((timer + 1) * 1000)
+            if first is not None:
+                self.handle.registerTimer((first + 1) * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         clock = timerValues.getCurrentWatermarkInMs()
+        known = self._known()
+        timer = min(known.values(), default=None)
         for frame in rows:
             frame = frame[self.columns]
-            second = frame["due"] // 1_000_000
-            late = (second + 1) * 1000 <= clock
+            late = (frame["due"] // 1_000_000 + 1) * 1000 <= clock
             if late.any():
                 yield frame[late]
-            waiting: dict[int, list[tuple]] = {}
-            for at, row in zip(second[~late], frame[~late].astype(object).to_numpy()):
-                waiting.setdefault(int(at), []).append(tuple(None if pd.isna(v) else v for v in row))
-            for at, new in waiting.items():
-                old = [tuple(r) for r in self.rows.getValue((at,))[0]] if self.rows.containsKey((at,)) else []
-                self.rows.updateValue((at,), (old + new,))
-                if not old:
-                    self.handle.registerTimer((at + 1) * 1000)
+            self._keep(frame[~late], known)
+        self._remember(known, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1,)
-        rows = [list(r) for r in self.rows.getValue(at)[0]]
-        self.rows.removeKey(at)
-        yield pd.DataFrame(rows, columns=self.columns, dtype=object)
+        clock = timerValues.getCurrentWatermarkInMs()
+        known = self._known()
+        waiting: list[pd.DataFrame] = []
+        for piece, second in list(known.items()):
+            if (second + 1) * 1000 > clock:
+                continue
+            frame = pa.ipc.open_stream(self.pieces.getValue((piece,))[0]).read_pandas()
+            self.pieces.removeKey((piece,))
+            del known[piece]
+            due = (frame["due"] // 1_000_000 + 1) * 1000 <= clock
+            yield frame[due]
+            if not due.all():
+                waiting.append(frame[~due])
+            if sum(map(len, waiting)) >= PIECE_ROWS:
+                self._keep(pd.concat(waiting), known)
+                waiting.clear()
+        if waiting:
+            self._keep(pd.concat(waiting), known)
+        # the timer that brought this here is gone
+        self._remember(known, None)
 
     def close(self) -> None:
         pass
@@ -108,8 +156,8 @@ class _Waiting(StatefulProcessor):
 def stream_retries(log: DataFrame, delay: str = RETRY_DELAY, lateness: str = "0 seconds", shards: int = RETRY_SHARDS) -> DataFrame:
     """Failed requests, each emitted once the log's clock has passed the second it is due in.
 
-    Requests wait in ``shards`` equal parts, in each by that second, for which there is
-    one event-time timer; no URL and no burst meets in one of them.  A failure that
+    Requests wait in ``shards`` equal parts, in pieces in due order; each part has one
+    event-time timer, for the first second due; no URL and no burst meets in one of them.  A failure that
     arrives when it is already due, however late, is emitted with its micro-batch:
     nothing is dropped.  The clock is the largest ``ts`` of earlier batches, less
     ``lateness``; responses that succeed move it as well.  (Output mode

@@ -1,8 +1,11 @@
 import datetime as dt
 import hashlib
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from linkloom.operators import frontier, stats
 from linkloom.operators import scope as sc
@@ -109,3 +112,62 @@ def test_archive_stream_deals_a_batch_over_tasks(spark, tmp_path):
     assert sorted(records for _, _, records in files) == [200] * 4
     back = {r.warc_type: r.records for r in queries._records_read_back(spark, f"{out}/*/*.warc.gz").collect()}
     assert back == {"request": 400, "response": 400}
+
+
+class _Handle:
+    """A shard's state as dictionaries, and how often it was written to."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers, self.index = 0, {}, set(), None
+
+    def getMapState(self, *_):
+        return SimpleNamespace(updateValue=self._put, getValue=self.values.get, removeKey=self.values.pop, containsKey=self.values.__contains__)
+
+    def getValueState(self, *_):
+        return SimpleNamespace(exists=lambda: self.index is not None, get=lambda: self.index, update=self._index, clear=lambda: self._index(None))
+
+    def _put(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+    def _index(self, value):
+        self.calls += 1
+        self.index = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_shard_writes_little_state_however_many_seconds_wait():
+    schema = StructType([StructField("url", StringType()), StructField("tag", IntegerType()), StructField("due", LongType())])
+    shard, handle = streams._Waiting(["url", "tag", "due"], schema), _Handle()
+    shard.init(handle)
+    at = lambda clock: SimpleNamespace(getCurrentWatermarkInMs=lambda: clock)
+
+    def expired(clock):
+        """What the timer at the end of a second gives, once it has passed."""
+        gone = {t for t in handle.timers if t <= clock}
+        handle.timers -= gone
+        return [r for t in gone for f in shard.handleExpiredTimer((0,), at(clock), None) for r in f.itertuples(index=False)]
+
+    rows = [(f"u{k}", None if k % 3 else k, (7 * k % 12_000) * 1_000_000 + 5) for k in range(12_000)]
+    frame = pd.DataFrame(rows, columns=shard.columns).sample(frac=1, random_state=1)
+    assert not [f for f in shard.handleInputRows((0,), iter([frame[:6_000], frame[6_000:]]), at(0))]
+    assert handle.calls < 20 and len(handle.timers) == 1
+    # one that is due already goes on at once
+    late = pd.DataFrame([("late", 1, 0)], columns=shard.columns)
+    assert [f["url"].tolist() for f in shard.handleInputRows((0,), iter([late]), at(1_000))] == [["late"]]
+    got = []
+    for clock in (1_000, 50_500, 7_000_000, 7_000_000, 11_999_999):
+        new = expired(clock)
+        assert all((r.due // 1_000_000 + 1) * 1000 <= clock for r in new)
+        got += new
+        assert len(got) == clock // 1000
+    got += expired(12_000_000)
+    assert sorted((r.url, None if pd.isna(r.tag) else int(r.tag), r.due) for r in got) == sorted(rows, key=lambda r: r[0])
+    assert not handle.values and not handle.timers and handle.index is None
