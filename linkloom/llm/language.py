@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ GRAMS = 8000
 COMMON = 0.3
 NONE = "und"
 HASHES = 2
+#: text bytes whose n-grams are held at once (some 80 bytes of arrays each); a longer text is held alone
+SLICE_BYTES = 256 << 10
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -41,6 +44,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def slices(texts: pa.Array) -> Iterator[slice]:
+    """Runs of texts of at most ``SLICE_BYTES`` together, or of one that is longer."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > begin and held + size > SLICE_BYTES:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 def grams(texts: pa.Array, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the letter n-grams of all texts on end, and where each text's begin.
 
@@ -78,6 +94,9 @@ class LanguageFilters:
 
     def shares(self, texts: pa.Array) -> np.ndarray:
         """By text and language: the corrected share of the text's n-grams that the language contains."""
+        return np.concatenate([np.zeros((0, len(self.languages))), *(self._shares(texts[part]) for part in slices(texts))])
+
+    def _shares(self, texts: pa.Array) -> np.ndarray:
         hashes, bounds = grams(texts)
         masks = self.masks(hashes)
         n = np.diff(bounds)
@@ -127,11 +146,12 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist())
             for lang in np.unique(langs):
-                hashes, _ = grams(batch.column("text").filter(pa.array(langs == lang)))
-                found, n = np.unique(hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
-                )
+                texts = batch.column("text").filter(pa.array(langs == lang))
+                for part in slices(texts):
+                    found, n = np.unique(grams(texts[part])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
+                    )
 
     totals = (
         chosen.select("lang", "text")
