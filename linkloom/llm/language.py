@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm import tokens
 from linkloom.llm.common import id_remainder
 
 #: labelled documents per language that the filters are learned from
@@ -143,6 +144,7 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist())
             for lang in np.unique(langs):
@@ -181,6 +183,7 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judge(texts: pa.Array) -> pa.Array:
+        tokens.release()
         model = shared.value
         letter = _letters()
         known = [bool(t) and any(letter[ord(c)] for c in t) for t in texts.to_pylist()]

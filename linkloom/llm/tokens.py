@@ -9,6 +9,8 @@ Any other tokenizer encodes whole texts.  Memory is bounded in bytes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -223,6 +225,17 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+def release() -> None:
+    """Give back the vocabularies and words of earlier tasks: a worker serves one operator after another."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its memory refer to each other
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def public_vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers

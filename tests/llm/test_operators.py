@@ -28,6 +28,7 @@ from linkloom.llm import (
 from linkloom.llm.common import prepare
 from linkloom.llm.components import components
 from linkloom.llm.queries import ORACLE, QUERIES
+from linkloom.llm import tokens
 from linkloom.llm.tokens import default_tokenizer, encoder
 
 SF = "/root/testdata/sf0.001"
@@ -396,3 +397,10 @@ def test_language_shares_hold_few_texts_at_once():
     model.shares(texts)
     assert tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
+
+
+def test_language_tasks_give_back_the_vocabularies_of_earlier_ones():
+    tokens.encoder(tokens.default_tokenizer()).encode(pa.array(["some words"]), 1)
+    tokens.release()
+    assert tokens.encoder.cache_info().currsize == 0
+    assert len(tokens.encoder(tokens.default_tokenizer()).encode(pa.array(["some words"]), 1)[0])
