@@ -189,6 +189,26 @@ def test_repeated_runs_of_a_host_go_and_unique_ones_stay(spark, broadcast):
     assert got[10, "http://a.example/near"] == f"{menu}\nx < y z"  # repeated, but the article's
 
 
+@pytest.mark.parametrize("broadcast", [main_text.BROADCAST_SUFFIXES, 0])
+def test_runs_that_stand_in_a_marked_article_are_repeated_elsewhere(spark, broadcast):
+    quoted, own = "one two three four five six seven eight", "red green blue black white grey brown pink"
+    pages = [
+        (1, "http://a.example/1", f"<article><h1>title</h1><p>{quoted}</article><div>{own}</div>"),
+        (2, "http://a.example/2", soup(quoted, "alpha beta gamma delta epsilon zeta eta theta", "far away from it all in the hills")),
+        (3, "http://b.example/3", soup(quoted, "nothing else", "here")),
+        # the article of a copy is the page's own
+        (4, "http://c.example/4", f"<article><p>{quoted}</article><div>{quoted}</div>"),
+        (5, "http://c.example/5", f"<article><p>{quoted}</article><div>{quoted}</div>"),
+    ]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r for r in main_text.main_text(table, broadcast_suffixes=broadcast).collect()}
+    assert got[1]["text"] == f"title\n{quoted}" and got[1]["n_repeated"] == 0
+    assert got[2]["text"] == "alpha beta gamma delta epsilon zeta eta theta\nfar away from it all in the hills"
+    assert got[2]["n_repeated"] == 8
+    assert got[3]["text"] == f"{quoted}\nnothing else\nhere"
+    assert got[4]["text"] == got[5]["text"] == quoted and got[4]["n_repeated"] == got[5]["n_repeated"] == 0
+
+
 def test_hashes_see_what_stands_behind_a_nul():
     a, b = main_text._hashes(["a\0b", "a\0c"])
     assert a != b
