@@ -25,9 +25,13 @@ from linkloom.llm.common import written
 from linkloom.llm.tokens import Remembered, byte_alphabet, flat, gather, strings
 
 #: bytes of text aligned at once
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
+#: what each side remembers of words, some bytes
+REMEMBERED_BYTES = 16 << 20
 #: ids are packed by twos into one number
 ID_BITS = 21
+#: words that are encoded as one text
+JOINED_WORDS = 500
 #: id pairs whose counts may be broadcast (16 bytes each), the commonest first
 BROADCAST_PAIRS = 2_000_000
 
@@ -97,8 +101,10 @@ class Side:
         self.vocabulary = (Pieces if path.endswith(".model") else ByteLevel)(path)
         if len(self.vocabulary.bytes) >= 1 << ID_BITS:
             raise ValueError(f"{path}: more than {1 << ID_BITS} ids")
-        self.remembered = Remembered(self._marked)
+        self.remembered = Remembered(self._marked, REMEMBERED_BYTES)
         self.lengths = np.array([len(b) for b in self.vocabulary.bytes], np.int64)
+        #: tokens that begin with a space, as every word does
+        self.leads = np.array([b[:1] == b" " for b in self.vocabulary.bytes])
 
     def spelled(self, ids: np.ndarray) -> bytes:
         table = self.vocabulary.bytes
@@ -106,12 +112,33 @@ class Side:
 
     def _marked(self, words: list[str]) -> list[bytes]:
         """Ids of each word and a last number, 1 if they spell a space and the word."""
-        out = []
-        for word, ids in zip(words, self.vocabulary.encode(words)):
-            exact = self.spelled(np.frombuffer(ids, "<u4")) == (" " + word).encode()
-            out.append(ids + (b"\1\0\0\0" if exact else b"\0\0\0\0"))
+        out: list[bytes | None] = [None] * len(words)
+        # words that white space neither holds nor ends are encoded as the words of a text
+        apart = [i for i, w in enumerate(words) if w and " " not in w and w == w.strip()] if self.vocabulary.by_words else []
+        runs = [apart[i : i + JOINED_WORDS] for i in range(0, len(apart), JOINED_WORDS)]
+        texts = [" ".join([words[i] for i in run]) for run in runs]
+        for run, text, ids in zip(runs, texts, self.vocabulary.encode(texts)):
+            for i, marked in zip(run, self._taken_apart([words[i] for i in run], text, np.frombuffer(ids, "<u4"))):
+                out[i] = marked
+        rest = [i for i, marked in enumerate(out) if marked is None]
+        for i, ids in zip(rest, self.vocabulary.encode([words[i] for i in rest])):
+            exact = self.spelled(np.frombuffer(ids, "<u4")) == (" " + words[i]).encode()
+            out[i] = ids + (b"\1\0\0\0" if exact else b"\0\0\0\0")
         return out
 
+    def _taken_apart(self, words: list[str], text: str, ids: np.ndarray) -> list[bytes]:
+        """The marked ids of each word of a text, from the text's; nothing unless they spell every word."""
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(words) or starts[0]:
+            return []
+        sizes = np.fromiter((len(w) for w in words) if text.isascii() else (len(w.encode()) for w in words), np.int64, len(words))
+        if (np.add.reduceat(self.lengths[ids], starts) != sizes + 1).any() or self.spelled(ids) != (" " + text).encode():
+            return []
+        ends = np.append(starts[1:], len(ids))
+        marked = np.insert(ids, ends, 1).astype("<u4").tobytes()
+        ends = 4 * (ends + np.arange(1, len(ends) + 1))
+        return [marked[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
 
 @lru_cache(maxsize=4)
 def side(path: str) -> Side:
@@ -145,9 +172,10 @@ def _words(texts: pa.Array, by_words: bool) -> tuple[list[str], np.ndarray, np.n
 
 def _coded(one: Side, texts: pa.Array, words: list[str], order: np.ndarray, word_bounds: np.ndarray):
     """Ids of the texts' tokens, the text of each, and which texts the tokens spell."""
-    marked = one.remembered(words)
-    exact = np.fromiter((m[-4] for m in marked), bool, len(marked))
-    ids, ends = gather(*flat([m[:-4] for m in marked]), order)
+    ids, sizes = flat(one.remembered(words))
+    last = np.cumsum(sizes) - 1
+    exact = ids[last] == 1
+    ids, ends = gather(np.delete(ids, last), sizes - 1, order)
     bounds = ends[word_bounds]
     right = np.ones(len(texts), bool)
     of = np.repeat(np.arange(len(texts)), np.diff(bounds))

@@ -111,10 +111,10 @@ class Remembered:
         self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        if len(word) <= LONGEST:
-            self.memory[word] = ids
-            self.held += ENTRY_BYTES + len(word) + len(ids)
+    def _keep(self, words: list[str], coded: list[bytes]) -> None:
+        short = {word: ids for word, ids in zip(words, coded) if len(word) <= LONGEST}
+        self.memory |= short
+        self.held += ENTRY_BYTES * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
 
     def _age(self) -> None:
         if self.held > self.limit // 2:
@@ -126,16 +126,16 @@ class Remembered:
         new = [i for i, ids in enumerate(found) if ids is None]
         if self.older:
             for i in new:
-                ids = self.older.get(words[i])
-                if ids is not None:
-                    found[i] = ids
-                    self._keep(words[i], ids)
+                found[i] = self.older.get(words[i])
+            again = [i for i in new if found[i] is not None]
+            self._keep([words[i] for i in again], [found[i] for i in again])
             new = [i for i in new if found[i] is None]
         missing = [words[i] for i in new]
         for begin, end in slices(missing):
-            for i, word, ids in zip(new[begin:end], missing[begin:end], self.encode(missing[begin:end])):
+            coded = self.encode(missing[begin:end])
+            for i, ids in zip(new[begin:end], coded):
                 found[i] = ids
-                self._keep(word, ids)
+            self._keep(missing[begin:end], coded)
             self._age()
         self._age()
         return found

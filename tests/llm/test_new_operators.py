@@ -141,6 +141,19 @@ def test_memory_of_words_is_bounded_and_right():
     assert sum("often" in words for words in asked) == 1  # what comes again is kept
 
 
+def test_words_are_encoded_together_and_odd_ones_alone():
+    odd = ["\u2581x", "x\u2581\u2581", "\n", "a\n", "\xa0b", "c\u3000d", "\ufb01", "<s>", "</s>", "\x85", "e\u0301", "\0", "<0x41>", "", "two words"]
+    words = [f"word{i}" for i in range(1_200)] + odd + ["caf\u00e9", "\u6f22\u5b57", "oh.\nyes"]
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        one = alignment.Side(tokens.public_vocabulary(name))
+        asked, encode = [], one.vocabulary.encode
+        one.vocabulary.encode = lambda texts: asked.extend(texts) or encode(texts)
+        alone = [(ids, one.spelled(np.frombuffer(ids, "<u4")) == f" {w}".encode()) for w, ids in zip(words, encode(words))]
+        assert one._marked(words) == [ids + bytes([exact, 0, 0, 0]) for ids, exact in alone]
+        # only the run that odd words stand in is encoded again by words
+        assert len(asked) < len(words) // 2
+
+
 ARTICLE = re.compile(r"<article>(.*?)</article>", re.S)
 
 
