@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,26 @@ def written(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def byte_slices(batch: pa.RecordBatch, texts: list[str], limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose ``texts`` columns hold some ``limit`` bytes, a row with more alone: what is made of them is bounded."""
+    sizes = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts]
+    ends = np.cumsum(sum(sizes))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is done keeps it beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; texts that are all ASCII take the faster built-in."""
     plain = F.octet_length(c) == F.length(c)

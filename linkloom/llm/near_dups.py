@@ -19,13 +19,16 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import text_key, written
+from linkloom.llm import tokens
+from linkloom.llm.common import byte_slices, give_back, text_key, written
 from linkloom.llm.components import components
 
 #: words a shingle
 WIDTH = 5
 #: signature length and rows a band: at similarity 0.75 all 32 bands miss with probability 5e-6
 PLACES, ROWS = 128, 4
+#: bytes of text made into shingles at once
+SLICE_BYTES = 512 << 10
 #: a link is compared in full if this share of the signature agrees; at 0.75 the estimate
 #: falls below it with probability 4e-6 (it is 5 deviations off)
 LIKELY = 0.55
@@ -49,7 +52,8 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     Words are what stands between ASCII white space, A-Z lower-cased.  Fewer than
     ``width`` words are one shingle; null and empty texts have none.
     """
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    # lowered before the cast: of a slice, Arrow's cast keeps offsets that its lower-casing gets wrong
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
     coded = words.flatten().dictionary_encode()
     of = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
     codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -124,8 +128,16 @@ def super_minhash(hashes: np.ndarray, bounds: np.ndarray, places: int = PLACES)
     return np.hstack([(codes >> np.uint64(shift)).astype(np.uint8) for shift in (56, 48)])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches, between which a task holds little; what others left in its worker goes first, its own at the end."""
+    tokens.release()
     for batch in batches:
+        yield from byte_slices(batch, list(texts or ["text"]), SLICE_BYTES * max(len(texts), 1))
+    give_back()
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches):
         hashes, bounds = shingle_sets(batch.column("text"))
         sizes = np.diff(bounds)
         steps = range(0, batch.num_rows, 512)  # bounds the permutations' memory
@@ -159,7 +171,7 @@ def _linked(percent: int):
     """Keeps ``a, b`` rows whose texts' full shingle sets have the similarity asked for."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, "text_a", "text_b"):
             coded = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
             sets = [shingle_sets(c.dictionary) for c in coded]
             at = [c.indices.to_numpy() for c in coded]
@@ -212,7 +224,7 @@ def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         hashes, bounds = shingle_sets(batch.column("text"))
         n = np.diff(bounds)
         keys = [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]

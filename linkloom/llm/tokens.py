@@ -9,7 +9,6 @@ Any other tokenizer encodes whole texts.  Memory is bounded in bytes.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import json
 import os
@@ -22,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from linkloom.llm.common import give_back
+
 #: what a worker remembers of words before it begins anew, some bytes
 REMEMBERED_BYTES = 48 << 20
 #: a remembered word's own cost beside its characters and ids
@@ -230,10 +231,7 @@ def release() -> None:
     if encoder.cache_info().currsize:
         encoder.cache_clear()
         gc.collect()  # an encoder and its memory refer to each other
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
 
 def public_vocabulary(name: str) -> str:

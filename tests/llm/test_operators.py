@@ -404,3 +404,31 @@ def test_language_tasks_give_back_the_vocabularies_of_earlier_ones():
     tokens.release()
     assert tokens.encoder.cache_info().currsize == 0
     assert len(tokens.encoder(tokens.default_tokenizer()).encode(pa.array(["some words"]), 1)[0])
+
+
+def test_signing_holds_a_slice_of_a_batch_and_gives_memory_back():
+    # in a process of its own, as memory that was used once stays with it
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from linkloom.llm import near_dups
+rng = np.random.default_rng(1)
+texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**9, 400)) for _ in range(3000)] + [None, "", "A b"]
+n = len(texts)
+batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], ["doc_id", "key_text", "text"])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+before = peak()
+for out in near_dups._sign(iter([batch])):
+    pass
+print(peak() - before)
+rows = pa.Table.from_batches(list(near_dups._sign(iter([batch]))))
+near_dups.SLICE_BYTES = 1 << 40
+assert rows.combine_chunks().equals(pa.Table.from_batches(list(near_dups._sign(iter([batch])))).combine_chunks())
+"""
+    import os
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 140, out.stdout
