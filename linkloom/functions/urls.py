@@ -527,6 +527,17 @@ def with_prefix_candidates(df: DataFrame, column: str = "url", output: str = "ca
     return df.select(*keep, settled(F.when(env["valid"], _candidates(env))).alias(output))
 
 
+def plain_place(c: Column) -> Column:
+    """Host and path of a URL in normal form, as prefixes have them; NULL of any other, without parsing it.
+
+    Its candidate of ``d`` parts is what stands before the ``d``-th slash.
+    """
+    rest = F.substring_index(F.substring_index(c, "://", -1), "?", 1)
+    bare = F.when(rest.startswith("www."), F.substring(rest, 5, F.length(rest))).otherwise(rest)
+    # the end is the text's, not that of its last line
+    return F.when(c.rlike(_NORMAL.removesuffix("$") + r"\z"), F.regexp_replace(bare, "/$", ""))
+
+
 def url_scheme(c: Column) -> Column:
     """Lower-case scheme of a URL, empty when it has none."""
     return F.lower(F.regexp_extract(c, _SCHEME, 1))

@@ -9,6 +9,7 @@ expression.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cache, reduce
@@ -17,10 +18,11 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions._let import settled
 from linkloom.functions.ignore_list import bundled
 from linkloom.functions.markup import TAG_RELATED
 from linkloom.functions.regex_match import matches_any
-from linkloom.functions.urls import prefix_candidates, prefix_key, url_scheme, with_prefix_candidates
+from linkloom.functions.urls import plain_place, prefix_candidates, prefix_key, url_scheme, with_prefix_candidates
 from linkloom.plans import storage
 from linkloom.sources.lists import IGNORE_PATH_SETTING, default_ignores
 
@@ -165,8 +167,15 @@ def ignore_scope(
 
 def _mark_inline(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     kept = df.columns
-    df = with_prefix_candidates(df, "url", "__cand")
-    hit = F.exists("__cand", lambda c: c.isin(keys))
+    df = df.select(*kept, settled(plain_place(F.col("url"))).alias("__plain"))
+    # a NULL goes through the steps at no cost, so URLs in normal form skip them
+    df = with_prefix_candidates(df.withColumn("__odd", F.when(F.col("__plain").isNull(), F.col("url"))), "__odd", "__cand")
+    # a key of d parts can equal the d-th candidate only
+    by_depth = defaultdict(list)
+    for key in keys:
+        by_depth[key.count("/") + 1].append(key)
+    plain = [F.substring_index("__plain", "/", d).isin(of) for d, of in sorted(by_depth.items())]
+    hit = F.when(F.col("__plain").isNotNull(), _combine("or", plain)).otherwise(F.exists("__cand", lambda c: c.isin(keys)))
     return df.select(*kept, F.coalesce(hit, F.lit(False)).alias(name))
 
 
