@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from linkloom.llm.common import text_key, written
+from linkloom.llm.common import give_back, text_key, written
 from linkloom.llm.messages import WHOLE, Messages, messages, template_tree
 from linkloom.llm.tokens import strings
 
@@ -81,6 +81,7 @@ def _leaves(texts: DataFrame, least_tokens: int, leading: int, least_general: in
                     [pa.array(x) for x in (m.leaf[order][first].view(np.int64), *reduced, general)],
                     ["leaf", "doc_lo", "doc_hi", "line_lo", "line_hi", "general"],
                 )
+        give_back()
 
     schema = "leaf long, doc_lo long, doc_hi long, line_lo long, line_hi long, general boolean"
     spread = texts.select("doc", "text").mapInArrow(run, schema).groupBy("leaf").agg(
@@ -143,6 +144,7 @@ def _shared_messages(texts: DataFrame, leaves: DataFrame, least_tokens: int, lea
                     keep = np.flatnonzero(hit)
                     mixed = flags[at[keep]] & general[keep]
                 yield _message_rows(part, m, keep, mixed, known is None)
+        give_back()
 
     rows = texts.select("key_id", "key_text", "text").mapInArrow(run, schema)
     if not few:

@@ -131,6 +131,7 @@ def super_minhash(hashes: np.ndarray, bounds: np.ndarray, places: int = PLACES)
 def _sliced(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
     """The rows in small batches, between which a task holds little; what others left in its worker goes first, its own at the end."""
     tokens.release()
+    give_back()
     for batch in batches:
         yield from byte_slices(batch, list(texts or ["text"]), SLICE_BYTES * max(len(texts), 1))
     give_back()

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import written
+from linkloom.llm.common import byte_slices, give_back, written
 from linkloom.llm.tokens import encoder
 
 #: pieces of one length are ranked in so many shares
 RANK_SHARES = 256
+#: bytes of text encoded at once
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -179,7 +181,7 @@ def token_pieces(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in byte_slices(batch, ["text"], SLICE_BYTES)):
             ids, bounds = encoder(tokenizer).encode(batch.column("text"), end_id)
             n = -(-np.diff(bounds) // capacity)
             of = np.repeat(np.arange(len(n)), n)
@@ -201,6 +203,7 @@ def token_pieces(
                 columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 

@@ -201,6 +201,8 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts on end (null: empty), each text closed by ``end_id``; where each text begins."""
+        if texts.offset:  # of a slice, Arrow's cast keeps offsets that other functions get wrong
+            texts = texts.take(pa.array(np.arange(len(texts))))
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if self.by_words:
             words = pc.ascii_split_whitespace(texts)
