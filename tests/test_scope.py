@@ -143,8 +143,8 @@ def test_urls_in_normal_form_meet_prefixes_as_others_do(spark):
     urls = [h + p + q for h in ("http://a.example", "https://www.b.example", "http://B.example", "http://c.example", "http://d.example")
             for p in ("", "/", "/x", "/x/y", "/x/y/", "/x/y/z", "/x/yz", "/x//y", "/x/y\n") for q in ("", "?a=b", "#f")]
     table = spark.createDataFrame([(u,) for u in urls], "url string")
-    got = {r["url"] for r in scope.prefix_scope(keys).filter(table).collect()}
-    assert got == {r["url"] for r in table.where(scope.prefix_scope(keys).column()).collect()}
+    got = {r["url"] for r in sc.prefix_scope(keys).filter(table).collect()}
+    assert got == {r["url"] for r in table.where(sc.prefix_scope(keys).column()).collect()}
     assert "https://www.b.example/x/y/z?a=b" in got and "https://www.b.example/x/yz" not in got
     place = {r[0]: r[1] for r in table.select("url", plain_place(table["url"])).collect()}
     assert place["https://www.b.example/x/y/?a=b"] == "b.example/x/y" and place["http://a.example/x//y"] is None
