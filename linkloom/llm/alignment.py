@@ -12,7 +12,9 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import written
-from linkloom.llm.tokens import Remembered, byte_alphabet, flat, gather, strings
+from linkloom.llm.tokens import LONGEST, SLICE_CHARS, SLICE_WORDS, byte_alphabet, flat, gather, strings
 
 #: bytes of text aligned at once
 SLICE_BYTES = 512 << 10
-#: what each side remembers of words, some bytes
-REMEMBERED_BYTES = 16 << 20
+#: what a worker remembers of words, some bytes
+REMEMBERED_BYTES = 32 << 20
+#: a remembered word's own cost beside its ids
+ENTRY_BYTES = 230
 #: ids are packed by twos into one number
 ID_BITS = 21
 #: words that are encoded as one text
@@ -94,6 +98,29 @@ class Pieces:
         return [np.array(ids, "<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
 
+@dataclass
+class Coded:
+    """Words' ids on one side, on end: how many each word has, and whether they spell a space and the word."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    exact: np.ndarray
+
+    @staticmethod
+    def on_end(parts: list[Coded]) -> Coded:
+        return Coded(*(np.concatenate(x) for x in zip(*((c.ids, c.sizes, c.exact) for c in parts))))
+
+    def take(self, order: np.ndarray) -> Coded:
+        return Coded(gather(self.ids, self.sizes, order)[0], self.sizes[order], self.exact[order])
+
+    def first(self, n: int) -> Coded:
+        """The first words; a copy, which holds nothing of the others."""
+        return Coded(self.ids[: int(self.sizes[:n].sum())].copy(), self.sizes[:n].copy(), self.exact[:n].copy())
+
+
+NONE = Coded(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
 class Side:
     """One tokenizer in a worker: ids of words, whether they spell the word, byte lengths, decimal texts."""
 
@@ -101,43 +128,126 @@ class Side:
         self.vocabulary = (Pieces if path.endswith(".model") else ByteLevel)(path)
         if len(self.vocabulary.bytes) >= 1 << ID_BITS:
             raise ValueError(f"{path}: more than {1 << ID_BITS} ids")
-        self.remembered = Remembered(self._marked, REMEMBERED_BYTES)
         self.lengths = np.array([len(b) for b in self.vocabulary.bytes], np.int64)
         #: tokens that begin with a space, as every word does
         self.leads = np.array([b[:1] == b" " for b in self.vocabulary.bytes])
+        self.spelling = np.frombuffer(b"".join(self.vocabulary.bytes), np.uint8)
 
     def spelled(self, ids: np.ndarray) -> bytes:
         table = self.vocabulary.bytes
         return b"".join([table[i] for i in ids.tolist()])
 
-    def _marked(self, words: list[str]) -> list[bytes]:
-        """Ids of each word and a last number, 1 if they spell a space and the word."""
-        out: list[bytes | None] = [None] * len(words)
+    def coded(self, words: pa.Array) -> Coded:
+        """Ids of each of some words."""
         # words that white space neither holds nor ends are encoded as the words of a text
-        apart = [i for i, w in enumerate(words) if w and " " not in w and w == w.strip()] if self.vocabulary.by_words else []
-        runs = [apart[i : i + JOINED_WORDS] for i in range(0, len(apart), JOINED_WORDS)]
-        texts = [" ".join([words[i] for i in run]) for run in runs]
-        for run, text, ids in zip(runs, texts, self.vocabulary.encode(texts)):
-            for i, marked in zip(run, self._taken_apart([words[i] for i in run], text, np.frombuffer(ids, "<u4"))):
-                out[i] = marked
-        rest = [i for i, marked in enumerate(out) if marked is None]
-        for i, ids in zip(rest, self.vocabulary.encode([words[i] for i in rest])):
-            exact = self.spelled(np.frombuffer(ids, "<u4")) == (" " + words[i]).encode()
-            out[i] = ids + (b"\1\0\0\0" if exact else b"\0\0\0\0")
-        return out
-
-    def _taken_apart(self, words: list[str], text: str, ids: np.ndarray) -> list[bytes]:
-        """The marked ids of each word of a text, from the text's; nothing unless they spell every word."""
+        odd = pc.match_substring_regex(words, NOT_APART).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(~odd if self.vocabulary.by_words else np.zeros(len(words), bool))
+        out, done, rest = [NONE], [np.zeros(0, np.int64)], np.ones(len(words), bool)
+        for run in _runs(words, apart):
+            for took, coded in self._joined(words.take(pa.array(run))):
+                out.append(coded)
+                done.append(run[took])
+                rest[done[-1]] = False
+        for run in _runs(words, np.flatnonzero(rest)):
+            out.append(self._alone(strings(words.take(pa.array(run)))))
+            done.append(run)
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate(done)] = np.arange(len(words))
+        return Coded.on_end(out).take(order)
+
+    def _alone(self, words: list[str]) -> Coded:
+        parts = self.vocabulary.encode(words)
+        exact = [self.spelled(np.frombuffer(ids, "<u4")) == (" " + w).encode() for w, ids in zip(words, parts)]
+        return Coded(*flat(parts), np.array(exact, bool))
+
+    def _joined(self, words: pa.Array) -> Iterator[tuple[slice, Coded]]:
+        """Ids of the words that texts of JOINED_WORDS spell, each with its words alone, and the places of these."""
+        names, sizes = strings(words), _byte_sizes(words)
+        cuts = [*range(0, len(names), JOINED_WORDS), len(names)]
+        texts = [" ".join(names[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+        ids, counts = flat(self.vocabulary.encode(texts))
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        pending = [(0, len(texts))]
+        while pending:  # texts that are not all as they should be are looked at by halves
+            i, j = pending.pop()
+            coded = self._taken_apart(sizes[cuts[i] : cuts[j]], " " + " ".join(texts[i:j]), ids[ends[i] : ends[j]])
+            if coded is not None:
+                yield slice(cuts[i], cuts[j]), coded
+            elif j - i > 1:
+                pending += [(i, (i + j) // 2), ((i + j) // 2, j)]
+
+    def _taken_apart(self, sizes: np.ndarray, text: str, ids: np.ndarray) -> Coded | None:
+        """The ids of each word (of ``sizes`` bytes) of a text, from the text's; nothing unless they spell every word."""
         starts = np.flatnonzero(self.leads[ids])
-        if len(starts) != len(words) or starts[0]:
-            return []
-        sizes = np.fromiter((len(w) for w in words) if text.isascii() else (len(w.encode()) for w in words), np.int64, len(words))
-        if (np.add.reduceat(self.lengths[ids], starts) != sizes + 1).any() or self.spelled(ids) != (" " + text).encode():
-            return []
-        ends = np.append(starts[1:], len(ids))
-        marked = np.insert(ids, ends, 1).astype("<u4").tobytes()
-        ends = 4 * (ends + np.arange(1, len(ends) + 1))
-        return [marked[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        lengths = self.lengths[ids]
+        if len(starts) != len(sizes) or starts[0] or (np.add.reduceat(lengths, starts) != sizes + 1).any():
+            return None
+        if gather(self.spelling, self.lengths, ids)[0].tobytes() != text.encode():
+            return None
+        return Coded(ids, np.diff(np.append(starts, len(ids))), np.ones(len(sizes), bool))
+
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """Ids of each word and a last number, 1 if they spell a space and the word."""
+        coded = self.coded(pa.array(words, pa.string()))
+        ends = np.cumsum(coded.sizes)
+        parts = zip((ends - coded.sizes).tolist(), ends.tolist(), coded.exact.tolist())
+        return [coded.ids[i:j].tobytes() + bytes([exact, 0, 0, 0]) for i, j, exact in parts]
+
+
+def _byte_sizes(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _runs(words: pa.Array, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The places ``at`` by runs that are encoded at once: so many words and bytes, a longer word alone."""
+    ends = np.cumsum(_byte_sizes(words.take(pa.array(at))))
+    begin = 0
+    while begin < len(at):
+        before = ends[begin - 1] if begin else 0
+        end = min(begin + SLICE_WORDS, max(begin + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right"))))
+        yield at[begin:end]
+        begin = end
+
+
+class Words:
+    """Ids of words on both sides: new ones are encoded, the rest comes from memory bounded in bytes."""
+
+    def __init__(self, sides: tuple[Side, Side], limit: int | None = None):
+        self.sides, self.limit = sides, limit or REMEMBERED_BYTES
+        self._hold([], [NONE, NONE], np.zeros(0, np.int64))
+
+    def _hold(self, names: list[str], coded: list[Coded], uses: np.ndarray) -> None:
+        self.names, self.coded, self.uses = names, coded, uses
+        self.numbers = dict(zip(names, range(len(names))))
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, list[Coded]]:
+        """A number of each of the distinct ``words``, and what each side has by number."""
+        names, known = strings(words), len(self.names)
+        number = np.fromiter(map(self.numbers.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        missing = words.take(pa.array(new))
+        # long words seldom come again: they have the last numbers, which are not kept
+        long = pc.greater(pc.utf8_length(missing), LONGEST).to_numpy(zero_copy_only=False)
+        by_length = np.argsort(long, kind="stable")
+        new, missing = new[by_length], missing.take(pa.array(by_length))
+        number[new] = known + np.arange(len(new))
+        coded = [Coded.on_end([held, one.coded(missing)]) for held, one in zip(self.coded, self.sides)]
+        kept = known + int((~long).sum())
+        self.uses = np.append(self.uses, np.zeros(kept - known, np.int64))
+        self.uses[number[number < kept]] += 1
+        self.coded = [c.first(kept) for c in coded]
+        short = strings(missing[: kept - known])
+        self.names += short
+        self.numbers.update(zip(short, range(known, kept)))
+        self._age()
+        return number, coded
+
+    def _age(self) -> None:
+        """Beyond the limit, the half that came most often stays, the newest of equal ones; what came before counts half."""
+        while ENTRY_BYTES * len(self.names) + 4 * sum(len(c.ids) for c in self.coded) > self.limit:
+            n = len(self.names)
+            stay = np.sort(n - 1 - np.argsort(-self.uses[::-1], kind="stable")[: n // 2])
+            self._hold([self.names[i] for i in stay.tolist()], [c.take(stay) for c in self.coded], self.uses[stay] // 2)
 
 
 @lru_cache(maxsize=4)
@@ -145,6 +255,11 @@ def side(path: str) -> Side:
     return Side(path)
 
 
+@lru_cache(maxsize=2)
+def known_words(a_path: str, b_path: str) -> Words:
+    return Words((side(a_path), side(b_path)))
+
+
 @lru_cache(maxsize=2)
 def _decimals(n: int, first: str) -> np.ndarray:
     """``first`` and ``,`` before each id's decimal text, at 2 * id and 2 * id + 1."""
@@ -154,34 +269,35 @@ def _decimals(n: int, first: str) -> np.ndarray:
 #: texts in which spaces always stand alone between other characters fall into words there
 _SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 NOT_WORDS = rf"^{_SPACE}|{_SPACE}{_SPACE}| $"
+#: words that are encoded alone
+NOT_APART = rf"^{_SPACE}|{_SPACE}$| |^$"
 
 
-def _words(texts: pa.Array, by_words: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _words(texts: pa.Array, by_words: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of the texts, the words of each text on end, and where each text begins."""
     whole = pc.match_substring_regex(texts, NOT_WORDS) if by_words else pa.array(np.ones(len(texts), bool))
     split = pc.split_pattern(pc.if_else(whole, "", texts).cast(pa.large_string()), " ")
     bounds = split.offsets.to_numpy()
     bounds = bounds - bounds[0]
     coded = split.flatten().dictionary_encode()
-    words, order = strings(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words, order = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # any other text is one word
     at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-    order[bounds[at]] = len(words) + np.arange(len(at))
-    return words + strings(texts.take(pa.array(at))), order, bounds
+    more = texts.take(pa.array(at)).cast(pa.large_string()).dictionary_encode()
+    order[bounds[at]] = len(words) + more.indices.to_numpy(zero_copy_only=False)
+    return pa.concat_arrays([words, more.dictionary]), order, bounds
 
 
-def _coded(one: Side, texts: pa.Array, words: list[str], order: np.ndarray, word_bounds: np.ndarray):
+def _coded(one: Side, texts: pa.Array, coded: Coded, order: np.ndarray, word_bounds: np.ndarray):
     """Ids of the texts' tokens, the text of each, and which texts the tokens spell."""
-    ids, sizes = flat(one.remembered(words))
-    last = np.cumsum(sizes) - 1
-    exact = ids[last] == 1
-    ids, ends = gather(np.delete(ids, last), sizes - 1, order)
+    ids, ends = gather(coded.ids, coded.sizes, order)
     bounds = ends[word_bounds]
     right = np.ones(len(texts), bool)
     of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    exact = coded.exact[order]
     if not exact.all():
         # where a word is spelled otherwise, the whole text decides
-        doubtful = np.add.reduceat(np.append(~exact[order], False), word_bounds[:-1]) * (np.diff(word_bounds) > 0)
+        doubtful = np.add.reduceat(np.append(~exact, False), word_bounds[:-1]) * (np.diff(word_bounds) > 0)
         for i in np.flatnonzero(doubtful):
             right[i] = one.spelled(ids[bounds[i] : bounds[i + 1]]) == (" " + texts[i].as_py()).encode()
     return ids.astype(np.int64), of, right
@@ -208,12 +324,14 @@ def _cut(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
 
 
-def _aligned(texts: pa.Array, a: Side, b: Side, wanted: list[str]) -> dict[str, pa.Array]:
+def _aligned(texts: pa.Array, known: Words, wanted: list[str]) -> dict[str, pa.Array]:
     """The columns of ``align`` for some texts (no nulls)."""
-    n = len(texts)
-    by_words = a.vocabulary.by_words and b.vocabulary.by_words
-    words, order, bounds = _words(texts, by_words)
-    (a_ids, a_of, a_right), (b_ids, b_of, b_right) = (_coded(one, texts, words, order, bounds) for one in (a, b))
+    n, (a, b) = len(texts), known.sides
+    words, order, bounds = _words(texts, a.vocabulary.by_words and b.vocabulary.by_words)
+    number, coded = known(words)
+    (a_ids, a_of, a_right), (b_ids, b_of, b_right) = (
+        _coded(one, texts, c, number[order], bounds) for one, c in zip((a, b), coded)
+    )
     sizes = pc.binary_length(texts.cast(pa.large_string())).to_numpy(zero_copy_only=False).astype(np.int64)
     right = a_right & b_right & (sizes > 0)
     if not right.all():
@@ -298,7 +416,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, outputs: list[str]) -> Data
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for i, j in _slices(texts):
-                out = _aligned(texts[i:j], side(a_path), side(b_path), outputs)
+                out = _aligned(texts[i:j], known_words(a_path, b_path), outputs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], *(out[c] for c in names)], ["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

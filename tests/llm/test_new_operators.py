@@ -202,6 +202,25 @@ def test_repeated_runs_of_a_host_go_and_unique_ones_stay(spark, broadcast):
     assert got[10, "http://a.example/near"] == f"{menu}\nx < y z"  # repeated, but the article's
 
 
+def test_both_sides_share_one_bounded_memory_of_words():
+    sides = tuple(alignment.Side(path) for path in vocabularies())
+    asked, encodes = [[], []], [one.vocabulary.encode for one in sides]
+    for seen, one, encode in zip(asked, sides, encodes):
+        one.vocabulary.encode = lambda texts, seen=seen, encode=encode: seen.extend(w for t in texts for w in t.split(" ")) or encode(texts)
+    known = alignment.Words(sides, limit=300 * 300)
+    for k in range(40):
+        words = [f"word{k}x{i}" for i in range(60)] + ["often", "\ufb01", f"x\u2581{k}", "l" * 50, "two words"]
+        number, coded = known(pa.array(words))
+        for one, encode, c in zip(sides, encodes, coded):
+            ends = np.cumsum(c.sizes)
+            got = [(c.ids[ends[i] - c.sizes[i] : ends[i]].tobytes(), c.exact[i]) for i in number]
+            assert got == [(ids, one.spelled(np.frombuffer(ids, "<u4")) == f" {w}".encode()) for w, ids in zip(words, encode(words))]
+        assert len(known.names) == len(known.numbers) == len(known.coded[0].sizes) <= 400
+    for seen in asked:
+        assert seen.count("often") <= 2  # once among others, again alone where these are odd; what comes again is kept
+        assert seen.count("l" * 50) >= 40  # long words are not
+
+
 @pytest.mark.parametrize("broadcast", [main_text.BROADCAST_SUFFIXES, 0])
 def test_runs_that_stand_in_a_marked_article_are_repeated_elsewhere(spark, broadcast):
     quoted, own = "one two three four five six seven eight", "red green blue black white grey brown pink"
