@@ -29,11 +29,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from linkloom.llm.common import give_back, text_key, written
 from linkloom.llm.messages import WHOLE, Messages, messages, template_tree
-from linkloom.llm.tokens import strings
 
 SPACES = " \t\n\x0b\x0c\r"
-#: the place between two sentences of a line
-SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09])|(?<=[\u3002\uFF01\uFF1F])(?=[^\n])"
+#: what ends a sentence of a line, others behind it
+SENTENCE_END = re.compile(r"[.!?](?=[\x20\x09])|[\u3002\uFF01\uFF1F](?=[^\n])")
 #: bytes of text handled at once
 SLICE_BYTES = 1 << 19
 #: shared leaves that may be broadcast (9 bytes each)
@@ -69,7 +68,7 @@ def _leaves(texts: DataFrame, least_tokens: int, leading: int, least_general: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                m = messages(strings(part.column("text")), least_tokens, leading)
+                m = messages(part.column("text"), least_tokens, leading)
                 doc = part.column("doc").to_numpy()[m.text]
                 line = m.a.view(np.int64)
                 # one row for each leaf of the slice
@@ -101,11 +100,10 @@ def _message_rows(batch: pa.RecordBatch, m: Messages, keep: np.ndarray, mixed: n
     ``leaves`` asks for the leaf of every message, not only of those with tokens.
     """
     at = pa.array(m.at[keep].astype(np.int32), mask=m.at[keep] < 0)
-    want = mixed.copy()
-    _, first = np.unique(m.a[keep], return_index=True)
-    once = np.zeros(len(keep), bool)
-    once[first] = True
-    want &= once
+    some = np.flatnonzero(mixed)
+    _, first = np.unique(m.a[keep[some]], return_index=True)
+    want = np.zeros(len(keep), bool)
+    want[some[first]] = True
     sizes = np.where(want, m.n[keep], 0)
     ends = np.concatenate(([0], np.cumsum(sizes)))
     places = np.repeat(m.lo[keep] - ends[:-1], sizes) + np.arange(ends[-1])
@@ -134,7 +132,7 @@ def _shared_messages(texts: DataFrame, leaves: DataFrame, least_tokens: int, lea
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                m = messages(strings(part.column("text")), least_tokens, leading)
+                m = messages(part.column("text"), least_tokens, leading)
                 leaf, general = m.leaf.view(np.int64), m.n >= least_general
                 keep, mixed = np.arange(len(leaf)), general
                 if known is not None:
@@ -305,6 +303,11 @@ def _cut(at: np.ndarray, n: np.ndarray, goes: np.ndarray, least_run: int) -> np.
     return gone
 
 
+def _sentences(line: str) -> list[str]:
+    cuts = [0, *(end.end() for end in SENTENCE_END.finditer(line)), len(line)]
+    return [line[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+
+
 def _left(text: str, pos: np.ndarray, part: np.ndarray) -> dict:
     """A text without some lines and sentences, and how many lines went as a whole."""
     gone = defaultdict(set)
@@ -314,7 +317,7 @@ def _left(text: str, pos: np.ndarray, part: np.ndarray) -> dict:
     for p, parts in gone.items():
         left = ""
         if WHOLE not in parts:
-            left = "".join(x for j, x in enumerate(re.split(SENTENCE_END, rows[p])) if j not in parts)
+            left = "".join(x for j, x in enumerate(_sentences(rows[p])) if j not in parts)
             left = left.lstrip(SPACES) if 0 in parts else left
         rows[p] = left if left.strip(SPACES) else None
         dropped += rows[p] is None

@@ -10,25 +10,34 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: the part of a message that is a whole line
 WHOLE = -1
 #: a word with a digit stands for any other
 VARIABLE = b"<*>"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: of a byte in a word's sum: none of white space
-_WEIGHT = np.where(_SPACE, 0, np.arange(256) + 1).astype(np.uint64)
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_ENDS = np.zeros(256, bool)
-_ENDS[[33, 46, 63]] = True  # ! . ?
 #: sentence ends that need no space behind them, in UTF-8
 _WIDE_ENDS = ((0xE3, 0x80, 0x82), (0xEF, 0xBC, 0x81), (0xEF, 0xBC, 0x9F))
 _BYTE_BASE, _WORD_BASE, _OTHER_BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
+# kinds of bytes by comparisons of whole arrays: a look-up table takes several times as long
+
+
+def _space(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
+def _digit(data: np.ndarray) -> np.ndarray:
+    return data - np.uint8(48) < 10
+
+
+def _ends(data: np.ndarray) -> np.ndarray:
+    return (data == 46) | (data == 33) | (data == 63)  # . ! ?
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -36,7 +45,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: powers are products of one below BLOCK and one of whole blocks, so no table grows with the texts
-BLOCK = 4096
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -68,8 +78,8 @@ def _raise(values: np.ndarray, base: np.uint64) -> np.ndarray:
 def _lower(sums: np.ndarray, base: np.uint64, at: np.ndarray) -> np.ndarray:
     """Sums from the places ``at`` on as they would be from place 0; in place."""
     large = _powers(_inverse(pow(int(base), BLOCK, 1 << 64)), int(at.max(initial=0)) // BLOCK + 1)
-    sums *= _SMALL[int(base)][1][at % BLOCK]
-    sums *= large[at // BLOCK]
+    sums *= _SMALL[int(base)][1][at & (BLOCK - 1)]
+    sums *= large[at >> BLOCK_BITS]
     return sums
 
 
@@ -80,13 +90,19 @@ def _ranges(values: np.ndarray, base: np.uint64, lo: np.ndarray, hi: np.ndarray)
     return _lower(sums[hi] - sums[lo], base, lo)
 
 
-def _word_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _word_hashes(data: np.ndarray, inside: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hashes of the words at ``begin``; white space weighs nothing, so a word's sum may run up to the next word."""
-    hashes = np.add.reduceat(_raise(_WEIGHT[data], _BYTE_BASE), begin)
-    hashes = _lower(hashes, _BYTE_BASE, begin)
+    weights = data.astype(np.uint64)
+    weights += np.uint64(1)
+    weights *= inside
+    sums = np.cumsum(_raise(weights, _BYTE_BASE), out=weights)[np.append(begin[1:], len(data)) - 1]
+    hashes = _lower(np.diff(sums, prepend=np.uint64(0)), _BYTE_BASE, begin)
     return mix(hashes ^ (length.astype(np.uint64) << np.uint64(48)))
 
 
+_VARIABLE_HASH = _word_hashes(np.frombuffer(VARIABLE, np.uint8), np.ones(len(VARIABLE), bool), np.array([0]), np.array([len(VARIABLE)]))
+
+
 def _words(data: np.ndarray, space: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin, and their hashes; a word ends at white space and at ``breaks``."""
     inside = ~space
@@ -101,10 +117,8 @@ def _words(data: np.ndarray, space: np.ndarray, breaks: np.ndarray) -> tuple[np.
     if not len(begin):
         return begin, np.zeros(0, np.uint64)
     length = np.flatnonzero(ends) + 1 - begin
-    hashes = _word_hashes(data, begin, length)
-    hashes[np.searchsorted(begin, np.flatnonzero(_DIGIT[data]), side="right") - 1] = _word_hashes(
-        np.frombuffer(VARIABLE, np.uint8), np.array([0]), np.array([len(VARIABLE)])
-    )
+    hashes = _word_hashes(data, inside, begin, length)
+    hashes[np.searchsorted(begin, np.flatnonzero(_digit(data)), side="right") - 1] = _VARIABLE_HASH
     return begin, hashes
 
 
@@ -139,26 +153,35 @@ def _described(tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray, leading: int)
     return a, b, leaf
 
 
-def messages(texts: list[str], least_tokens: int, leading: int) -> Messages:
-    """The messages of some texts: sentences that are not blank, and lines of several sentences.
+def _on_end(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts with line ends between them, and where each text begins."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    data = np.frombuffer(pc.binary_join(whole, pa.scalar("\n", texts.type))[0].as_buffer(), np.uint8)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    return data, np.cumsum(sizes) - sizes
+
+
+def messages(texts: pa.Array, least_tokens: int, leading: int) -> Messages:
+    """The messages of some texts (no nulls): sentences that are not blank, and lines of several sentences.
 
     A line of one sentence is that sentence, with ``part`` WHOLE.  ``at`` counts the
     sentences of a text; lines of several have none and at least ``least_tokens`` words.
     """
-    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
-    space = _SPACE[data]
+    data, text_begin = _on_end(texts)
+    space = _space(data)
     line_ends = np.flatnonzero(data == 10)
     line = np.concatenate(([0], line_ends + 1))
-    per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    line_text = np.repeat(np.arange(len(texts)), per_text)
-    line_pos = np.arange(len(line)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    first_line = np.searchsorted(line, text_begin)
+    line_text = np.repeat(np.arange(len(texts)), np.diff(np.append(first_line, len(line))))
+    line_pos = np.arange(len(line)) - first_line[line_text]
 
-    ends = np.flatnonzero(_ENDS[data[:-1]]) + 1
+    ends = np.flatnonzero(_ends(data[:-1])) + 1
     cuts = ends[(data[ends] == 32) | (data[ends] == 9)]
     wide = np.zeros(0, np.int64)
     if len(data) > 3 and (data >= 0xE3).any():
         for x, y, z in _WIDE_ENDS:
-            found = np.flatnonzero((data[:-3] == x) & (data[1:-2] == y) & (data[2:-1] == z) & (data[3:] != 10)) + 3
+            found = np.flatnonzero(data[:-3] == x)
+            found = found[(data[found + 1] == y) & (data[found + 2] == z) & (data[found + 3] != 10)] + 3
             wide = np.concatenate((wide, found))
         cuts = np.concatenate((cuts, wide))
     unit = np.sort(np.concatenate((line, cuts)))

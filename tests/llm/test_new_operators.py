@@ -6,11 +6,13 @@ import re
 from collections import Counter
 from html import unescape
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from linkloom.llm import alignment, main_text, page_blocks, tokens, whitening
+from linkloom.llm import alignment, line_templates, main_text, page_blocks, tokens, whitening
+from linkloom.llm import messages as line_messages
 
 SF = "/root/testdata/sf0.001"
 
@@ -451,3 +453,18 @@ def test_trees_of_random_leaves_are_the_plain_ones():
             if k:
                 assert groups.setdefault(int(k), plain[line]) == plain[line]
         assert len(set(groups.values())) == len(groups)
+
+
+def test_messages_of_arrow_texts_stand_where_plain_python_finds_them():
+    texts = [bytes(range(128)).decode(), "", "a. b!\tc? d.e\n\nx1 y z", "。。a！\nb？ c \U0001f600.", "\xe9\x85   w.", "\n", " . . ", "a. b!\tc? d.e"]
+    table = pa.array(["left out", *texts])
+    m = line_messages.messages(table[1:], least_tokens=3, leading=3)
+    got = sorted(zip(*(x.tolist() for x in (m.text, m.pos, m.part, m.at, m.n))))
+    plain = [(i, *x) for i, text in enumerate(texts) for x in brute.line_messages(text)]
+    assert got == sorted((i, pos, part, -1 if at is None else at, len(words)) for i, pos, part, at, words in plain)
+    # a message's hashes are the same wherever it stands
+    for i, text in enumerate(texts):
+        alone, mine = line_messages.messages(pa.array([text]), 3, 3), m.text == i
+        assert all((getattr(alone, x) == getattr(m, x)[mine]).all() for x in ("pos", "part", "at", "a", "b", "leaf"))
+    for line in "\n".join(texts).split("\n"):
+        assert line_templates._sentences(line) == re.split(brute.SENTENCE_END, line)
