@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import tokens
-from linkloom.llm.common import id_remainder
+from linkloom.llm.common import give_back, id_remainder
 
 #: labelled documents per language that the filters are learned from
 SAMPLE = 2000
@@ -138,7 +138,9 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -
     counts = {lang: n for lang, n in labelled.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return build_filters({})
-    parts = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in counts.items()], "lang string, part double")
+    # as an Arrow table: a list is sent through Python workers of a kind of their own, which then stay beside the others
+    shares = pa.table({"lang": pa.array(list(counts), pa.string()), "part": [min(1.0, sample / n) for n in counts.values()]})
+    parts = spark.createDataFrame(shares, "lang string, part double")
     chosen = labelled.join(F.broadcast(parts), "lang").where(
         F.pmod(F.col("h"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
     )
@@ -154,6 +156,7 @@ def learn_filters(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
                     )
+        give_back()
 
     totals = (
         chosen.select("lang", "text")
@@ -191,6 +194,7 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
         names = [*model.languages, NONE]
         best = np.where(np.array(known, bool) & bool(model.languages), shares.argmax(1), len(names) - 1)
         score = np.where(best < len(model.languages), shares.max(1), 0.0)
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array([names[b] for b in best], pa.string()), pa.array(score)], ["lang_pred", "score"]
         )

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from linkloom.functions._let import settled
 from linkloom.llm.common import give_back, text_key, written
 from linkloom.llm.messages import WHOLE, Messages, messages, template_tree
 
@@ -374,7 +375,10 @@ def drop_recurring_lines(
     keyed = docs.withColumns(dict(zip(("__id", "__text"), (c for c in _keys()))))
     joined = keyed.join(
         found.withColumnsRenamed({"key_id": "__id", "key_text": "__text", "found": "__found"}), ["__id", "__text"], "left"
-    ).withColumn("__left", _without(F.when(F.col("__found").isNotNull(), F.col("text")), F.col("__found"), least_run))
+    )
+    # settled: a filter on the result would else have every text rewritten twice, by two Python workers a task
+    rewritten = settled(_without(F.when(F.col("__found").isNotNull(), F.col("text")), F.col("__found"), least_run))
+    joined = joined.select("*", rewritten.alias("__left"))
     left = F.when(F.lit(True) if copy_share is None else F.col("__left.n") <= copy_share * n_lines, F.col("__left"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.withColumn("__left", left).select(

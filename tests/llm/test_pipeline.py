@@ -56,3 +56,21 @@ def test_shared_notice_goes_from_short_documents(spark):
     docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.without_recurring_lines(spark, docs, SF).collect()}
     assert got == {0: rows[0][1], 1: "second text alone", 2: "third text alone", 3: "fourth text alone"}
+
+
+def test_stages_run_python_once_a_row(spark):
+    """A filter on what Arrow functions return must not plan them twice: each takes Python workers of its own."""
+    rows = [(i, f"one line of some words that recurs here\nalone {i}", "en", "s", 1) for i in range(4)]
+    docs = written(prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    for stage in (corpus_pipeline.known_language, corpus_pipeline.without_recurring_lines):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_language_stage_sends_no_list_through_python_workers(spark, monkeypatch):
+    rows = [(1, "hello there you", "en", "s", 1), (2, "guten tag zusammen", "de", "s", 1)]
+    docs = written(prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    sent = []
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a, **b: sent.append(a))
+    assert corpus_pipeline.known_language(spark, docs, SF).count() <= 2
+    assert not sent
