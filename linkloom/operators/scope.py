@@ -53,6 +53,12 @@ class Scope:
     mark: Callable[[DataFrame, str], DataFrame] | None = field(default=None)
     #: what a leaf tests, where its Column does not tell
     about: Callable[[], str] | None = field(default=None)
+    #: whether ``mark`` joins the URLs to a table, which costs a walk's round more than testing its URLs one by one
+    joins: Callable[[], bool] | None = field(default=None)
+
+    def joins_table(self) -> bool:
+        """True if a leaf joins URLs to a table of its own."""
+        return any(p.joins_table() for p in self.parts) or (self.joins is not None and self.joins())
 
     def describe(self) -> str:
         """The same text for scopes that decide alike, in any session; prefix sets are read for it."""
@@ -277,7 +283,12 @@ def prefix_scope(prefixes: Iterable[str] | DataFrame) -> Scope:
         known = some.select(F.when(F.size("known") <= MAX_COLUMN_PREFIXES, F.col("known")).otherwise(too_many)).scalar()
         return F.coalesce(F.arrays_overlap(prefix_candidates(url), known), F.lit(False))
 
-    return Scope(check=check, mark=mark, about=lambda: f"prefixes {content_digest(keys)}")
+    return Scope(
+        check=check,
+        mark=mark,
+        about=lambda: f"prefixes {content_digest(keys)}",
+        joins=lambda: len(few()) > MAX_INLINE_PREFIXES,
+    )
 
 
 def _lower_host(url: Column) -> Column:

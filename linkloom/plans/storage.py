@@ -61,3 +61,18 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly below ``path``; none if it does not exist."""
     filesystem, target = _hadoop_path(spark, path)
     return sorted(s.getPath().getName() for s in filesystem.listStatus(target)) if filesystem.exists(target) else []
+
+
+def row_groups(spark: SparkSession, files: list[str]) -> int:
+    """Row groups of Parquet files (as ``inputFiles`` names them), from their footers."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.parquet.hadoop
+    groups = 0
+    for name in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(path, conf))
+        try:
+            groups += reader.getFooter().getBlocks().size()
+        finally:
+            reader.close()
+    return groups

@@ -1,11 +1,15 @@
 """Frontier expansion to a fixpoint over a captured corpus.
 
-All text work happens once, before the first round: links are extracted,
-resolved, normalised, tested against every part of the scope that does not
-depend on depth, and written as an edge table bucketed by source URL.  A round
-then joins narrow rows only:
+Links are extracted and resolved once, before the first round, and written as an
+edge table bucketed by source URL in normal form.  A round then joins narrow rows
+only:
 
-    frontier ⋈ edges  →  depth test  →  first seen  ▷  visited  →  next round
+    frontier ⋈ edges  →  least parent  →  normal form  ▷  visited  →  scope  →  first seen  →  next round
+
+Many edges lead to few URLs, so normal forms are made of what is left when equal
+links of a round are one row, and the scope is asked about those not visited yet.
+Only under a scope that joins URLs to a table of its own (many prefixes) both are
+done on the edges, once, as far as the scope does not need the depth.
 
 Edges and visited URLs are bucketed tables, as many buckets as their size asks
 for, so neither is shuffled again: only the new candidates move.  Edges are sorted
@@ -32,6 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions._let import settled
 from linkloom.functions.markup import TAG_PRIMARY, TAG_RELATED
 from linkloom.functions.urls import with_normalized_url
 from linkloom.operators.frontier import (
@@ -43,14 +48,10 @@ from linkloom.operators.frontier import (
 from linkloom.operators.links import page_links
 from linkloom.operators.responses import handle, is_redirect, is_retry, redirect_edges
 from linkloom.operators.scope import Scope, all_of, conjuncts, content_digest
-from linkloom.operators.skew import salted_join
 from linkloom.plans import storage
 
 #: links of one page beyond which its edges are spread over several buckets
 HOT_LINKS = 1_000_000
-#: tasks over which one page's given links are spread while they are checked
-LINK_SALTS = 8
-
 #: values of an IN that Parquet scans compare pages with one by one
 IN_FILTER_SETTING = "spark.sql.parquet.pushdown.inFilterThreshold"
 #: edge bytes a bucket is meant to hold, and the least worth one
@@ -138,16 +139,16 @@ def _keyed(corpus: DataFrame, order_by: str | None, max_attempts: int | None) ->
 def outgoing_links(corpus: _Corpus, handler: Handler | None, given: DataFrame | None) -> DataFrame:
     """``(src_url, url, tag, src_tag)`` of all responses, redirects included.
 
-    Links are the ``given`` ones of saved pages, or the handler's, or extracted.
+    Links are the ``given`` ones, or the handler's, or extracted.  Given ones may
+    start at any page; those of pages that were not saved are left out by :func:`_laid_out`.
 
     A redirect passes on the tag its source was reached with, so it gives one
     row per tag, valid for that source tag only; ``src_tag`` is NULL otherwise.
     """
     saved = corpus.heads.filter(F.col("status") < 400)
     if given is not None:
-        sources = with_normalized_url(given.select("src_url", "url", "tag"), "src_url", "src_url")
-        pages = saved.select(F.col("url").alias("src_url"))
-        links = salted_join(sources, pages, ["src_url"], "left_semi", ["url"], LINK_SALTS)
+        links = with_normalized_url(given.select("src_url", "url", "tag"), "src_url", "src_url")
+        links = links.filter(F.col("src_url").isNotNull())
     elif handler is not None:
         links = handle(corpus.answered(), handler)
     else:
@@ -160,10 +161,11 @@ def outgoing_links(corpus: _Corpus, handler: Handler | None, given: DataFrame |
             links = corpus.only_chosen(links)
         links = links.select("src_url", "url", "tag")
     moved = saved.filter(is_redirect(F.col("status"), F.col("location"))).select(
-        "url", "status", "location", F.explode(F.array(F.lit(TAG_PRIMARY), F.lit(TAG_RELATED))).alias("tag"),
-        F.lit(0).alias("depth"),
-    )
-    redirects = redirect_edges(moved).select("src_url", "url", "tag", F.col("tag").alias("src_tag"))
+        "url", "status", "location", F.lit(None).cast("int").alias("tag"), F.lit(0).alias("depth")
+    )
+    # resolved first, then given a row for each tag
+    tags = F.explode(F.array(F.lit(TAG_PRIMARY), F.lit(TAG_RELATED)))
+    redirects = redirect_edges(moved).select("src_url", "url", tags.alias("tag")).withColumn("src_tag", F.col("tag"))
     return links.withColumn("src_tag", F.lit(None).cast("int")).unionByName(redirects)
 
 
@@ -247,10 +249,10 @@ class _State:
         return name
 
     def bucketed_once(self, label: str, keys: list[str], make: Callable[[], DataFrame]) -> str:
-        """A bucketed table of that content; returns its catalog name."""
+        """A bucketed table of that content, dealt by its keys already; returns its catalog name."""
         path, name = self.path(label), self._name(label)
         if not storage.is_complete(self.spark, path):
-            df = make().repartition(self.buckets, *keys)
+            df = make()
             # small pages, so that a scan which names its keys skips most of a file
             writer = df.write.mode("overwrite").option("path", path).option("parquet.page.row.count.limit", 2_000)
             writer.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
@@ -347,8 +349,20 @@ class _State:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _edge_table(links: DataFrame, scope: Scope) -> tuple[DataFrame, list[Scope]]:
-    """Normalised edges in scope, with the depth-dependent part of it left open."""
+@dataclass
+class _Open:
+    """What the edges leave open: the normal form of their targets, and a filter of candidates by scope."""
+
+    normalize: Callable[[DataFrame], DataFrame]
+    in_scope: Callable[[DataFrame], DataFrame]
+
+
+def _edge_table(links: DataFrame, scope: Scope) -> tuple[DataFrame, _Open]:
+    """Edges, and what is left to do for each round's candidates."""
+    columns = ["src_url", "url", "tag", "src_tag"]
+    if not scope.joins_table():
+        given = links.filter(F.col("url").isNotNull()).select(*columns)
+        return given, _Open(lambda df: with_normalized_url(df).filter(F.col("url").isNotNull()), scope.filter)
     static, dynamic = _split_scope(scope)
     edges = candidates_in_scope(links, static)
     frozen: list[str] = []
@@ -356,29 +370,56 @@ def _edge_table(links: DataFrame, scope: Scope) -> tuple[DataFrame, list[Scope]]
     for part in dynamic:
         edges, kept = _freeze(part, edges, frozen)
         rest.append(kept)
-    return edges.select("src_url", "url", "tag", "src_tag", *frozen), rest
+
+    def by_rest(candidates: DataFrame) -> DataFrame:
+        for part in rest:
+            candidates = candidates.filter(part.check(F.col("url"), F.col("tag"), F.col("depth")))
+        return candidates
+
+    return edges.select(*columns, *frozen), _Open(lambda df: df, by_rest)
+
+
+def _slots_of(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """``df`` with the number of slots that the edges of its ``src_url`` have.  Hot pages are few: broadcast."""
+    found = df.join(F.broadcast(hot), F.xxhash64("src_url") == F.col("src_hash"), "left").drop("src_hash")
+    return found.withColumn("slots", F.coalesce(F.col("slots"), F.lit(1)))
 
 
 def _with_slots(edges: DataFrame, hot: DataFrame) -> DataFrame:
     """Edges with the key they are bucketed by: the source and, of a page with very many links, a slot."""
-    spread = F.pmod(F.xxhash64("url"), F.coalesce(F.col("slots"), F.lit(1))).cast("int")
-    return edges.join(hot, "src_url", "left").withColumn("slot", spread).withColumn("key", _edge_key()).drop("slots")
+    spread = F.pmod(F.xxhash64("url"), F.col("slots")).cast("int")
+    return _slots_of(edges, hot).withColumn("slot", spread).withColumn("key", _edge_key()).drop("slots")
 
 
 def _edge_key() -> Column:
     return F.xxhash64("src_url", "slot")
 
 
+def _each_slot(pages: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pages (``src_url``), a row for each slot of their edges."""
+    every = F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+    return _slots_of(pages, hot).withColumn("slot", every).withColumn("key", _edge_key()).drop("slots", "slot")
+
+
+def _laid_out(edges: DataFrame, hot: DataFrame, pages: DataFrame | None, buckets: int) -> DataFrame:
+    """Edges dealt by their key, those of ``pages`` (``url``) only if given.
+
+    The same shuffle serves the check and the buckets, and slots spread the links of one page.
+    """
+    dealt = _with_slots(edges, hot).repartition(buckets, "key")
+    if pages is None:
+        return dealt
+    known = _each_slot(pages.select(F.col("url").alias("src_url")), hot).withColumnsRenamed({"src_url": "page", "key": "page_key"})
+    known = known.repartition(buckets, "page_key")
+    # a key is a hash, so the address decides; said so that the key alone stays the join's
+    same = F.coalesce(F.col("src_url") == F.col("page"), F.lit(False))
+    return dealt.join(known, (F.col("key") == F.col("page_key")) & same, "left_semi")
+
+
 def _sources(frontier: DataFrame, hot: DataFrame) -> DataFrame:
     """The frontier, a row for each slot of its edges."""
-    last = F.coalesce(F.col("slots"), F.lit(1)) - 1
-    return (
-        frontier.select(F.col("url").alias("src_url"), F.col("tag").alias("from_tag"), F.col("depth").alias("from_depth"))
-        .join(hot, "src_url", "left")
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-        .withColumn("key", _edge_key())
-        .drop("slots", "slot")
-    )
+    named = frontier.select(F.col("url").alias("src_url"), F.col("tag").alias("from_tag"), F.col("depth").alias("from_depth"))
+    return _each_slot(named, hot)
 
 
 def _named_keys(sources: DataFrame, rows: int) -> list[int] | None:
@@ -401,6 +442,28 @@ def _expand(sources: DataFrame, edges: DataFrame, keys: list[int] | None) -> Dat
     return joined.filter(same & valid).withColumn("depth", F.col("from_depth") + 1).withColumn("parent", F.col("src_url"))
 
 
+def _reduced(found: DataFrame) -> DataFrame:
+    """Found rows, the least parent of equal ones.
+
+    Rows are grouped by a number before the text: addresses share their first
+    letters, which are all that a sort compares fast.
+    """
+    equal = [c for c in found.columns if c != "parent"]
+    least = found.groupBy(F.xxhash64("url").alias("__hash"), *equal).agg(F.min("parent").alias("parent"))
+    return least.drop("__hash")
+
+
+def _after_all(in_scope: Callable[[DataFrame], DataFrame], candidates: DataFrame) -> DataFrame:
+    """``candidates`` in scope, tested here: Catalyst would ask every edge, far below their reduction.
+
+    A settled copy of the address is tested, and the one that rows are dealt by is kept.
+    """
+    kept = candidates.columns
+    others = [c for c in kept if c != "url"]
+    apart = candidates.select(*others, F.col("url").alias("__dealt"), settled(F.col("url")).alias("url"))
+    return in_scope(apart).select(*others, F.col("__dealt").alias("url"))
+
+
 def _inputs(seeds: DataFrame, keyed: _Corpus, scope: Scope, links: DataFrame | None, handler: Handler | None, version: str | None) -> dict[str, str]:
     """What a walk is made of, each as a short text.  Bodies are not read: ``version`` speaks for them."""
     code = getattr(handler, "__code__", None)
@@ -455,23 +518,27 @@ def walk(
     if state_dir:
         state.begin(_inputs(seeds, keyed, scope, links, handler, corpus_version), on_change)
 
-    # the open part of the scope refers to columns of the edge table, so it is
+    # what the edges leave open of the scope refers to their columns, so it is
     # rebuilt when a walk resumes; that reads no more than a bounded part of its prefixes
-    plan, rest = _edge_table(outgoing_links(keyed, handler, links), scope)
-    staged = state.once("staged", lambda: plan)
+    plan, left = _edge_table(outgoing_links(keyed, handler, links), scope)
+    if not storage.is_complete(spark, state.path("links")):
+        storage.remove_tree(spark, state.path("edges"))  # of an earlier layout, if any
+    staged = state.once("links", lambda: plan)
     hot = state.once(
-        "hot",
-        lambda: staged.groupBy("src_url")
+        "hot_pages",
+        lambda: staged.groupBy(F.xxhash64("src_url").alias("src_hash"))
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > hot_links)
-        .select("src_url", F.ceil(F.col("n") / hot_links).cast("int").alias("slots")),
+        .select("src_hash", F.ceil(F.col("n") / hot_links).cast("int").alias("slots")),
     )
     if state.round_done(0) is None:
         # an unfinished beginning under another layout is written anew
-        state.lay_out(storage.byte_size(spark, state.path("staged")))
+        state.lay_out(storage.byte_size(spark, state.path("links")))
     else:
         state.lay_out(0)
-    edges = spark.table(state.bucketed_once("edges", ["key"], lambda: _with_slots(staged, hot)))
+    saved = None if links is None else keyed.heads.filter(F.col("status") < 400)
+    edges = spark.table(state.bucketed_once("edges", ["key"], lambda: _laid_out(staged, hot, saved, state.buckets)))
+    decided = [c for c in edges.columns if c not in ("src_url", "url", "tag", "src_tag", "slot", "key")]
     visited = state.visited_table(
         spark.createDataFrame([], "url string, tag int, depth int, parent string, round int").schema
     )
@@ -491,11 +558,9 @@ def walk(
             if keys is not None:
                 spark.conf.set(IN_FILTER_SETTING, NAMED_KEYS)
             try:
-                found = _expand(sources, edges, keys)
-                for part in rest:
-                    found = found.filter(part.check(F.col("url"), F.col("tag"), F.col("depth")))
-                fresh = first_seen(found.select("url", "tag", "depth", "parent"), "parent")
-                state.commit_round(visited, rounds + 1, anti_join_seen(fresh, spark.table(seen)))
+                found = _expand(sources, edges, keys).select("url", "tag", "depth", "parent", *decided)
+                unseen = anti_join_seen(left.normalize(_reduced(found)), spark.table(seen))
+                state.commit_round(visited, rounds + 1, first_seen(_after_all(left.in_scope, unseen), "parent"))
             finally:
                 spark.conf.set(IN_FILTER_SETTING, named)
             state.add_round(seen, rounds + 1)
@@ -504,7 +569,7 @@ def walk(
     complete = not state.round_done(rounds)
     state.drop_tables()
     if not keep:
-        for name in ("staged", "hot", "edges", "runs"):
+        for name in ("links", "hot_pages", "edges", "runs"):
             storage.remove_tree(spark, state.path(name))
     found = spark.read.parquet(state.path("visited")).select("url", "tag", "depth", "parent")
     answered = keyed.answered()

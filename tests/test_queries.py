@@ -4,9 +4,12 @@ import glob
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry_point
+from workload import derived
 
 SF = "/root/testdata/sf0.001"
 QUERIES = {name: fn for name, fn in entry_point.queries().items() if name in entry_point.QUERIES}
@@ -42,3 +45,13 @@ def test_same_as_sql(spark, database, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_a_file_of_many_row_groups_is_read_without_a_shuffle(spark, tmp_path):
+    rows = pa.table({"n": list(range(400))})
+    pq.write_table(rows, tmp_path / "many groups.parquet", row_group_size=10)
+    pq.write_table(rows, tmp_path / "one.parquet")
+    plans = {name: derived.table(spark, str(tmp_path), name) for name in ("many groups", "one")}
+    moved = {name: "Exchange" in df._jdf.queryExecution().executedPlan().toString() for name, df in plans.items()}
+    assert moved == {"many groups": False, "one": True}
+    assert all(sorted(r.n for r in df.collect()) == list(range(400)) for df in plans.values())

@@ -1,3 +1,7 @@
+import os
+import uuid
+
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +192,48 @@ def test_scopes_that_decide_alike_describe_alike(spark):
     make = lambda p, x: sc.site_scope(["http://a/"], only_prefixes=p, excludes=x).describe()
     assert make(["http://a/b", "http://c"], ["x"]) == make(["http://c", "http://a/b"], ["x"])
     assert len({make(["http://a"], ["x"]), make(["http://b"], ["x"]), make(["http://a"], ["y"])}) == 3
+
+
+def test_scope_is_asked_about_few_of_many_equal_links(spark, tmp_path):
+    asked = str(tmp_path)
+
+    def counted(urls):
+        with open(f"{asked}/{os.getpid()}-{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(u for u in urls.to_pylist() if u))
+        return pc.not_equal(urls, "http://g/no")
+
+    scope = sc.user_scope(lambda url, tag, depth: F.arrow_udf(counted, "boolean")(url), uses_depth=False)
+    edges = [("hub", f"n{k}") for k in range(50)] + [(f"n{k}", to) for k in range(50) for to in ("hub", "a", "b", "no")]
+    links = spark.createDataFrame([(f"http://g/{a}", f"http://g/{b}", 0) for a, b in edges], "src_url string, url string, tag int")
+    corpus = spark.createDataFrame([page(f"http://g/{a}") for a in {a for a, _ in edges}], CORPUS)
+    result = walk(seeds(spark, "http://g/hub"), corpus, scope, links=links)
+    assert {r.url for r in result.visited.collect()} == {f"http://g/{n}" for n in ["hub", "a", "b", *[f"n{k}" for k in range(50)]]}
+    urls = [u for f in os.listdir(asked) for u in open(f"{asked}/{f}").read().split()]
+    # of 250 links: the seed, 50 pages, and three targets, none for each link to it
+    assert len(urls) <= 60
+
+
+@pytest.mark.parametrize("hot_links", [2, 1_000_000])
+def test_links_in_other_forms_and_of_pages_not_saved(spark, hot_links):
+    edges = [
+        ("http://g/hub", "http://g/b/../x", 1), ("http://G/hub", "HTTP://g/x", 0), ("http://g:80/hub", "http://g/y", 0),
+        ("http://g/y", "http://g/x", 0), ("http://g/hub", "http://g/gone", 0), ("http://g/hub", "http://g/odd%2525", 0),
+        ("http://g/gone", "http://g/no", 0), ("http://g/unknown", "http://g/no", 0), (None, "http://g/no", 0),
+        ("http://g/y", None, 0), ("http://g/y", "http://[", 0), ("http://g/y", "http://%zz/", 0),
+        ("http://g/x", "http://out/side", 0), ("http://g/y", "http://out/side", 1), ("http://g/odd%2525", "http://g/z", 0),
+    ]
+    links = spark.createDataFrame(edges, "src_url string, url string, tag int")
+    pages = [page("http://g/hub"), page("http://g/x"), page("http://g/y"), page("http://g/gone", "", 404), page("http://g/odd%2525")]
+    corpus = spark.createDataFrame(pages, CORPUS)
+    expected = {
+        ("http://g/hub", 0, 0, ""), ("http://g/x", 0, 1, "http://g/hub"), ("http://g/y", 0, 1, "http://g/hub"),
+        ("http://g/gone", 0, 1, "http://g/hub"), ("http://g/odd%2525", 0, 1, "http://g/hub"), ("http://g/z", 0, 2, "http://g/odd%2525"),
+        ("http://out/side", 1, 2, "http://g/y"),
+    }
+    # few prefixes are tested in the rounds, more than a thousand on the edges
+    for more in (0, 1_500):
+        prefixes = ["http://g", *[f"http://other/{k}" for k in range(more)]]
+        scope = sc.all_of(sc.any_of(sc.prefix_scope(prefixes), sc.related_scope()), sc.depth_scope(5))
+        result = walk(seeds(spark, "http://g/hub"), corpus, scope, links=links, hot_links=hot_links)
+        assert {tuple(r) for r in result.visited.collect()} == expected
+        assert result.visited.count() == len(expected)

@@ -10,18 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.plans import storage
+
 SHOP = "http://shop.example.com"
 ASSETS = "http://img.example.net"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; one of fewer files than there are cores is spread over them.
+    """A driver table; one of fewer files and row groups than there are cores is spread over them.
 
-    (A small table is one file with one row group, which is one task.)
+    (A small table is one file with one row group, which is one task.  Row groups are
+    read by tasks of their own, so a large table in one file needs no shuffle.)
     """
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    files = df.inputFiles()
+    spread = len(files) < cores and storage.row_groups(spark, files) < cores
+    return df.repartition(cores) if spread else df
 
 
 def raw_urls(spark: SparkSession, sf: str) -> DataFrame:
