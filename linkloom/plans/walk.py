@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions._let import settled
 from linkloom.functions.markup import TAG_PRIMARY, TAG_RELATED
-from linkloom.functions.urls import with_normalized_url
+from linkloom.functions.urls import normalize_url, with_normalized_url
 from linkloom.operators.frontier import (
     anti_join_seen,
     candidates_in_scope,
@@ -361,8 +361,14 @@ def _edge_table(links: DataFrame, scope: Scope) -> tuple[DataFrame, _Open]:
     """Edges, and what is left to do for each round's candidates."""
     columns = ["src_url", "url", "tag", "src_tag"]
     if not scope.joins_table():
-        given = links.filter(F.col("url").isNotNull()).select(*columns)
-        return given, _Open(lambda df: with_normalized_url(df).filter(F.col("url").isNotNull()), scope.filter)
+        # one expression, made once: planning a chain of steps costs a small round more than its rows do
+        normal = normalize_url(F.col("url"))
+
+        def in_normal_form(df: DataFrame) -> DataFrame:
+            others = [c for c in df.columns if c != "url"]
+            return df.select(*others, settled(normal).alias("url")).filter(F.col("url").isNotNull())
+
+        return links.filter(F.col("url").isNotNull()).select(*columns), _Open(in_normal_form, scope.filter)
     static, dynamic = _split_scope(scope)
     edges = candidates_in_scope(links, static)
     frozen: list[str] = []
